@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where none is set (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` into the shared folder named by spark.checkpoint.dir.
+    """Cut the lineage of a small ``df`` into the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Only where neither the session nor its context names a folder (unit tests)
-    is a temporary one set.
+
+def written_table(df: DataFrame) -> DataFrame:
+    """``df`` written as (compressed) Parquet to the shared folder and read again.
+
+    For results too large for an uncompressed checkpoint.  The files are removed
+    when the driver ends.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-")
-        )
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove():
+        try:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may have ended already
+            return
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
 
 
 def whole_text(column: str | Column) -> Column:

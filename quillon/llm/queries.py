@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, mixing, quality, simhash
+from quillon.llm import exact_dedup, mixing, quality, sentencepiece_lattice, simhash
 from quillon.llm.common import table
 
 
@@ -13,6 +12,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,6 +33,7 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (
         op2_exact_dedup,
+        op3_sentencepiece,
         op8_simhash,
         op9_mixing,
         op10_quality,
