@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, mixing, quality, sentencepiece_lattice, simhash
+from quillon.llm import exact_dedup, mixing, quality, sentencepiece_lattice, simhash, toxicity
 from quillon.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ LLM_QUERIES = {
     for f in (
         op2_exact_dedup,
         op3_sentencepiece,
+        op7_toxicity,
         op8_simhash,
         op9_mixing,
         op10_quality,
