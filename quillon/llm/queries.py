@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, mixing, quality, sentencepiece_lattice, simhash, toxicity
+from quillon.llm import exact_dedup, html_layout, mixing, quality, sentencepiece_lattice, simhash, toxicity
 from quillon.llm.common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_layout.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -36,6 +42,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     f.__name__: f
     for f in (
+        op1_html,
         op2_exact_dedup,
         op3_sentencepiece,
         op7_toxicity,
