@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, html_layout, mixing, quality, sentencepiece_lattice, simhash, toxicity
+from quillon.llm import exact_dedup, html_layout, mixing, pii, quality, sentencepiece_lattice, simhash, toxicity
 from quillon.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.rewritten(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ LLM_QUERIES = {
         op1_html,
         op2_exact_dedup,
         op3_sentencepiece,
+        op5_pii,
         op7_toxicity,
         op8_simhash,
         op9_mixing,
