@@ -21,7 +21,6 @@ equal results; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +33,8 @@ WORDS, RADIUS, BLOCKS = 3, 3, 4
 #: Most fingerprints of one block that one task compares with as many others.
 PART = 2048
 FANOUT = 16
+#: Blocks of at most LEAF fingerprints are compared directly; BUCKET_ROWS: rows of small blocks in one call.
+LEAF, BUCKET_ROWS = 32, 8192
 _PIECE = 1 << 17
 
 
@@ -141,24 +142,48 @@ class _Forest:
                 self.root = up
 
 
-def _forest_of(frame: pd.DataFrame) -> pd.DataFrame:
-    """Spanning forest of the links of one task: rows of one part, or of two parts."""
-    fps, side = frame["fp"].to_numpy().view(np.uint64), frame["part"].to_numpy()
-    parts = [GrayIndex(np.unique(fps[side == p])) for p in np.unique(side)]
-    pair = (parts[0], parts[-1])
-    base = len(pair[0].fps) if len(parts) > 1 else 0
-    nodes = np.concatenate([p.fps for p in parts])
+def forest_edges(fps: np.ndarray, key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (edges as two arrays) of the links between rows of equal key.
+
+    Keys of few rows are leaves of the hierarchy and compared directly, all at once; larger
+    ones get an index for each of their (one or two) parts.
+    """
+    order = np.lexsort((part, key))
+    fps, key, part = fps[order], key[order], part[order]
+    nodes, at = np.unique(fps, return_inverse=True)
     forest = _Forest(len(nodes))
-    for a, b in pair[0].links(pair[1], RADIUS):
-        forest.add(a, b + base)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(key)])
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(key))  # rows of the key from here on
+    small = np.flatnonzero(np.repeat(sizes <= LEAF, sizes))
+    for shift in range(1, LEAF):
+        small = small[left[small] > shift]
+        if not len(small):
+            break
+        near = small[np.bitwise_count(fps[small] ^ fps[small + shift]) <= RADIUS]
+        forest.add(at[near], at[near + shift])
+    for start, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
+        rows = slice(start, start + size)
+        sides = [GrayIndex(np.unique(fps[rows][part[rows] == p])) for p in np.unique(part[rows])]
+        where = [np.searchsorted(nodes, side.fps) for side in sides]
+        for a, b in sides[0].links(sides[-1], RADIUS):
+            forest.add(where[0][a], where[-1][b])
     moved = np.flatnonzero(forest.root != np.arange(len(nodes)))
-    return pd.DataFrame({"a": nodes[moved].view(np.int64), "b": nodes[forest.root[moved]].view(np.int64)})
+    return nodes[moved], nodes[forest.root[moved]]
+
+
+def _bucket(table: pa.Table) -> pa.Table:
+    column = lambda name: table.column(name).to_numpy()
+    key = np.unique(np.stack([column("block"), column("value"), column("low"), column("high")]), axis=1, return_inverse=True)[1]
+    a, b = forest_edges(column("fp").view(np.uint64), key.ravel(), column("part"))
+    return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def links(distinct: DataFrame, part: int = PART) -> DataFrame:
+def links(distinct: DataFrame, part: int = PART, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (a, b) that join all fingerprints (column fp, distinct) within RADIUS bits."""
     bits = 64 // BLOCKS
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", k * bits).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for k in range(BLOCKS)])
+    buckets = max(1, BLOCKS * distinct.count() // bucket_rows)
+    blocks = F.array(*[F.struct(F.lit(k).cast("long").alias("block"), F.shiftrightunsigned("fp", k * bits).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for k in range(BLOCKS)])
     keyed = distinct.select("fp", F.explode(blocks).alias("key")).select("fp", "key.block", "key.value")
     sizes = distinct.select(F.explode(blocks).alias("key")).groupBy("key").count().where("count > 1")
     sized = keyed.join(
@@ -168,11 +193,17 @@ def links(distinct: DataFrame, part: int = PART) -> DataFrame:
     own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     dealt = (
-        sized.select("fp", "block", "value", own.alias("part"), other.alias("other"))
+        sized.select("fp", "block", "value", "parts", own.alias("part"), other.alias("other"))
         .withColumn("low", F.least("part", "other"))
         .withColumn("high", F.greatest("part", "other"))
+        # Small blocks share buckets; each pair of parts of a hot block has its own.
+        .withColumn(
+            "bucket",
+            F.when(F.col("parts") == 1, F.struct(F.pmod(F.xxhash64("block", "value"), F.lit(buckets)).alias("n"), F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high")))
+            .otherwise(F.struct((F.col("block") * (1 << bits) + F.col("value") + buckets).alias("n"), F.col("low").alias("low"), F.col("high").alias("high"))),
+        )
     )
-    return dealt.groupBy("block", "value", "low", "high").applyInPandas(lambda frame: _forest_of(frame), "a long, b long")
+    return dealt.select("bucket", "fp", "block", "value", "low", "high", "part").groupBy("bucket").applyInArrow(_bucket, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from quillon.llm import simhash
@@ -63,7 +64,8 @@ def test_near_dedup_matches_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in wanted.values()})
 
 
-def test_links_of_hot_blocks_in_many_parts(spark):
+@pytest.mark.parametrize("part", [16, 90])
+def test_links_of_hot_blocks_in_many_parts(spark, part):
     rng = random.Random(3)
     fps = {0}
     while len(fps) < 400:  # chains of neighbours share most bits
@@ -74,7 +76,7 @@ def test_links_of_hot_blocks_in_many_parts(spark):
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     distinct = spark.createDataFrame([(f,) for f in signed], "fp long")
-    edges = simhash.links(distinct, part=16)
+    edges = simhash.links(distinct, part=part, bucket_rows=100)
     assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") >= 1 for r in edges.collect())
     got = {r.node: r.root for r in connected_components(edges).collect()}
     wanted = slow_components(fps, signed)
