@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, html_layout, mixing, pii, quality, sentencepiece_lattice, simhash, toxicity
+from quillon.llm import exact_dedup, html_layout, mixing, pii, quality, sentencepiece_lattice, simhash, topk, toxicity
 from quillon.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.rewritten(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ LLM_QUERIES = {
         op1_html,
         op2_exact_dedup,
         op3_sentencepiece,
+        op4_topk,
         op5_pii,
         op7_toxicity,
         op8_simhash,
@@ -94,7 +99,21 @@ SELECT doc_id, text, lang, source, n_chars, n::INTEGER AS n_copies, k::INTEGER A
 FROM copied
 """
 
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 LLM_ORACLES = {
     "op2_exact_dedup": _DEDUP_SQL,
+    "op4_topk": _TOPK_SQL,
     "op9_mixing": _MIX_SQL,
 }
