@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, html_layout, mixing, pii, quality, sentencepiece_lattice, simhash, topk, toxicity
+from quillon.llm import exact_dedup, html_layout, line_dedup, mixing, pii, quality, sentencepiece_lattice, simhash, topk, toxicity
 from quillon.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.rewritten(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ LLM_QUERIES = {
         op3_sentencepiece,
         op4_topk,
         op5_pii,
+        op6_line_dedup,
         op7_toxicity,
         op8_simhash,
         op9_mixing,
