@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import detection
+from quillon.plans import detection, privacy
 
-_MODULES = (detection,)
+_MODULES = (detection, privacy)
 
 
 def queries() -> dict:
