@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import detection, privacy
+from quillon.plans import detection, privacy, texts
 
-_MODULES = (detection, privacy)
+_MODULES = (detection, privacy, texts)
 
 
 def queries() -> dict:
