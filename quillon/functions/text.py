@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,12 +134,17 @@ def structured_to_sentences(c: Column) -> Column:
 
 
 def prepare(c: Column, expand: bool = True) -> Column:
-    """All preparation steps in order; blank text gives an empty text."""
-    made = structured_to_sentences(ocr_artefacts(strip_tags(nfkc(c))))
+    """All preparation steps but NFKC, in order; blank text gives an empty text."""
+    made = structured_to_sentences(ocr_artefacts(strip_tags(c)))
     made = expand_abbreviations(made) if expand else made
     return F.when(strip(F.coalesce(c, F.lit(""))) == "", F.lit("")).otherwise(sentence_boundaries(collapse_whitespace(made)))
 
 
+def prepared(docs: DataFrame, text_col: str = "text", out_col: str = "prepared", expand: bool = True) -> DataFrame:
+    """``docs`` plus the text after NFKC and all other steps."""
+    return docs.withColumn(out_col, nfkc(F.coalesce(F.col(text_col), F.lit("")))).withColumn(out_col, prepare(F.col(out_col), expand))
+
+
 def sections(c: Column) -> Column:
     """map(section -> text): each line belongs to the last heading seen, headings included."""
     name = F.lit("general_remarks")
