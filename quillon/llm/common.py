@@ -80,3 +80,17 @@ def labelled_sample(labels: DataFrame, label: str, bound: int, id_col: str = "do
     if n > bound:
         rows = rows.where(F.col("__h") < int((1 << 30) * min(1.0, 1.5 * bound / n)))
     return rows.orderBy("__h", "__id").limit(bound).select("__id", "__y")
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches cut to few rows, so that what is made from one of them stays small."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)
+
+
+def small_batches(df: DataFrame, limit: str = "8m") -> SparkSession:
+    """Bound the Arrow batches that tasks of this session hold: long texts come few at a time."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+    return spark

@@ -23,10 +23,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, whole_text, written_table
+from quillon.llm.common import checkpointed, slices, whole_text, written_table
 
 #: Buckets of the rarity sketch (fixed size, broadcast) and of the filter for verification.
 SKETCH, WANTED_BITS = 1 << 18, 1 << 22
@@ -34,22 +35,36 @@ SKETCH, WANTED_BITS = 1 << 18, 1 << 22
 NUMERATOR, DENOMINATOR = 4, 5
 CANDIDATES = 4
 PART, BUCKETS_OF, LEAF = 2048, 16_384, 48
+HOT_TOKENS, BLOCK = 200_000, 256
+_CHUNK = 500_000
 NO_ID = (1 << 63) - 1
 _CACHE = 200_000
 _ROW = "doc long, tie long, line int"
 
 
-def _tokens(cache: dict, line: str) -> np.ndarray:
-    """Sorted distinct 64-bit token hashes of a line."""
+def _hashes(cache: dict, words: list[str]) -> list[int]:
+    """64-bit hashes of words, remembered for frequent ones."""
     out = []
-    for w in line.split():
+    for w in words:
         h = cache.get(w)
         if h is None:
             if len(cache) >= _CACHE:
                 cache.clear()
             h = cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
         out.append(h)
-    return np.unique(np.array(out, np.uint64))
+    return out
+
+
+def _tokens(cache: dict, line: str) -> np.ndarray:
+    """Sorted distinct token hashes of a line."""
+    return np.unique(np.array(_hashes(cache, line.split()), np.uint64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64 finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,11 +78,18 @@ def token_sketch(rows: DataFrame) -> np.ndarray:
     """Token occurrences by hash bucket."""
 
     def count(batches):
-        total, cache = np.zeros(SKETCH, np.int64), {}
-        for batch in batches:
+        total, cache, held = np.zeros(SKETCH, np.int64), {}, []
+
+        def add():
+            np.add(total, np.bincount(np.array(held, np.uint64) % np.uint64(SKETCH), minlength=SKETCH), out=total)
+            held.clear()
+
+        for batch in slices(batches):
             for text in batch.column(0):
-                found = [_tokens(cache, line) for line in text.as_py().split("\n")]
-                total += np.bincount((np.concatenate(found) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                held += _hashes(cache, text.as_py().split())
+                if len(held) > _CHUNK:
+                    add()
+        add()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
@@ -81,34 +103,77 @@ def prefix_length(n: np.ndarray | int):
     return n - -(-n * NUMERATOR // DENOMINATOR) + 1
 
 
+def line_sets(tokens: np.ndarray, lines: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray | list]:
+    """Per distinct value of ``lines`` (ascending): set hash, size, bitmap and prefix.
+
+    All lines of a chunk are worked on at once.
+    """
+    order = np.lexsort((tokens, lines))
+    tokens, lines = tokens[order], lines[order]
+    first = np.r_[True, (lines[1:] != lines[:-1]) | (tokens[1:] != tokens[:-1])]
+    tokens, lines = tokens[first], lines[first]
+    starts = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
+    sizes = np.diff(np.r_[starts, len(lines)])
+    kinds = np.uint64(1) << (tokens >> np.uint64(58))
+    order = np.lexsort((tokens, counts[(tokens % np.uint64(SKETCH)).astype(np.int64)], lines))
+    rank = np.arange(len(lines)) - np.repeat(starts, sizes)
+    in_prefix = rank < np.repeat(prefix_length(sizes), sizes)
+    chosen = tokens[order][in_prefix]
+    return {
+        "line": lines[starts],
+        "set": np.add.reduceat(_mixed(tokens), starts),
+        "n": sizes,
+        # Parity of the tokens of each of 64 kinds: sets whose bitmaps differ in d bits differ in d tokens at least.
+        "bits": np.bitwise_xor.reduceat(kinds, starts),
+        # 32 bits of a token tell it apart inside a bucket; rare clashes only add candidates.
+        "prefix": (chosen >> np.uint64(16)).astype(np.uint32).view(np.int32),
+        "offsets": np.r_[0, np.cumsum(prefix_length(sizes))].astype(np.int32),
+        "common": counts[(chosen % np.uint64(SKETCH)).astype(np.int64)],
+    }
+
+
 def _classes(rows: DataFrame, sketch) -> DataFrame:
-    """One row per distinct token set: its earliest line, size, bitmap and prefix tokens."""
-    fields = {"a": pa.int64(), "b": pa.int64(), "doc": pa.int64(), "tie": pa.int64(), "line": pa.int32(), "n": pa.int32(), "bits": pa.int64(), "prefix": pa.list_(pa.int64())}
+    """One row per distinct token set: its earliest line, size, bitmap, prefix tokens, and
+    those of them that may be common (by the sketch, which never counts too low)."""
 
     def run(batches):
         counts, cache = sketch.value, {}
-        for batch in batches:
-            out = {k: [] for k in fields}
+
+        def out(held, at, texts):
+            found = line_sets(np.array(held, np.uint64), np.repeat(np.arange(len(at)), [n for _, n in at]), counts)
+            used = found["line"].astype(np.int64)
+            doc, tie = (np.array([x[k] for x in texts], np.int64) for k in (0, 1))
+            of, line = (np.array([x[k] for x, _ in at], np.int64)[used] for k in (0, 1))
+            prefix = pa.ListArray.from_arrays(pa.array(found["offsets"]), pa.array(found["prefix"]))
+            common = np.where(found["common"] > PART, found["prefix"].astype(np.int64), NO_ID)
+            keep = common != NO_ID
+            ends = np.r_[0, np.cumsum(keep)][found["offsets"]].astype(np.int32)
+            hot = pa.ListArray.from_arrays(pa.array(ends), pa.array(found["prefix"][keep]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found["set"].view(np.int64)), pa.array(found["bits"].view(np.int64)), pa.array(doc[of]), pa.array(tie[of]), pa.array(line.astype(np.int32)), pa.array(found["n"].astype(np.int32)), prefix, hot],
+                names=["set", "bits", "doc", "tie", "line", "n", "prefix", "hot"],
+            )
+
+        held, at, texts = [], [], []
+        for batch in slices(batches):
             for doc, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                texts.append((doc, tie))
                 for number, line in enumerate(text.as_py().split("\n")):
-                    tokens = _tokens(cache, line)
-                    if not len(tokens):
-                        continue
-                    key = xxhash.xxh3_128_digest(tokens.tobytes())
-                    n = len(tokens)
-                    order = np.lexsort((tokens, counts[(tokens % np.uint64(SKETCH)).astype(np.int64)]))[: prefix_length(n)]
-                    a, b = np.frombuffer(key, np.int64)
-                    # Parity of the tokens of each of 64 kinds: sets whose bitmaps differ in d bits differ in d tokens at least.
-                    bits = np.bitwise_xor.reduce(np.uint64(1) << (tokens >> np.uint64(58)))
-                    for k, v in zip(fields, (a, b, doc, tie, number, n, bits.view(np.int64), tokens[order].view(np.int64)), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), fields.values(), strict=True)], names=list(fields))
-
-    parts = rows.mapInArrow(run, f"a long, b long, {_ROW}, n int, bits long, prefix array<long>")
+                    words = line.split()
+                    if words:
+                        held += _hashes(cache, words)
+                        at.append(((len(texts) - 1, number), len(words)))
+                    if len(held) > _CHUNK:
+                        yield out(held, at, texts)
+                        held, at, texts = [], [], [(doc, tie)]
+        if held:
+            yield out(held, at, texts)
+
+    parts = rows.mapInArrow(run, f"set long, bits long, {_ROW}, n int, prefix array<int>, hot array<int>")
     return (
-        parts.groupBy("a", "b")
-        .agg(F.min(F.struct("doc", "tie", "line", "n", "bits", "prefix")).alias("x"))
-        .select("x.*")
+        parts.groupBy("set", "bits", "n")
+        .agg(F.min(F.struct("doc", "tie", "line", "prefix", "hot")).alias("x"))
+        .select("x.doc", "x.tie", "x.line", "n", "bits", "x.prefix", "x.hot")
     )
 
 
@@ -122,13 +187,87 @@ def _pairs(first_rows: np.ndarray, second_rows: np.ndarray, c: dict) -> np.ndarr
     return ok & (np.bitwise_count(c["bits"][first_rows] ^ c["bits"][second_rows]) <= n1 + n2 - 2 * need)
 
 
+_FIELDS = (("token", np.int32), ("low", np.int32), ("high", np.int32), ("part", np.int32), ("doc", np.int64), ("tie", np.int64), ("line", np.int32), ("n", np.int32), ("k", np.int32), ("bits", np.int64), ("probe", np.int8))
+
+
+def _index(classes: DataFrame, hot, buckets: int) -> DataFrame:
+    """(bucket, block): index entries, packed by bucket within each task.
+
+    ``hot`` maps common tokens to their number of parts; an entry under one of them goes to
+    every pair of parts that its own part belongs to.
+    """
+
+    def run(batches):
+        parts_of = hot.value
+        common = np.array(sorted(parts_of), np.int32)
+        parts_list = np.array([parts_of[t] for t in common.tolist()], np.int64)
+
+        def out(held):
+            c = {k: np.concatenate([h[k] for h in held]) for k, _ in _FIELDS if k not in ("low", "high", "part")}
+            where = np.minimum(np.searchsorted(common, c["token"]), max(0, len(common) - 1))
+            is_hot = common[where] == c["token"] if len(common) else np.zeros(len(c["token"]), bool)
+            parts = np.where(is_hot, parts_list[where], 1) if len(common) else np.ones(len(c["token"]), np.int64)
+            own = (_mixed((c["doc"] * 1_000_003 + c["line"]).view(np.uint64) ^ c["tie"].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+            rows = np.repeat(np.arange(len(parts)), parts)
+            other = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
+            c = {k: v[rows] for k, v in c.items()}
+            c["part"] = own[rows]
+            c["low"], c["high"] = np.minimum(c["part"], other), np.maximum(c["part"], other)
+            key = _mixed(c["token"].astype(np.int64).view(np.uint64))
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            split = parts[rows] > 1
+            pair = _mixed(key + (c["low"] * 65_537 + c["high"] + 1).view(np.uint64))
+            bucket = np.where(split, buckets + (pair >> np.uint64(2)).astype(np.int64), bucket)
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
+            columns = [c[k][order].astype(t) for k, t in _FIELDS]
+            pack = zstandard.ZstdCompressor(level=1)
+            blocks = [pack.compress(b"".join(x[a:b].tobytes() for x in columns)) for a, b in zip(starts, np.r_[starts[1:], len(order)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[order][starts]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+        held, size = [], 0
+        for batch in slices(batches, 4096):
+            prefix = batch.column(5)
+            sizes = prefix.value_lengths().to_numpy(zero_copy_only=False)
+            if not len(sizes):
+                continue
+            entry = {name: np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i, name in enumerate(("doc", "tie", "line", "n", "bits"))}
+            entry["token"] = prefix.flatten().to_numpy(zero_copy_only=False)
+            entry["k"] = np.arange(len(entry["token"])) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            entry["probe"] = np.repeat(batch.column(6).to_numpy(zero_copy_only=False).astype(np.int8), sizes)
+            entry["doc"], entry["line"] = entry["doc"].astype(np.int64), entry["line"].astype(np.int64)
+            held.append(entry)
+            size += len(entry["token"])
+            if size > _CHUNK:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    return classes.select("doc", "tie", "line", "n", "bits", "prefix", "probe").mapInArrow(run, "bucket long, block binary")
+
+
+def _unpacked(blocks) -> dict[str, np.ndarray]:
+    parts: dict[str, list] = {k: [] for k, _ in _FIELDS}
+    width = sum(np.dtype(t).itemsize for _, t in _FIELDS)
+    unpack = zstandard.ZstdDecompressor()
+    for block in blocks:
+        raw = unpack.decompress(block.as_py())
+        n, at = len(raw) // width, 0
+        for k, t in _FIELDS:
+            end = at + n * np.dtype(t).itemsize
+            parts[k].append(np.frombuffer(raw[at:end], t))
+            at = end
+    return {k: np.concatenate(v) for k, v in parts.items()}
+
+
 def _join(every: bool):
     def run(table: pa.Table) -> pa.Table:
-        c = {k: table.column(k).to_numpy() for k in ("token", "low", "high", "part", "doc", "tie", "line", "n", "k", "bits")}
+        c = _unpacked(table.column("block"))
         c = {k: v.astype(np.int64) if k in ("n", "k", "line") else v for k, v in c.items()}
-        probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
         order = np.lexsort((c["line"], c["tie"], c["doc"], c["high"], c["low"], c["token"]))
-        c, probe = {k: v[order] for k, v in c.items()}, probe[order]
+        c = {k: v[order] for k, v in c.items()}
+        probe = c["probe"].astype(bool)
         c["bits"] = c["bits"].view(np.uint64)
         change = np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1])]
         starts = np.flatnonzero(change)
@@ -138,66 +277,71 @@ def _join(every: bool):
         more = np.zeros(len(change), bool)
         taken = np.zeros(len(change), np.int64)
         small = np.flatnonzero(probe & (np.repeat(sizes, sizes) <= LEAF))
-
-        def keep(later, earlier):
+        # The nearest earlier rows first would do as well; the earliest are shared by most lines of a group.
+        for back in range(LEAF - 1):
+            small = small[into[small] > back]
+            if not len(small):
+                break
+            later, earlier = small, small - into[small] + back
             ok = _pairs(earlier, later, c)
             later, earlier = later[ok], earlier[ok]
             if not every:
                 full = taken[later] >= CANDIDATES
                 more[later[full]] = True
                 later, earlier = later[~full], earlier[~full]
-            np.add.at(taken, later, 1)
+                small = small[~more[small]]
+            taken[later] += 1
             if len(later):
                 found.append((later, earlier))
-
-        for shift in range(1, LEAF):
-            small = small[into[small] >= shift]
-            if not len(small):
-                break
-            keep(small, small - shift)
         for start, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
             rows = np.arange(start, start + size)
             split = c["low"][start] != c["high"][start]
-            for later in rows[probe[rows]]:
-                earlier = np.arange(start, later)
+            for at in range(0, size, BLOCK):  # a block of later rows meets all earlier ones at once
+                block = rows[at : at + BLOCK]
+                block, before = block[probe[block]], rows[: at + BLOCK]
+                near = c["n"][before][None] * DENOMINATOR >= c["n"][block][:, None] * NUMERATOR
+                near &= c["n"][block][:, None] * DENOMINATOR >= c["n"][before][None] * NUMERATOR
+                near &= before[None] < block[:, None]
                 if split:  # pairs inside a part belong to that part's own task
-                    earlier = earlier[c["part"][earlier] != c["part"][later]]
-                earlier = earlier[_pairs(earlier, np.full(len(earlier), later), c)]
-                if not every and len(earlier) > CANDIDATES:
-                    more[later] = True
-                    earlier = earlier[:CANDIDATES]
-                if len(earlier):
-                    found.append((np.full(len(earlier), later), earlier))
-        later, earlier = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
-        out = {}
-        for name, rows in (("x", later), ("y", earlier)):
-            for k in ("doc", "tie", "line"):
-                out[f"{name}_{k}"] = c[k][rows]
+                    near &= c["part"][before][None] != c["part"][block][:, None]
+                i, j = np.nonzero(near)
+                later, earlier = block[i], before[j]
+                ok = _pairs(earlier, later, c)
+                later, earlier = later[ok], earlier[ok]
+                if not every and len(later):
+                    new = np.flatnonzero(np.r_[True, later[1:] != later[:-1]])
+                    rank = np.arange(len(later)) - np.repeat(new, np.diff(np.r_[new, len(later)]))
+                    more[later[rank >= CANDIDATES]] = True
+                    later, earlier = later[rank < CANDIDATES], earlier[rank < CANDIDATES]
+                if len(later):
+                    found.append((later, earlier))
+        later, earlier = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        out = {f"{name}_{k}": c[k][rows] for name, rows in (("x", later), ("y", earlier)) for k in ("doc", "tie", "line")}
         out["x_more"] = more[later]
         return pa.table(out)
 
     return run
 
 
-def _candidates(index: DataFrame, buckets: int, every: bool, part: int) -> DataFrame:
+def _candidates(classes: DataFrame, hot, buckets: int, every: bool) -> DataFrame:
     """Distinct candidate pairs: a later line x and an earlier line y."""
-    sizes = index.groupBy(F.col("token").alias("t")).count().where("count > 1")
-    sized = index.join(sizes.select("t", F.ceil(F.col("count") / part).cast("long").alias("parts")), F.col("token") == F.col("t"))
-    dealt = (
-        sized.withColumn("part", F.pmod(F.xxhash64("doc", "tie", "line"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .withColumn("low", F.least("part", "other"))
-        .withColumn("high", F.greatest("part", "other"))
-    )
-    # Tokens of one part share buckets, each pair of parts of a common token has its own.
-    bucket = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("token"), F.lit(buckets))).otherwise(F.xxhash64("token", "low", "high"))
-    columns = ["token", "low", "high", "part", "doc", "tie", "line", "n", "k", "bits", "probe"]
     schema = ", ".join(f"{s}_doc long, {s}_tie long, {s}_line long" for s in "xy") + ", x_more boolean"
-    found = dealt.select(bucket.alias("bucket"), *columns).groupBy("bucket").applyInArrow(_join(every), schema)
+    found = _index(classes, hot, buckets).groupBy("bucket").applyInArrow(_join(every), schema)
     keys = [f"{s}_{k}" for s in "xy" for k in ("doc", "tie", "line")]
     return found.groupBy(*keys).agg(F.max("x_more").alias("x_more"))
 
 
+def common_tokens(classes: DataFrame, part: int) -> dict[int, int]:
+    """Tokens of more than ``part`` classes and the parts that they are dealt into.
+
+    The part grows until at most HOT_TOKENS tokens are left, which bounds the map.
+    """
+    counts = checkpointed(classes.select(F.explode("hot").alias("token")).groupBy("token").count().where(F.col("count") > part))
+    while counts.where(F.col("count") > part).count() > HOT_TOKENS:
+        part *= 2
+    return {r.token: -(-r["count"] // part) for r in counts.where(F.col("count") > part).collect()}
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The distinct later lines (doc, tie, line) of the pairs whose similarity holds."""
     spark = rows.sparkSession
@@ -214,7 +358,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     def pick(batches):
         cache: dict = {}
-        for batch in batches:
+        for batch in slices(batches, 4096):
             use = np.flatnonzero(bits.value[batch.column(4).to_numpy()])
             taken = batch.take(pa.array(use))
             tokens = [_tokens(cache, v.as_py()).view(np.int64) for v in taken.column(3)]
@@ -244,13 +388,12 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def kept_lines(rows: DataFrame, part: int = PART, bucket_rows: int = BUCKETS_OF) -> DataFrame:
     """(doc, tie, line) of the lines with words that stay."""
-    spark = rows.sparkSession
-    sketch = spark.sparkContext.broadcast(token_sketch(rows))
-    classes = written_table(_classes(rows, sketch))
-    index = classes.select("doc", "tie", "line", "n", "bits", F.lit(True).alias("probe"), F.posexplode("prefix").alias("k", "token"))
+    context = rows.sparkSession.sparkContext
+    classes = written_table(_classes(rows, context.broadcast(token_sketch(rows))))
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = max(1, total // bucket_rows)
-    pairs = checkpointed(_candidates(index, buckets, False, part))
+    hot = context.broadcast(common_tokens(classes, part))
+    pairs = checkpointed(_candidates(classes.withColumn("probe", F.lit(True)), hot, buckets, False))
     removed = checkpointed(_verified(pairs, rows))
     keys = ["doc", "tie", "line"]
     open_lines = checkpointed(
@@ -258,8 +401,7 @@ def kept_lines(rows: DataFrame, part: int = PART, bucket_rows: int = BUCKETS_OF)
     )
     if not open_lines.isEmpty():
         marked = classes.join(open_lines.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        again = marked.select(*keys, "n", "bits", "probe", F.posexplode("prefix").alias("k", "token"))
-        removed = checkpointed(removed.union(_verified(checkpointed(_candidates(again, buckets, True, part)), rows)).distinct())
+        removed = checkpointed(removed.union(_verified(checkpointed(_candidates(marked, hot, buckets, True)), rows)).distinct())
     return classes.select(*keys).join(removed, keys, "left_anti")
 
 

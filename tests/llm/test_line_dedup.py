@@ -39,6 +39,7 @@ def test_matches_brute_force(spark, monkeypatch, part, bucket, leaf, most):
     monkeypatch.setattr(line_dedup, "LEAF", leaf)
     monkeypatch.setattr(line_dedup, "CANDIDATES", most)
     monkeypatch.setattr(line_dedup.kept_lines, "__defaults__", (part, bucket))
+    monkeypatch.setattr(line_dedup, "PART", part)
     rows = [*corpus(part), (2000, None), (2001, ""), (None, "w1 w2 w3\nonly here"), (5, "long " * 40_000 + "\nx y")]
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, line string").repartition(4)
     wanted = brute(rows)
