@@ -33,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import whole_text, written_table
+from quillon.llm.common import slices, small_batches, whole_text, written_table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Most units whose encodings are broadcast; all others are joined.
-FREQUENT_UNITS = 1 << 18
+FREQUENT_UNITS = 1 << 16
 #: Longest unit whose boundaries fit the 64-bit state of the fold.
 MASK_CHARS = 60
-_FLUSH = 200_000
+_FLUSH = 100_000
 UNKNOWN, CONTROL, USER, BYTE = 2, 3, 4, 6
 
 
@@ -194,8 +194,9 @@ class Model:
             e = best[e][1]
         return out[::-1]
 
-    def decode(self, ids) -> str:
-        data = b"".join(self._bytes[i] for i in ids)
+    def decoded(self, parts) -> str:
+        """Text of the bytes of pieces."""
+        data = b"".join(parts)
         text = data.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
@@ -207,21 +208,58 @@ class Model:
         return [one(p, k) for p, k in zip(self.pieces, self.kinds, strict=True)]
 
 
+class _Words:
+    """Units of texts, word by word, with a bounded memory of words met before.
+
+    A single space starts a unit, so the units of a text without runs of spaces are
+    those of its words.
+    """
+
+    def __init__(self, model: Model, made=lambda units: units):
+        self.model, self.find, self.made, self.known = model, re.compile(model.unit_pattern).findall, made, {}
+        self.by_word = model.dummy_prefix and all(SPACE not in p.lstrip(SPACE) for p in model.table)
+
+    def split(self, text: str) -> list[str] | None:
+        """The words of a text, or None where it must be cut as a whole."""
+        words = text.split(" ")
+        return words if self.by_word and "" not in words and SPACE not in text else None
+
+    def of_word(self, word: str):
+        value = self.known.get(word)
+        if value is None:
+            if len(self.known) >= _FLUSH:
+                self.known.clear()
+            value = self.known[word] = self.made(self.find(SPACE + word))
+        return value
+
+    def whole(self, text: str) -> list[str]:
+        return self.model.units(text, self.find)
+
+
 def unit_counts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(unit, n) over all documents, counted within tasks before the shuffle."""
 
     def count(batches):
-        find, seen = re.compile(model.unit_pattern).findall, Counter()
+        cut, words, seen = _Words(model), Counter(), Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(model.units(text.as_py(), find))
-                if len(seen) >= _FLUSH:
+            for word, n in words.items():
+                for unit in cut.of_word(word):
+                    seen[unit] += n
+            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
+            words.clear()
+            seen.clear()
+            return made
+
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                parts = cut.split(text)
+                if parts is None:
+                    seen.update(cut.whole(text))
+                else:
+                    words.update(parts)
+                if len(words) + len(seen) >= _FLUSH:
                     yield out()
-                    seen.clear()
         yield out()
 
     parts = docs.select(whole_text(text_col).alias("text")).mapInArrow(count, "unit string, n long")
@@ -313,7 +351,7 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     encoded = lattice.select("unit", "n", _let(F.col("edges"), fold).alias("ids"))
 
     def long_units(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = [model.encode_unit(u.as_py()) for u in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
@@ -334,9 +372,12 @@ def frequent_from(counts: DataFrame, bound: int) -> int:
     return best
 
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int = FREQUENT_UNITS) -> DataFrame:
-    """``docs`` plus ``__ids`` (array of int); other columns stay as they are."""
-    spark: SparkSession = docs.sparkSession
+def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int = FREQUENT_UNITS, decoded: bool = False) -> DataFrame:
+    """``docs`` plus ``__ids`` (array of int); other columns stay as they are.
+
+    ``decoded`` adds the text of the ids (``__decoded``) in the same pass.
+    """
+    spark: SparkSession = small_batches(docs)
     encoded = written_table(encode_units(unit_counts(docs, model, text_col), model))
     least = frequent_from(encoded, frequent)
     top = encoded.where(F.col("n") >= least).select("unit", "ids").toPandas()  # at most ``frequent`` rows
@@ -344,11 +385,13 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int
     del top
 
     def rare(batches):
-        find, own = re.compile(model.unit_pattern).findall, known.value
-        for batch in batches:
+        own = known.value
+        cut = _Words(model, lambda units: tuple(u for u in units if u not in own))
+        for batch in slices(batches):
             keys, units = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                new = [u for u in set(model.units(text.as_py(), find)) if u not in own]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = cut.split(text)
+                new = {u for u in cut.whole(text) if u not in own} if parts is None else {u for w in set(parts) for u in cut.of_word(w)}
                 keys += [key] * len(new)
                 units += new
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.string())], names=["key", "unit"])
@@ -362,21 +405,36 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int
     )
     joined = keyed.join(found, F.col("__key") == F.col("__found"), "left").drop("__key", "__found")
     position, rare_at = docs.columns.index(text_col), len(docs.columns)
+    names = [*docs.columns, "__ids"] + ["__decoded"] * decoded
 
     def merge(batches):
-        find, own = re.compile(model.unit_pattern).findall, known.value
-        for batch in batches:
-            out = []
-            for text, extra in zip(batch.column(position), batch.column(rare_at), strict=True):
-                more = {x["unit"]: np.asarray(x["ids"], np.int32).tobytes() for x in extra.as_py() or ()}
-                out.append(np.frombuffer(b"".join([own.get(u) or more[u] for u in model.units(text.as_py() or "", find)]), np.int32))
+        own, pieces = known.value, np.array(model._bytes, dtype=object)
+        # The ids of a word as bytes, or its units where some of them are rare.
+        cut = _Words(model, lambda units: b"".join([own[u] for u in units]) if all(u in own for u in units) else tuple(units))
+        for batch in slices(batches):
+            out, rare_lists = [], batch.column(rare_at)
+            units, lists = rare_lists.flatten().flatten()
+            units, ends = units.to_pylist(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())] * 4
+            coded, last = lists.flatten().to_numpy().astype(np.int32).tobytes(), 0
+            for text, count in zip(batch.column(position).to_pylist(), rare_lists.value_lengths().fill_null(0).to_pylist(), strict=True):
+                more = {units[k]: coded[ends[k] : ends[k + 1]] for k in range(last, last + count)}
+                last += count
+                parts = cut.split(text or "")
+                if parts is None:
+                    ids = [own.get(u) or more[u] for u in cut.whole(text or "")]
+                else:
+                    found = map(cut.of_word, parts)
+                    ids = [x if type(x) is bytes else b"".join([own.get(u) or more[u] for u in x]) for x in found]
+                out.append(np.frombuffer(b"".join(ids), np.int32))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:rare_at], ids], names=[*names, "__ids"])
+            columns = [*batch.columns[:rare_at], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))]
+            if decoded:
+                columns.append(pa.array([model.decoded(pieces[x]) for x in out], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = list(docs.columns)
-    schema = docs.limit(0).withColumn("__ids", F.array().cast("array<int>")).schema
-    return joined.select(*[docs_col for docs_col in names], "__rare").mapInArrow(merge, schema)
+    schema = docs.limit(0).withColumn("__ids", F.array().cast("array<int>"))
+    schema = (schema.withColumn("__decoded", F.lit("")) if decoded else schema).schema
+    return joined.select(*docs.columns, "__rare").mapInArrow(merge, schema)
 
 
 def decode(encoded: DataFrame, model: Model, ids_col: str = "__ids") -> DataFrame:
@@ -384,8 +442,9 @@ def decode(encoded: DataFrame, model: Model, ids_col: str = "__ids") -> DataFram
     at, names = encoded.columns.index(ids_col), list(encoded.columns)
 
     def run(batches):
-        for batch in batches:
-            texts = [model.decode(x.as_py() or ()) for x in batch.column(at)]
+        pieces = np.array(model._bytes, dtype=object)
+        for batch in slices(batches):
+            texts = [model.decoded(pieces[x.values.to_numpy()]) if x.is_valid else "" for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "__decoded"])
 
     return encoded.mapInArrow(run, encoded.limit(0).withColumn("__decoded", F.lit("")).schema)
@@ -394,7 +453,7 @@ def decode(encoded: DataFrame, model: Model, ids_col: str = "__ids") -> DataFram
 def round_trip(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """doc_id, token_ids, n_tokens, and whether decoding gives the text again."""
     model = Model.load(model_path)
-    coded = decode(encode(docs.select("doc_id", "text"), model), model)
+    coded = encode(docs.select("doc_id", "text"), model, decoded=True)
     return coded.select(
         "doc_id", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("token_ids"),
         (F.col("__decoded") == whole_text("text")).alias("decoded_equal"),

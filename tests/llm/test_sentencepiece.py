@@ -24,6 +24,8 @@ def test_ids_equal_the_library_and_decode_exactly(spark, model, frequent):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS + TEXTS[:4])] + [(None, "no id here", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, unit string").repartition(3)
     coded = lattice.decode(lattice.encode(docs, model, frequent=frequent), model)
+    again = lattice.encode(docs, model, frequent=frequent, decoded=True)
+    assert sorted(map(str, again.collect())) == sorted(map(str, coded.collect()))
     assert coded.columns == ["doc_id", "text", "unit", "__ids", "__decoded"]
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     out = coded.collect()
