@@ -393,15 +393,21 @@ def kept_lines(rows: DataFrame, part: int = PART, bucket_rows: int = BUCKETS_OF)
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = max(1, total // bucket_rows)
     hot = context.broadcast(common_tokens(classes, part))
-    pairs = checkpointed(_candidates(classes.withColumn("probe", F.lit(True)), hot, buckets, False))
-    removed = checkpointed(_verified(pairs, rows))
-    keys = ["doc", "tie", "line"]
-    open_lines = checkpointed(
-        pairs.where("x_more").select(F.col("x_doc").alias("doc"), F.col("x_tie").alias("tie"), F.col("x_line").cast("int").alias("line")).distinct().join(removed, keys, "left_anti")
-    )
+    pairs = written_table(_candidates(classes.withColumn("probe", F.lit(True)), hot, buckets, False))
+    keys, x, y = ["doc", "tie", "line"], ["x_doc", "x_tie", "x_line"], ["y_doc", "y_tie", "y_line"]
+
+    def lines_of(some: DataFrame) -> DataFrame:
+        return some.select(*[F.col(a).cast(t).alias(b) for a, b, t in zip(x, keys, ("long", "long", "int"), strict=True)])
+
+    # One verified partner is enough: the earliest candidate first, the others where it fails.
+    earliest = pairs.groupBy(*x).agg(F.min(F.struct(*y)).alias("y")).select(*x, "y.*")
+    removed = checkpointed(_verified(written_table(earliest), rows))
+    left = pairs.join(removed.select(*[F.col(b).alias(a) for a, b in zip(x, keys, strict=True)]), x, "left_anti").join(earliest, [*x, *y], "left_anti")
+    removed = checkpointed(removed.union(_verified(written_table(left), rows)).distinct())
+    open_lines = checkpointed(lines_of(pairs.where("x_more")).distinct().join(removed, keys, "left_anti"))
     if not open_lines.isEmpty():
         marked = classes.join(open_lines.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        removed = checkpointed(removed.union(_verified(checkpointed(_candidates(marked, hot, buckets, True)), rows)).distinct())
+        removed = checkpointed(removed.union(_verified(written_table(_candidates(marked, hot, buckets, True)), rows)).distinct())
     return classes.select(*keys).join(removed, keys, "left_anti")
 
 
