@@ -117,8 +117,10 @@ def with_spans(docs: DataFrame, text_col: str = "text", report: bool = False) ->
 
 def span_rows(found: DataFrame, id_col: str) -> DataFrame:
     """One row per span."""
-    return found.select(id_col, F.explode("spans").alias("s")).select(id_col, "s.start", "s.end", "s.entity", "s.text", "s.score")
+    # The outer form keeps Spark from computing the spans twice for an inferred size filter.
+    return found.select(id_col, F.explode_outer("spans").alias("s")).where("s is not null").select(id_col, "s.start", "s.end", "s.entity", "s.text", "s.score")
 
 
 def entity_counts(found: DataFrame, *keys: str) -> DataFrame:
-    return found.select(*keys, F.explode("spans.entity").alias("entity")).groupBy(*keys, "entity").agg(F.count("*").alias("n"))
+    rows = found.select(*keys, F.explode_outer("spans").alias("s")).where("s is not null").select(*keys, "s.entity")
+    return rows.groupBy(*keys, "entity").agg(F.count("*").alias("n"))

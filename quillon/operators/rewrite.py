@@ -93,6 +93,12 @@ def anonymise(docs: DataFrame, mode: str = "two_step", text_col: str = "text", k
     return out.withColumn("vault", F.map_from_entries(entries))
 
 
+def vault_rows(found: DataFrame, id_col: str, key: str | None = None) -> DataFrame:
+    """(id, token, value) of the entities that the two-step policy can reveal again."""
+    spans = found.select(id_col, F.explode_outer("spans").alias("s")).where(F.col("s.entity").isin(TOKENISED))
+    return spans.select(id_col, token(F.col("s.entity"), F.col("s.text"), key).alias("token"), F.col("s.text").alias("value"))
+
+
 def rewrite_cells(table: DataFrame, columns: list[str], mode: str = "two_step", key: str | None = None) -> DataFrame:
     """Each cell as text, rewritten; blank and null cells stay.  Adds ``n_spans``."""
     mode = mode_of(mode)

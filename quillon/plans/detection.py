@@ -240,7 +240,7 @@ def mask_documents(spark, sf_dir):
 
 @query(f"{DETECTED} SELECT DISTINCT {TOKEN_SQL} AS token, text AS value FROM resolved WHERE entity IN ('PERSON', 'MRN', 'DRUG_ID', 'CDSCO_FILE')")
 def vault_entries(spark, sf_dir):
-    return W.anonymise(narr(spark, sf_dir), "two_step", key=W.DEMO_KEY).select(F.explode("vault").alias("token", "value")).distinct()
+    return W.vault_rows(detected(spark, sf_dir), "id", W.DEMO_KEY).select("token", "value").distinct()
 
 
 _CELL_SQL = """WITH c AS (SELECT c_custkey AS id, '+91-9' || lpad(c_custkey::VARCHAR, 9, '0') AS text FROM customer)
@@ -316,7 +316,7 @@ def prf_micro_macro(spark, sf_dir):
 
 @query(f"{DETECTED}, e AS (SELECT {TOKEN_SQL} AS token, entity, text AS value, id FROM resolved WHERE entity IN ('PERSON', 'MRN', 'DRUG_ID', 'CDSCO_FILE')) SELECT token, arg_max(value, id) AS value, arg_max(entity, id) AS entity, max(id) AS written FROM e GROUP BY token")
 def vault_upsert(spark, sf_dir):
-    rows = W.anonymise(narr(spark, sf_dir), "two_step", key=W.DEMO_KEY).select("id", F.explode("vault").alias("token", "value"))
+    rows = W.vault_rows(detected(spark, sf_dir), "id", W.DEMO_KEY).distinct()
     rows = rows.select("token", "value", S.entity_of_token(F.col("token")).alias("entity"), F.col("id").alias("written"))
     return S.upsert(rows.where("written % 2 = 0"), rows.where("written % 2 = 1"), ["token"], "written")
 
