@@ -64,7 +64,7 @@ def mime_sniff(spark, sf_dir):
   list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS ws FROM documents WHERE lang = 'en')
 SELECT doc_id, chars::INT AS chars, round(len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Za-z]{2,}'))) / greatest(len(ws), 1), 6) AS wordlike, chars >= 80 AS digital FROM t""")
 def page_signals(spark, sf_dir):
-    signals = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", I.page_signals(F.col("text")).alias("s"), I.digital_page(F.col("text")).alias("digital"))
+    signals = table(spark, sf_dir, "documents").select("doc_id", I.page_signals(F.col("text")).alias("s"), I.digital_page(F.col("text")).alias("digital"))
     return signals.select("doc_id", "s.chars", "s.wordlike", "digital")
 
 
@@ -72,7 +72,7 @@ def page_signals(spark, sf_dir):
 SELECT file, count(*) AS pages, count(*) FILTER (d) AS digital_pages, count(*) FILTER (NOT d) AS scanned_pages, count(*) FILTER (NOT d) > 0 AS needs_ocr,
   CASE WHEN count(*) FILTER (NOT d) = 0 THEN 'pdf_digital' WHEN count(*) FILTER (d) = 0 THEN 'pdf_scanned' ELSE 'pdf_mixed' END AS kind FROM p GROUP BY file""")
 def scan_summary(spark, sf_dir):
-    return I.scan_summary(table(spark, sf_dir, "documents").where("lang = 'en'").withColumnRenamed("source", "file"))
+    return I.scan_summary(table(spark, sf_dir, "documents").withColumnRenamed("source", "file"))
 
 
 @query("""WITH p AS (SELECT source AS file, count(*) AS pages, count(*) FILTER (length(trim(text)) < 80) AS s FROM documents WHERE lang = 'en' GROUP BY 1)
@@ -94,8 +94,8 @@ def ocr_lines(spark, sf_dir):
 # ---------------------------------------------------------------- text
 
 
-def _en(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @query(r"SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")
@@ -105,8 +105,7 @@ def strip_tags(spark, sf_dir):
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace('A|B -- ' || replace(text, chr(12), chr(10)), '-{2,}', '—', 'g'), '^A\|B', 'AIB') AS text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[A-Z]\|[A-Z]')")
 def ocr_artefacts(spark, sf_dir):
-    rows = _en(spark, sf_dir).where(~F.col("text").rlike(r"[A-Z]\|[A-Z]"))
-    return rows.select("doc_id", X.ocr_artefacts(F.concat(F.lit("A|B -- "), F.col("text"))).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", X.ocr_artefacts(F.concat(F.lit("A|B -- "), F.col("text"))).alias("text"))
 
 
 def _abbreviated_sql(c: str) -> str:
@@ -122,12 +121,12 @@ def abbreviations(spark, sf_dir):
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text || E'\n\n\n\n  end \t x', '[ \t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), E'\n{3,}', E'\n\n', 'g'), E' \n') AS text FROM documents WHERE lang = 'en'")
 def collapse_whitespace(spark, sf_dir):
-    return _en(spark, sf_dir).select("doc_id", X.collapse_whitespace(F.concat(F.col("text"), F.lit("\n\n\n\n  end \t x"))).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", X.collapse_whitespace(F.concat(F.col("text"), F.lit("\n\n\n\n  end \t x"))).alias("text"))
 
 
 @query(r"SELECT doc_id, regexp_replace(replace(text, '. ', '.'), '([.!?])([A-Z])', '\1 \2', 'g') AS text FROM documents WHERE lang = 'en'")
 def sentence_boundaries(spark, sf_dir):
-    return _en(spark, sf_dir).select("doc_id", X.sentence_boundaries(F.replace("text", F.lit(". "), F.lit("."))).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", X.sentence_boundaries(F.replace("text", F.lit(". "), F.lit("."))).alias("text"))
 
 
 @query("SELECT o_orderkey, 'HVAC' || o_orderkey || '. Overdue. Major. Water. Ok. Minor.' AS csv, 'first ' || o_orderkey || '. second. third done.' AS phrases FROM orders".replace("Major. Water.", "Major. Water."))
@@ -155,7 +154,7 @@ def small_text_functions(spark, sf_dir):
 
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::INT AS words, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) >= 10 AS enough FROM documents WHERE lang = 'en'")
 def word_counts(spark, sf_dir):
-    return _en(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), I.text_long_enough(F.col("text")).alias("enough"))
+    return _docs(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), I.text_long_enough(F.col("text")).alias("enough"))
 
 
 @query("SELECT o_orderkey, 'The cat sat down. Id 1234 5678 ' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || ' PAN ABCDE1234F' AS text FROM orders")
@@ -186,7 +185,7 @@ def conversation_text(spark, sf_dir):
 
 def _summaries(method):
     def run(spark, sf_dir):
-        return S.summarise(_en(spark, sf_dir), "doc_id", "text", 8, method)
+        return S.summarise(_docs(spark, sf_dir), "doc_id", "text", 8, method)
 
     return run
 
@@ -202,12 +201,12 @@ c AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY 1, 2), m AS (SELECT doc_id
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS n FROM m)
 SELECT doc_id, position::INT AS position, sentence, score FROM k JOIN r USING (doc_id, position) WHERE n <= 8""")
 def summary_frequency(spark, sf_dir):
-    return S.top_by_frequency(_en(spark, sf_dir), "doc_id", "text", 8)
+    return S.top_by_frequency(_docs(spark, sf_dir), "doc_id", "text", 8)
 
 
 @query()
 def section_summaries(spark, sf_dir):
-    rows = _en(spark, sf_dir).withColumn("sections", X.sections(F.concat(F.col("text"), F.lit("\nFindings: late. Records: none."))))
+    rows = _docs(spark, sf_dir).withColumn("sections", X.sections(F.concat(F.col("text"), F.lit("\nFindings: late. Records: none."))))
     return S.section_summaries(rows, "doc_id", "sections")
 
 
