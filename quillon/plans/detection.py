@@ -367,7 +367,7 @@ def mapping_replace(spark, sf_dir):
 
 @query("SELECT doc_id, substr(text, 1, 500) AS preview FROM documents WHERE source = 'src1'")
 def output_preview(spark, sf_dir):
-    return S.previews(table(spark, sf_dir, "documents").where("source = 'src1'"), "doc_id", "text")
+    return S.previews(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"{_TOKENS} SELECT token, CASE WHEN entity = 'MRN' THEN 'found' ELSE 'not_found' END AS status, CASE WHEN entity = 'MRN' THEN value END AS value FROM v")

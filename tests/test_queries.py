@@ -78,3 +78,11 @@ def test_artefacts_are_repaired_in_every_text(spark, tmp_path):
     rows = {r.doc_id: r.text for r in __spark_entry__.queries()["ocr_artefacts"](spark, str(tmp_path)).collect()}
     wanted = [re.sub(r"(?<=[A-Z])\|(?=[A-Z])", "I", re.sub("-{2,}", "—", ("A|B -- " + t).replace("\f", "\n"))) for t in texts]
     assert rows == dict(enumerate(wanted))
+
+
+def test_preview_of_documents_of_every_source(spark, sql):
+    """The registered SQL still has the filter on one source."""
+    rows = Counter((r.doc_id, r.preview) for r in __spark_entry__.queries()["output_preview"](spark, DIR).select("doc_id", "preview").collect())
+    text = __spark_entry__.oracle_sql()["output_preview"]
+    assert " WHERE source = 'src1'" in text
+    assert rows == Counter(sql.sql(text.replace(" WHERE source = 'src1'", "")).fetchall())
