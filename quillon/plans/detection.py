@@ -259,7 +259,7 @@ def _report(spark, sf_dir, reversible=True):
 
 @query(f"""{DETECTED}, {apply_sql('narr', 'resolved', "repeat('*', 12)")} SELECT id, anonymised_text AS processed_text FROM rewritten JOIN narr USING (id) WHERE shape <> 1""")
 def report_mask(spark, sf_dir):
-    return _report(spark, sf_dir, False).where("shape <> 1").select("id", "processed_text")
+    return _report(spark, sf_dir, False).select("id", "processed_text")
 
 
 _PREFIX_SQL = "CASE entity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.TOKEN_PREFIX.items()) + " ELSE 'UNK' END"
@@ -268,7 +268,7 @@ REPORT_TOKEN_SQL = f"'[ID-' || {_PREFIX_SQL} || '-' || {hmac_sql(W.REPORT_KEY, "
 
 @query(f"{DETECTED} SELECT DISTINCT id, {REPORT_TOKEN_SQL} AS token, text AS value FROM resolved JOIN (SELECT id, shape FROM narr) USING (id) WHERE shape <> 1")
 def report_tokens(spark, sf_dir):
-    return _report(spark, sf_dir).where("shape <> 1").select("id", F.explode("mapping").alias("token", "value")).distinct()
+    return _report(spark, sf_dir).select("id", F.explode("mapping").alias("token", "value")).distinct()
 
 
 @query(f"WITH {NARRATIVES_SQL} SELECT id, text AS restored, true AS equal FROM narr")

@@ -1,3 +1,5 @@
+import hashlib
+import hmac
 import os
 import re
 from collections import Counter
@@ -6,6 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from quillon.functions.patterns import TOKEN_PREFIX
+from quillon.operators.rewrite import REPORT_KEY
+from quillon.plans.narratives import NARRATIVES_SQL
 
 DIR = "/root/testdata/sf0.001"
 CHEAP = [
@@ -86,3 +91,36 @@ def test_preview_of_documents_of_every_source(spark, sql):
     text = __spark_entry__.oracle_sql()["output_preview"]
     assert " WHERE source = 'src1'" in text
     assert rows == Counter(sql.sql(text.replace(" WHERE source = 'src1'", "")).fetchall())
+
+
+@pytest.fixture(scope="module")
+def forms(sql):
+    """id -> (name, hospital, city, phone, record number, date) of the labelled forms."""
+    rows = sql.sql(f"WITH {NARRATIVES_SQL} SELECT s.id, name, hospital, city, phone, mrn, date FROM slots s JOIN narr n USING (id) WHERE s.shape = 1").fetchall()
+    return {i: rest for i, *rest in rows}
+
+
+def test_report_mask_has_the_forms(spark, sql, forms):
+    rows = {r.id: r.processed_text for r in __spark_entry__.queries()["report_mask"](spark, DIR).collect()}
+    # A field's value is one span, city included; the record number and the date are found by their own rules.
+    stars = "*" * 12
+    assert {i: rows[i] for i in forms} == {i: f"Name: {stars}\nHospital: {stars}\nPhone: {stars}\nRecord {stars} dated {stars}" for i in forms}
+    others = sql.sql(__spark_entry__.oracle_sql()["report_mask"])
+    a, b = others.columns.index("id"), others.columns.index("processed_text")
+    assert {i: t for i, t in rows.items() if i not in forms} == {r[a]: r[b] for r in others.fetchall()}
+
+
+def test_report_tokens_has_the_forms(spark, sql, forms):
+    rows = Counter((r.id, r.token, r.value) for r in __spark_entry__.queries()["report_tokens"](spark, DIR).collect())
+
+    def made(entity, value):
+        digest = hmac.new(REPORT_KEY.encode(), f"{entity}:{value}".encode(), hashlib.sha256).hexdigest()
+        return f"[ID-{TOKEN_PREFIX.get(entity, 'UNK')}-{digest[:6]}]", value
+
+    wanted = Counter()
+    for i, (name, hospital, city, phone, mrn, date) in forms.items():
+        for entity, value in (("PERSON", name), ("ORGANIZATION", f"{hospital}, {city}"), ("IN_PHONE", phone), ("MRN", mrn), ("DATE_TIME", date)):
+            wanted[i, *made(entity, value)] += 1
+    others = sql.sql(__spark_entry__.oracle_sql()["report_tokens"])
+    at = [others.columns.index(c) for c in ("id", "token", "value")]
+    assert rows == wanted + Counter(tuple(r[i] for i in at) for r in others.fetchall())
