@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STOP = frozenset("a an and are as at be been by for from had has have he her his i in is it its of on or she that the their they this to was were which with you".split())
-MOST_SENTENCES = 400
+#: Sentences whose word counts are held as a dense block at once.
+BLOCK = 256
 _SPLIT, _WORD = re.compile(r"(?<=[.!?])\s+"), re.compile(r"[^\W\d_]+")
 
 
@@ -46,29 +47,42 @@ def luhn(bags: list[list[str]]) -> np.ndarray:
     return np.array([score(b) for b in bags])
 
 
-def _matrix(bags: list[list[str]]) -> np.ndarray:
-    index = {w: i for i, w in enumerate(sorted({w for b in bags for w in b}))}
-    out = np.zeros((len(bags), max(1, len(index))))
-    for row, bag in enumerate(bags):
-        for w in bag:
-            out[row, index[w]] += 1
-    return out
+class _Bags:
+    """Word counts of sentences as (sentence, word, count) triples, sorted by sentence."""
+
+    def __init__(self, bags: list[list[str]]):
+        index = {w: i for i, w in enumerate(sorted({w for b in bags for w in b}))}
+        self.n, self.words = len(bags), max(1, len(index))
+        pairs = np.array([i * self.words + index[w] for i, b in enumerate(bags) for w in b], np.int64)
+        pairs, counts = np.unique(pairs, return_counts=True)
+        self.row, self.word, self.value = pairs // self.words, pairs % self.words, counts.astype(float)
+        self.df = np.bincount(self.word, minlength=self.words)
+        self.at = np.searchsorted(self.row, np.arange(self.n + 1))
+
+    def dense(self, first: int, last: int, values: np.ndarray) -> np.ndarray:
+        """Rows first to last - 1."""
+        out, cut = np.zeros((last - first, self.words)), slice(self.at[first], self.at[last])
+        out[self.row[cut] - first, self.word[cut]] = values[cut]
+        return out
+
+    def blocks(self) -> list[tuple[int, int]]:
+        return [(i, min(i + BLOCK, self.n)) for i in range(0, self.n, BLOCK)]
 
 
 def lsa(bags: list[list[str]]) -> np.ndarray:
-    m = _matrix(bags)
-    u, s, _ = np.linalg.svd(m * np.log((1 + len(m)) / (1 + (m > 0).sum(0)) + 1e-9), full_matrices=False)
+    b = _Bags(bags)
+    m = b.dense(0, b.n, b.value * np.log((1 + b.n) / (1 + b.df) + 1e-9)[b.word])
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
     k = min(len(s), max(3, len(s) // 3))
     return np.sqrt((u[:, :k] ** 2) @ (s[:k] ** 2))
 
 
-def _power(links: np.ndarray, damping: float = 0.85) -> np.ndarray:
-    n = len(links)
-    sums = links.sum(1, keepdims=True)
-    moves = np.divide(links, sums, out=np.full_like(links, 1 / n), where=sums > 0)
-    rank = np.full(n, 1 / n)
+def _power(n: int, sums: np.ndarray, times, damping: float = 0.85) -> np.ndarray:
+    """Ranks of a symmetric graph with row sums ``sums``; ``times(x)`` is its matrix times x."""
+    rank, lone = np.full(n, 1 / n), sums <= 0
     for _ in range(100):
-        new = (1 - damping) / n + damping * (moves.T @ rank)
+        moved = times(np.divide(rank, sums, out=np.zeros(n), where=~lone)) + rank[lone].sum() / n
+        new = (1 - damping) / n + damping * moved
         if np.abs(new - rank).sum() < 1e-9:
             break
         rank = new
@@ -76,39 +90,52 @@ def _power(links: np.ndarray, damping: float = 0.85) -> np.ndarray:
 
 
 def lexrank(bags: list[list[str]], threshold: float = 0.1) -> np.ndarray:
-    m = _matrix(bags)
-    m = m * (np.log(len(m) / np.maximum(1, (m > 0).sum(0))) + 1)
-    norm = np.linalg.norm(m, axis=1)
-    cosine = (m @ m.T) / np.maximum(norm[:, None] * norm[None], 1e-12)
-    return _power((cosine > threshold).astype(float))
+    """Links are made block by block and kept as bits, one for a pair of sentences."""
+    b = _Bags(bags)
+    values = b.value * (np.log(b.n / np.maximum(1, b.df)) + 1)[b.word]
+    values = values / np.sqrt(np.bincount(b.row, values**2, b.n))[b.row]
+    links = []
+    for first in b.blocks():
+        part = b.dense(*first, values)
+        links.append(np.packbits(np.hstack([part @ b.dense(*at, values).T > threshold for at in b.blocks()]), axis=1))
+
+    def times(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.unpackbits(rows, axis=1, count=b.n) @ x for rows in links])
+
+    return _power(b.n, times(np.ones(b.n)), times)
 
 
 def textrank(bags: list[list[str]]) -> np.ndarray:
-    m = (_matrix(bags) > 0).astype(float)
-    size = np.log(np.maximum(m.sum(1), 1))
-    links = m @ m.T / np.maximum(size[:, None] + size[None], 1e-9)
-    np.fill_diagonal(links, 0)
-    return _power(links)
+    """Links are shared words by log lengths; sentences of one length are summed at once and no pair is stored."""
+    b = _Bags(bags)
+    lengths, kind = np.unique(np.bincount(b.row, minlength=b.n), return_inverse=True)
+    size = np.log(np.maximum(lengths, 1))
+    weights = 1 / np.maximum(size[:, None] + size[None], 1e-9)
+    groups = [kind[b.row] == g for g in range(len(lengths))]
+
+    def times(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(b.n)
+        for g, of in enumerate(groups):
+            by_word = np.bincount(b.word[of], x[b.row[of]], b.words)
+            # A sentence's own share goes word by word, which leaves an exact 0 where no other has the word.
+            out += weights[kind, g] * np.bincount(b.row, by_word[b.word] - np.where(of, x[b.row], 0), b.n)
+        return out
+
+    return _power(b.n, times(np.ones(b.n)), times)
 
 
 METHODS = {"luhn": luhn, "lsa": lsa, "lexrank": lexrank, "textrank": textrank}
 
 
 def best_sentences(text: str | None, n: int = 8, method: str = "lsa") -> list[str]:
-    """The best n sentences in document order.
-
-    Quadratic methods work on runs of at most MOST_SENTENCES sentences, each with its
-    share of the summary, so that no document needs an unbounded matrix.
-    """
+    """The best n sentences in document order, scored over the whole text; of equal scores the earlier one."""
     found = split_sentences(text or "")
     if len(found) <= n:
         return found
-    runs = [range(i, min(i + MOST_SENTENCES, len(found))) for i in range(0, len(found), MOST_SENTENCES)]
-    scored = []
-    for run in runs:
-        scores = METHODS[method]([stems(found[i]) for i in run])
-        scored += sorted(((-float(s) / max(scores.max(), 1e-12), i) for s, i in zip(scores, run, strict=True)))[:n]
-    return [found[i] for i in sorted(i for _, i in sorted(scored)[:n])]
+    scores = METHODS[method]([stems(s) for s in found])
+    # Rounded, so that sums in another order do not part equal scores.
+    ranks = np.round(scores / max(scores.max(), 1e-12), 9)
+    return [found[i] for i in sorted(np.argsort(-ranks, kind="stable")[:n].tolist())]
 
 
 def summarise(docs: DataFrame, id_col: str, text_col: str, n: int = 8, method: str | None = None, type_col: str | None = None) -> DataFrame:

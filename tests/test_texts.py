@@ -2,6 +2,7 @@ import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,37 @@ def test_summaries_keep_order_and_length(method):
     assert S.best_sentences("One. Two.", 8, method) == ["One.", "Two."] and S.best_sentences(None, 8, method) == []
 
 
+@pytest.mark.parametrize("method", sorted(S.METHODS))
+def test_long_texts_are_scored_as_a_whole(method):
+    """Sentences beyond the first 3,200 that are best by far; each run of 400 used to get one sentence."""
+    plain = ["The of and."] * 3600
+    best = [f"{'risk audit batch ' * 4}{chr(97 + i) * 7}." for i in range(8)]
+    assert S.best_sentences(" ".join(plain[:3400] + best + plain[3400:]), 8, method) == best
+
+
+def test_graph_scores_match_dense_matrices():
+    rng = random.Random(3)
+    bags = [[rng.choice("abcdefghijklmnop") * 3 for _ in range(rng.choice([0, 1, 1, 2, 5, 9]))] for _ in range(700)]
+    names = sorted({w for b in bags for w in b})
+    m = np.array([[b.count(w) for w in names] for b in bags], float)
+
+    def power(links):
+        n, sums = len(links), links.sum(1, keepdims=True)
+        moves, rank = np.divide(links, sums, out=np.full_like(links, 1 / n), where=sums > 0), np.full(n, 1 / n)
+        for _ in range(200):
+            rank = 0.15 / n + 0.85 * (moves.T @ rank)
+        return rank
+
+    w = m * (np.log(len(m) / np.maximum(1, (m > 0).sum(0))) + 1)
+    norm = np.linalg.norm(w, axis=1)
+    cosine = (w @ w.T) / np.maximum(norm[:, None] * norm[None], 1e-12)
+    assert np.allclose(S.lexrank(bags), power((cosine > 0.1).astype(float)), atol=1e-8)
+    size = np.log(np.maximum((m > 0).sum(1), 1))
+    links = (m > 0).astype(float) @ (m > 0).T / np.maximum(size[:, None] + size[None], 1e-9)
+    np.fill_diagonal(links, 0)
+    assert np.allclose(S.textrank(bags), power(links), atol=1e-8)
+
+
 def test_files_and_isolated_errors(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("caf\xe9".encode("latin-1"))
     (tmp_path / "b.html").write_text("<script>x</script><p>Hi</p>")
