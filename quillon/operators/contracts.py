@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions.spans import let
 
+#: Most labelled rows that a severity model is fitted on.
+SAMPLE_ROWS = 12_000
+
 
 def completeness(records: DataFrame, id_col: str, rules: list[tuple[str, str, str, Column]]) -> DataFrame:
     """Flags (id, field_id, section, severity, status) from rules (field, section, severity, validity)."""
@@ -88,6 +91,20 @@ def priority(serious: Column, severity: Column, age_days: Column) -> Column:
     return F.least(F.lit(100.0), level + F.when(serious, 30).otherwise(0) + F.least(age_days, F.lit(30.0)))
 
 
+def label_sample(labels: DataFrame, id_col: str, label_col: str, bound: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``bound`` rows (id, label) with a label, chosen by a hash of the id.
+
+    The hash threshold is set from the number of rows, so that the final ordered limit
+    sees little more than ``bound`` rows at any table size.
+    """
+    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, label_col)
+    keyed = rows.withColumn("__h", F.pmod(F.xxhash64(F.lit("severity"), id_col), F.lit(1 << 30)))
+    n = rows.count()
+    if n > bound:
+        keyed = keyed.where(F.col("__h") < int((1 << 30) * min(1.0, 1.5 * bound / n)))
+    return keyed.orderBy("__h", id_col).limit(bound).select(id_col, label_col)
+
+
 def severity_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, features: int = 1 << 12, seed: int = 7):
     """A fitted pipeline (hashed words, random forest) for severity classes."""
     from pyspark.ml import Pipeline

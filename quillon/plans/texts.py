@@ -327,10 +327,13 @@ def priority_score(spark, sf_dir):
 
 @query()
 def severity_model(spark, sf_dir):
-    """Class and probability of each labelled document (a fitted forest: rows only)."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    fitted = C.severity_model(docs, labels.where("doc_id % 2 = 0"), "doc_id", "text", "toxic")
-    scored = fitted.transform(docs.join(labels.select("doc_id"), "doc_id", "left_semi"))
+    """Class and probability of every document (a fitted forest: rows only).
+
+    The forest is fitted on a sample of the labelled rows; those rows are scored like any other.
+    """
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), table(spark, sf_dir, "labels")
+    fitted = C.severity_model(docs, C.label_sample(labels, "doc_id", "toxic"), "doc_id", "text", "toxic")
+    scored = fitted.transform(docs)
     from pyspark.ml.functions import vector_to_array
 
     return scored.select("doc_id", F.col("prediction").cast("int").alias("label"), F.array_max(vector_to_array("probability")).alias("confidence"))

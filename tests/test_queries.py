@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__
 from quillon.functions.patterns import TOKEN_PREFIX
+from quillon.operators.contracts import label_sample
 from quillon.operators.rewrite import REPORT_KEY
 from quillon.plans.narratives import NARRATIVES_SQL
 
@@ -124,3 +125,17 @@ def test_report_tokens_has_the_forms(spark, sql, forms):
     others = sql.sql(__spark_entry__.oracle_sql()["report_tokens"])
     at = [others.columns.index(c) for c in ("id", "token", "value")]
     assert rows == wanted + Counter(tuple(r[i] for i in at) for r in others.fetchall())
+
+
+def test_severity_of_every_document(spark, sql):
+    rows = __spark_entry__.queries()["severity_model"](spark, DIR).collect()
+    assert sorted(r.doc_id for r in rows) == [i for (i,) in sql.sql("SELECT doc_id FROM documents ORDER BY doc_id").fetchall()]
+    assert {r.label for r in rows} <= {0, 1} and all(0.5 <= r.confidence <= 1 for r in rows)
+
+
+def test_label_sample_is_bounded(spark):
+    labels = spark.createDataFrame([(i if i % 50 else None, i % 2 if i % 7 else None) for i in range(5000)], "doc_id long, toxic int")
+    few = [tuple(r) for r in label_sample(labels, "doc_id", "toxic", 100).collect()]
+    assert len(few) == 100 and few == [tuple(r) for r in label_sample(labels.repartition(7), "doc_id", "toxic", 100).collect()]
+    assert all(i is not None and y is not None for i, y in few) and {i % 2 for i, _ in few} == {0, 1}
+    assert label_sample(labels, "doc_id", "toxic").count() == sum(1 for i in range(5000) if i % 50 and i % 7)
