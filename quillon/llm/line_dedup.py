@@ -20,11 +20,13 @@ table gives an empty result; other columns stay as they are.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import checkpointed, slices, whole_text, written_table
@@ -411,14 +413,22 @@ def kept_lines(rows: DataFrame, part: int = PART, bucket_rows: int = BUCKETS_OF)
     return classes.select(*keys).join(removed, keys, "left_anti")
 
 
+#: What str.split() takes for white space, as a class of Java's regular expressions.
+_SPACE = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()) + "]"
+
+
+def wordless(text: Column) -> Column:
+    """Numbers of the lines without words, by the rule of the tokenizer."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(F.regexp_replace(x, _SPACE, "") == "", i)), lambda i: i.isNotNull())
+
+
 def _joined(docs: DataFrame, id_col: str, text_col: str, narrow: bool) -> DataFrame:
     rows = _rows(docs, id_col, text_col)
     kept = kept_lines(rows).groupBy(F.col("doc").alias("__d"), F.col("tie").alias("__t")).agg(F.sort_array(F.collect_list("line")).alias("__kept"))
     unique = rows.select("tie").where("tie <> 0").isEmpty()
     keyed = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__tie", F.lit(0).cast("long") if unique else F.xxhash64(whole_text(text_col)))
     if narrow:
-        blank = F.filter(F.transform(F.split(whole_text(text_col), "\n"), lambda x, i: F.when(F.trim(F.regexp_replace(x, r"\s", "")) == "", i)), lambda i: i.isNotNull())
-        keyed = keyed.select(id_col, "__doc", "__tie", F.size(F.split(whole_text(text_col), "\n")).alias("__lines"), blank.alias("__blank"))
+        keyed = keyed.select(id_col, "__doc", "__tie", F.size(F.split(whole_text(text_col), "\n")).alias("__lines"), wordless(whole_text(text_col)).alias("__blank"))
     return keyed.join(kept, (F.col("__doc") == F.col("__d")) & (F.col("__tie") == F.col("__t")), "left")
 
 

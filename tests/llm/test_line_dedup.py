@@ -66,3 +66,12 @@ def test_empty_table(spark):
 def test_prefix_length():
     assert [line_dedup.prefix_length(n) for n in (1, 4, 5, 10, 41)] == [1, 1, 2, 3, 9]
     assert line_dedup.prefix_length(np.array([5, 10])).tolist() == [2, 3]
+
+
+def test_lines_of_unicode_white_space_stay(spark):
+    spaces = [chr(c) for c in range(0x11000) if chr(c).isspace() and chr(c) != "\n"]
+    rows = [(1, "\n".join(["a b c", *spaces, "".join(spaces), "a b c"])), (2, "​\n x\n　"), (3, " x\n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute(rows)
+    assert {r.doc_id: r.kept_lines for r in line_dedup.decisions(docs).collect()} == wanted
+    assert {r.doc_id: r.text for r in line_dedup.clean(docs).collect()} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k in wanted[i]) for i, t in rows}
