@@ -9,7 +9,8 @@
 
 Defined cases: a null text counts as empty; an empty text is scored from its
 statistics like any other; null or repeated ids are scored row by row; labels other than 0 and 1, or
-without a document, are ignored; without labels of both classes the score is the
+without a document, are ignored; of conflicting labels of one id the larger counts, and of
+documents with one labelled id the one with the smallest statistics; without labels of both classes the score is the
 share of label 1 (0.5 without labels).  Extra input columns never matter to a score.
 """
 
@@ -201,32 +202,46 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, labe
         docs.select(F.col("doc_id").alias("__id"), whole_text("text").alias("__text"))
         .join(F.broadcast(chosen), "__id")  # bounded by sample_rows
         .select("__id", "__y", *[v.alias(k) for k, v in stats.items()])
-        .limit(4 * sample_rows)
+        .groupBy("__id", "__y")  # one row an id, however often it repeats: the sample bounds what is collected
+        .agg(F.min(F.struct(*stats)).alias("s"))
+        .select("__id", "__y", "s.*")
         .toPandas()
         .sort_values(["__id", *stats], kind="stable")
     )
     return fit_rules(rows[list(stats)].to_numpy(float), rows["__y"].to_numpy(float), list(stats))
 
 
-def with_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` plus ``__quality_score`` and ``__quality_ok``; other columns stay as they are."""
+def scored_once(text: Column, model: RuleModel) -> Column:
+    """The score of ``text``; each statistic that a rule uses is computed once a row.
+
+    The statistics are elements of an array that a lambda takes, so that they stay
+    single expressions even where a filter on the score is pushed down and inlined.
+    """
     used = {name for conditions, _ in model.rules for name, _, _ in conditions}
-    stats = {k: v for k, v in statistics(whole_text("text")).items() if k in used}
-    packed = docs.withColumn("__quality_stats", F.struct(F.lit(0.0).alias("none"), *[v.alias(k) for k, v in stats.items()]))
-    score = model.score({k: F.col("__quality_stats")[k] for k in stats})
-    return (
-        packed.withColumn("__quality_score", score)
-        .withColumn("__quality_ok", F.col("__quality_score") >= F.lit(threshold))
-        .drop("__quality_stats")
-    )
+    stats = {k: v for k, v in statistics(text).items() if k in used}
+    packed = F.struct(F.lit(0.0).alias("none"), *[v.alias(k) for k, v in stats.items()])
+    return F.get(F.transform(F.array(packed), lambda s: model.score({k: s[k] for k in stats})), F.lit(0))
+
+
+def with_quality(docs: DataFrame, model: RuleModel, score_col: str = "quality_score", text_col: str = "text") -> DataFrame:
+    """``docs`` plus the score; a column that is there under that name already is refused."""
+    if score_col in docs.columns:
+        raise ValueError(f"{score_col} is a column of the input; name another one")
+    return docs.withColumn(score_col, scored_once(whole_text(text_col), model))
+
+
+def keep(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that reach the threshold; no column is added."""
+    return docs.where(scored_once(whole_text(text_col), model) >= F.lit(threshold))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    scored = with_quality(docs.select("doc_id", "text"), fit(docs, labels), threshold)
+    score = scored_once(whole_text("text"), fit(docs, labels))
+    scored = docs.select("doc_id", score.alias("score"))
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("__quality_score").alias("score"),
-        F.col("__quality_ok").cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= F.lit(threshold)).cast("int").alias("predicted"),
     )

@@ -52,3 +52,22 @@ def test_degenerate_inputs(spark):
     assert [r.score for r in alone] == [0.5]
     one = quality.classify(docs, labels.where("quality = 1")).select("score").distinct().collect()
     assert len(one) == 1 and one[0].score > 0.99
+
+
+def test_each_statistic_is_computed_once_where_the_score_filters(spark):
+    docs, labels = corpus(spark)
+    model = quality.RuleModel(0.1, [((("upper_share", True, 0.1), ("distinct_words", False, 0.5)), 1.0), ((("upper_share", False, 0.2),), -2.0), ((("distinct_words", True, 0.3),), 0.5)])
+    kept = quality.keep(docs, model).select("doc_id")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1 and plan.count("regexp_count") + plan.count("regexp_extract_all") == 1
+    scored = {r.doc_id: r.quality_score for r in quality.with_quality(docs, model).collect()}
+    assert {r.doc_id for r in kept.collect()} == {i for i, s in scored.items() if s >= 0.7} and 0 < len(scored)
+
+
+def test_clashing_names(spark):
+    docs, labels = corpus(spark, 60)
+    clash = docs.selectExpr("*", "1 as __id", "2 as __y", "'k' as __text", "3 as quality_score")
+    assert quality.classify(clash, labels).count() == 60
+    model = quality.RuleModel(1.0)
+    assert quality.keep(clash, model).columns == clash.columns
+    assert quality.with_quality(clash, model, "own").columns == [*clash.columns, "own"]
