@@ -16,7 +16,7 @@ from quillon.llm.common import table, written_table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.with_quality(docs, model).where("__quality_ok").select(*docs.columns)
+    return quality.keep(docs, model).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
