@@ -24,7 +24,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import checkpointed, slices, whole_text, written_table
 
 #: Buckets of the rarity sketch (fixed size, broadcast) and of the filter for verification.
-SKETCH, WANTED_BITS = 1 << 18, 1 << 22
+SKETCH_BITS, SLICES, WANTED_BITS = 19, 64, 1 << 24
+SKETCH = 1 << SKETCH_BITS
 #: Similarity as an exact fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 CANDIDATES = 4
@@ -40,28 +41,16 @@ PART, BUCKETS_OF, LEAF = 2048, 16_384, 48
 HOT_TOKENS, BLOCK = 200_000, 256
 _CHUNK = 500_000
 NO_ID = (1 << 63) - 1
-_CACHE = 200_000
+_LOW, _HIGH = (1 << 40) - 1, (1 << 48) - 1
+_IS_SPACE = np.array([chr(b).isspace() and b < 128 for b in range(256)])
+#: Lead byte -> the other bytes of the white space characters outside ASCII.
+_WIDE = {}
+for _c in filter(str.isspace, map(chr, range(128, sys.maxunicode + 1))):
+    _WIDE.setdefault(_c.encode()[:1], []).append(_c.encode()[1:])
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _ROW = "doc long, tie long, line int"
 
 
-def _hashes(cache: dict, words: list[str]) -> list[int]:
-    """64-bit hashes of words, remembered for frequent ones."""
-    out = []
-    for w in words:
-        h = cache.get(w)
-        if h is None:
-            if len(cache) >= _CACHE:
-                cache.clear()
-            h = cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return out
-
-
-def _tokens(cache: dict, line: str) -> np.ndarray:
-    """Sorted distinct token hashes of a line."""
-    return np.unique(np.array(_hashes(cache, line.split()), np.uint64))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,110 +59,160 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tie, text); ``tie`` tells documents of one id apart, and is 0 where ids are unique."""
+    """(doc, tie, text), distinct; ``tie`` tells documents of one id apart, and is 0 where ids are unique."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), whole_text(text_col).alias("text"))
-    repeated = base.groupBy("doc").count().where("count > 1").isEmpty()
-    return base.select("doc", (F.lit(0).cast("long") if repeated else F.xxhash64("text")).alias("tie"), "text")
+    if base.groupBy("doc").count().where("count > 1").isEmpty():
+        return base.select("doc", F.lit(0).cast("long").alias("tie"), "text")
+    return base.withColumn("tie", F.xxhash64("text")).groupBy("doc", "tie").agg(F.first("text").alias("text"))
+
+
+class Words:
+    """Words of the lines of some texts, found on their bytes all at once.
+
+    ``starts`` and ``sizes`` are those of the words, ``ends_at`` counts the words up to
+    the end of each line, ``lines_of`` the lines of each text.
+    """
+
+    def __init__(self, texts: pa.Array):
+        parts = texts.cast(pa.binary()).to_pylist()
+        data = np.frombuffer(b"\n".join([*parts, bytes(8)]), np.uint8)
+        size = len(data) - 8
+        space = _IS_SPACE[data[:size]]
+        for lead in _WIDE:  # white space of two or three bytes
+            for tail in _WIDE[lead] if (data[:size] == lead[0]).any() else ():
+                found = np.flatnonzero(data[:size] == lead[0])
+                for k, byte in enumerate(tail, 1):
+                    found = found[data[found + k] == byte]
+                for k in range(len(tail) + 1):
+                    space[found + k] = True
+        change = np.flatnonzero(space[1:] != space[:-1]) + 1
+        bounds = np.r_[0, change] if size and not space[0] else change  # the last byte is a line end
+        self.starts, ends = bounds[::2], bounds[1::2]
+        self.sizes = ends - self.starts
+        self.breaks = np.flatnonzero(data[:size] == 10)
+        self.ends_at = np.searchsorted(self.starts, self.breaks)
+        closing = np.cumsum([len(x) + 1 for x in parts]) - 1
+        self.lines_of = np.diff(np.r_[-1, np.searchsorted(self.breaks, closing)])
+        self._octets = np.ndarray(size, "<u8", data, strides=(1,))
+        self.head = (self._octets[self.starts] & _MASKS[np.minimum(self.sizes, 8)]) ^ (self.sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def buckets(self) -> np.ndarray:
+        """Sketch bucket of each word: by its first eight bytes and its length."""
+        return (self.head * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of each word, over all its bytes."""
+        out = _mixed(self.head)
+        more, at = np.flatnonzero(self.sizes > 8), 8
+        while len(more):
+            rest = self.sizes[more] - at
+            out[more] = _mixed(out[more] * np.uint64(3) + (self._octets[self.starts[more] + at] & _MASKS[np.minimum(rest, 8)]))
+            more, at = more[rest > 8], at + 8
+        return out
 
 
 def token_sketch(rows: DataFrame) -> np.ndarray:
-    """Token occurrences by hash bucket."""
+    """Word occurrences by hash bucket over all documents; tasks send compressed slices."""
 
     def count(batches):
-        total, cache, held = np.zeros(SKETCH, np.int64), {}, []
+        total = np.zeros(SKETCH, np.int64)
+        for batch in slices(batches, 2048):
+            total += np.bincount(Words(batch.column(0)).buckets(), minlength=SKETCH)
+        pack, parts = zstandard.ZstdCompressor(level=1), total.reshape(SLICES, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([pack.compress(x.tobytes()) for x in parts], pa.binary())], names=["slice", "n"])
 
-        def add():
-            np.add(total, np.bincount(np.array(held, np.uint64) % np.uint64(SKETCH), minlength=SKETCH), out=total)
-            held.clear()
+    def add(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        total = sum(np.frombuffer(unpack.decompress(x.as_py()), np.int64) for x in table.column("n"))
+        return pa.table({"slice": table.column("slice")[:1], "n": pa.array([total.tobytes()], pa.binary())})
 
-        for batch in slices(batches):
-            for text in batch.column(0):
-                held += _hashes(cache, text.as_py().split())
-                if len(held) > _CHUNK:
-                    add()
-        add()
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
-
-    sums = rows.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SKETCH, np.int64)
-    out[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
-    return out
+    sums = rows.select("text").mapInArrow(count, "slice int, n binary").groupBy("slice").applyInArrow(add, "slice int, n binary").collect()
+    out = np.zeros((SLICES, SKETCH // SLICES), np.int64)  # fixed size
+    for r in sums:
+        out[r["slice"]] = np.frombuffer(r["n"], np.int64)
+    return out.ravel()
 
 
 def prefix_length(n: np.ndarray | int):
     return n - -(-n * NUMERATOR // DENOMINATOR) + 1
 
 
-def line_sets(tokens: np.ndarray, lines: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray | list]:
-    """Per distinct value of ``lines`` (ascending): set hash, size, bitmap and prefix.
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Class of each bucket, 0 the rarest: four to each doubling of the count."""
+    return np.minimum(255, np.log2(np.maximum(counts, 1)) * 4).astype(np.uint64)
+
 
-    All lines of a chunk are worked on at once.
+def line_sets(hashes: np.ndarray, buckets: np.ndarray, lines: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
+    """Per distinct value of ``lines`` (ascending, under 2^16): set hash, size, bitmap and prefix.
+
+    Words are ordered by (rarity class, low 40 bits of the hash) within their line; the high
+    48 bits are sorted beside them, so that the two halves tell all words apart.
     """
-    order = np.lexsort((tokens, lines))
-    tokens, lines = tokens[order], lines[order]
-    first = np.r_[True, (lines[1:] != lines[:-1]) | (tokens[1:] != tokens[:-1])]
-    tokens, lines = tokens[first], lines[first]
-    starts = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
-    sizes = np.diff(np.r_[starts, len(lines)])
-    kinds = np.uint64(1) << (tokens >> np.uint64(58))
-    order = np.lexsort((tokens, counts[(tokens % np.uint64(SKETCH)).astype(np.int64)], lines))
-    rank = np.arange(len(lines)) - np.repeat(starts, sizes)
-    in_prefix = rank < np.repeat(prefix_length(sizes), sizes)
-    chosen = tokens[order][in_prefix]
+    line = lines.astype(np.uint64) << np.uint64(48)
+    key = line | classes[buckets] << np.uint64(40) | hashes & np.uint64(_LOW)
+    low, high = (np.sort(x) for x in (key, line | hashes >> np.uint64(16)))
+    low, high = (x[np.r_[True, x[1:] != x[:-1]]] for x in (low, high))
+    starts, others = (np.flatnonzero(np.r_[True, (x[1:] ^ x[:-1]) >> np.uint64(48) != 0]) for x in (low, high))
+    sizes = np.diff(np.r_[starts, len(low)])
+    if (sizes < np.diff(np.r_[others, len(high)])).any():  # words of a line that share their low half: tell them apart by the rest
+        order = np.lexsort((hashes, key))
+        first = np.r_[True, (key[order][1:] != key[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])]
+        low = key[order][first]
+        starts = np.flatnonzero(np.r_[True, (low[1:] ^ low[:-1]) >> np.uint64(48) != 0])
+        sizes = np.diff(np.r_[starts, len(low)])
+    tokens = low & np.uint64(_LOW)
+    prefix = prefix_length(sizes)
+    rank = np.arange(len(low)) - np.repeat(starts, sizes)
+    chosen = np.flatnonzero(rank < np.repeat(prefix, sizes))
     return {
-        "line": lines[starts],
-        "set": np.add.reduceat(_mixed(tokens), starts),
+        "line": (low[starts] >> np.uint64(48)).astype(np.int64),
+        "set": np.add.reduceat(_mixed(tokens + np.uint64(1)), starts),
+        "other": np.add.reduceat(_mixed(high & np.uint64(_HIGH)), others),
         "n": sizes,
         # Parity of the tokens of each of 64 kinds: sets whose bitmaps differ in d bits differ in d tokens at least.
-        "bits": np.bitwise_xor.reduceat(kinds, starts),
+        "bits": np.bitwise_xor.reduceat(np.uint64(1) << (tokens >> np.uint64(34)), starts),
         # 32 bits of a token tell it apart inside a bucket; rare clashes only add candidates.
-        "prefix": (chosen >> np.uint64(16)).astype(np.uint32).view(np.int32),
-        "offsets": np.r_[0, np.cumsum(prefix_length(sizes))].astype(np.int32),
-        "common": counts[(chosen % np.uint64(SKETCH)).astype(np.int64)],
+        "prefix": (tokens[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32),
+        "class": (low[chosen] >> np.uint64(40) & np.uint64(255)).astype(np.int64),
+        "offsets": np.r_[0, np.cumsum(prefix)].astype(np.int32),
     }
 
 
-def _classes(rows: DataFrame, sketch) -> DataFrame:
+def _classes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     """One row per distinct token set: its earliest line, size, bitmap, prefix tokens, and
     those of them that may be common (by the sketch, which never counts too low)."""
+    common_from = int(rarity(np.array([PART]))[0])
+    shared = rows.sparkSession.sparkContext.broadcast(rarity(counts).astype(np.uint8))
 
     def run(batches):
-        counts, cache = sketch.value, {}
-
-        def out(held, at, texts):
-            found = line_sets(np.array(held, np.uint64), np.repeat(np.arange(len(at)), [n for _, n in at]), counts)
-            used = found["line"].astype(np.int64)
-            doc, tie = (np.array([x[k] for x in texts], np.int64) for k in (0, 1))
-            of, line = (np.array([x[k] for x, _ in at], np.int64)[used] for k in (0, 1))
-            prefix = pa.ListArray.from_arrays(pa.array(found["offsets"]), pa.array(found["prefix"]))
-            common = np.where(found["common"] > PART, found["prefix"].astype(np.int64), NO_ID)
-            keep = common != NO_ID
-            ends = np.r_[0, np.cumsum(keep)][found["offsets"]].astype(np.int32)
-            hot = pa.ListArray.from_arrays(pa.array(ends), pa.array(found["prefix"][keep]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(found["set"].view(np.int64)), pa.array(found["bits"].view(np.int64)), pa.array(doc[of]), pa.array(tie[of]), pa.array(line.astype(np.int32)), pa.array(found["n"].astype(np.int32)), prefix, hot],
-                names=["set", "bits", "doc", "tie", "line", "n", "prefix", "hot"],
-            )
-
-        held, at, texts = [], [], []
-        for batch in slices(batches):
-            for doc, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                texts.append((doc, tie))
-                for number, line in enumerate(text.as_py().split("\n")):
-                    words = line.split()
-                    if words:
-                        held += _hashes(cache, words)
-                        at.append(((len(texts) - 1, number), len(words)))
-                    if len(held) > _CHUNK:
-                        yield out(held, at, texts)
-                        held, at, texts = [], [], [(doc, tie)]
-        if held:
-            yield out(held, at, texts)
-
-    parts = rows.mapInArrow(run, f"set long, bits long, {_ROW}, n int, prefix array<int>, hot array<int>")
+        kinds = shared.value.astype(np.uint64)
+        for batch in slices(batches, 2048):
+            words = Words(batch.column(2))
+            hashes, buckets = words.hashes(), words.buckets()
+            of = np.repeat(np.arange(batch.num_rows), words.lines_of)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(words.lines_of) - words.lines_of, words.lines_of)
+            doc, tie = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            per_line = np.diff(np.r_[0, words.ends_at])
+            for a in range(0, len(of), 1 << 16):
+                here = per_line[a : a + (1 << 16)]
+                last = words.ends_at[min(a + (1 << 16), len(of)) - 1]
+                first = last - here.sum()
+                if first == last:
+                    continue
+                found = line_sets(hashes[first:last], buckets[first:last], np.repeat(np.arange(len(here)), here), kinds)
+                at = found["line"] + a
+                prefix = pa.ListArray.from_arrays(pa.array(found["offsets"]), pa.array(found["prefix"]))
+                keep = found["class"] >= common_from
+                ends = np.r_[0, np.cumsum(keep)][found["offsets"]].astype(np.int32)
+                hot = pa.ListArray.from_arrays(pa.array(ends), pa.array(found["prefix"][keep]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found["set"].view(np.int64)), pa.array(found["other"].view(np.int64)), pa.array(found["bits"].view(np.int64)), pa.array(doc[of[at]]), pa.array(tie[of[at]]), pa.array(number[at].astype(np.int32)), pa.array(found["n"].astype(np.int32)), prefix, hot],
+                    names=["set", "other", "bits", "doc", "tie", "line", "n", "prefix", "hot"],
+                )
+
+    parts = rows.mapInArrow(run, f"set long, other long, bits long, {_ROW}, n int, prefix array<int>, hot array<int>")
     return (
-        parts.groupBy("set", "bits", "n")
+        parts.groupBy("set", "other", "bits", "n")
         .agg(F.min(F.struct("doc", "tie", "line", "prefix", "hot")).alias("x"))
         .select("x.doc", "x.tie", "x.line", "n", "bits", "x.prefix", "x.hot")
     )
@@ -344,54 +383,74 @@ def common_tokens(classes: DataFrame, part: int) -> dict[int, int]:
     return {r.token: -(-r["count"] // part) for r in counts.where(F.col("count") > part).collect()}
 
 
+def _slots(doc, tie, line) -> np.ndarray:
+    key = (doc.astype(np.int64) * np.int64(1_000_003) + line.astype(np.int64)).view(np.uint64) ^ tie.astype(np.int64).view(np.uint64)
+    return (_mixed(key) % np.uint64(WANTED_BITS)).astype(np.int64)
+
+
+def _wanted(members: DataFrame) -> np.ndarray:
+    """Bitmap (of fixed size) of the slots of lines (doc, tie, line)."""
+
+    def slots(batches):
+        for batch in batches:
+            used = np.unique(_slots(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))))
+            word = np.r_[0, np.cumsum(np.diff(used >> 6) != 0)] if len(used) else used
+            starts = np.flatnonzero(np.r_[True, np.diff(used >> 6) != 0]) if len(used) else used
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (used & 63).astype(np.uint64), starts) if len(word) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(used[starts] >> 6), pa.array(bits.view(np.int64))], names=["w", "bits"])
+
+    words = members.mapInArrow(slots, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
+    wanted = np.zeros(WANTED_BITS // 64, np.int64)
+    wanted[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return wanted.view(np.uint8)
+
+
+def similar(a: str, b: str) -> bool:
+    """Whether the word sets of two lines reach the similarity."""
+    x, y = set(a.split()), set(b.split())
+    shared = len(x & y)
+    return shared * DENOMINATOR >= (len(x) + len(y) - shared) * NUMERATOR
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The distinct later lines (doc, tie, line) of the pairs whose similarity holds."""
-    spark = rows.sparkSession
+    """The distinct later lines (doc, tie, line) of the pairs whose similarity holds, by the words themselves."""
     members = pairs.select(F.col("x_doc").alias("doc"), F.col("x_tie").alias("tie"), F.col("x_line").cast("int").alias("line")).union(
         pairs.select("y_doc", "y_tie", F.col("y_line").cast("int"))
     )
-    slot = F.pmod(F.xxhash64("doc", "tie", "line"), F.lit(WANTED_BITS))
-    words = members.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("bits")).toPandas()
-    wanted = np.zeros(WANTED_BITS // 64, np.int64)  # fixed size
-    wanted[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    bits = spark.sparkContext.broadcast(np.unpackbits(wanted.view(np.uint8), bitorder="little"))
-    lines = rows.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    slots = lines.withColumn("slot", slot)
+    wanted = rows.sparkSession.sparkContext.broadcast(_wanted(members))
 
     def pick(batches):
-        cache: dict = {}
-        for batch in slices(batches, 4096):
-            use = np.flatnonzero(bits.value[batch.column(4).to_numpy()])
-            taken = batch.take(pa.array(use))
-            tokens = [_tokens(cache, v.as_py()).view(np.int64) for v in taken.column(3)]
-            yield pa.RecordBatch.from_arrays([*taken.columns[:3], pa.array(tokens, pa.list_(pa.int64()))], names=["doc", "tie", "line", "tokens"])
-
-    distinct = members.distinct()
-    sets = (
-        slots.select("doc", "tie", "line", "value", "slot")
-        .mapInArrow(pick, f"{_ROW}, tokens array<long>")
-        .join(distinct.select(F.col("doc").alias("d"), F.col("tie").alias("t"), F.col("line").alias("l")), (F.col("doc") == F.col("d")) & (F.col("tie") == F.col("t")) & (F.col("line") == F.col("l")), "left_semi")
-        .groupBy("doc", "tie", "line")
-        .agg(F.first("tokens").alias("tokens"))
-    )
+        for batch in slices(batches, 2048):
+            doc, tie = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            lines = pc.split_pattern(batch.column(2), "\n")
+            sizes = lines.value_lengths().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            number = (np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            slot = _slots(doc[of], tie[of], number)
+            use = np.flatnonzero(wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[of[use]]), pa.array(tie[of[use]]), pa.array(number[use]), lines.flatten().take(pa.array(use)).cast(pa.string())], names=["doc", "tie", "line", "value"])
+
+    lines = rows.select("doc", "tie", "text").mapInArrow(pick, f"{_ROW}, value string")
 
-    def side(s: str) -> DataFrame:
-        return sets.select(*[F.col(k).alias(f"{s}{k}") for k in ("doc", "tie", "line")], F.col("tokens").alias(f"{s}tokens"))
+    keys = [f"{s}_{k}" for s in "xy" for k in ("doc", "tie", "line")]
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), *[F.col(f"{s}_{k}").alias(f"of_{k}") for k in ("doc", "tie", "line")]) for s in "xy"]))
+    ends = pairs.select(*keys, sides.alias("e")).select(*keys, "e.*")
+    found = ends.join(lines, (F.col("of_doc") == F.col("doc")) & (F.col("of_tie") == F.col("tie")) & (F.col("of_line") == F.col("line")))
+    both = found.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == s, F.col("value"))).alias(f"{s}value") for s in "xy"])
 
-    def on(s: str):
-        return (F.col(f"{s}_doc") == F.col(f"{s}doc")) & (F.col(f"{s}_tie") == F.col(f"{s}tie")) & (F.col(f"{s}_line") == F.col(f"{s}line"))
+    def check(batches):
+        for batch in batches:
+            good = [similar(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:3]], names=["doc", "tie", "line"])
 
-    both = pairs.join(side("x"), on("x")).join(side("y"), on("y"))
-    shared = F.size(F.array_intersect("xtokens", "ytokens"))
-    union = F.size("xtokens") + F.size("ytokens") - shared
-    hits = both.where(shared * DENOMINATOR >= union * NUMERATOR)
-    return hits.select(F.col("x_doc").alias("doc"), F.col("x_tie").alias("tie"), F.col("x_line").cast("int").alias("line")).distinct()
+    hits = both.select("x_doc", "x_tie", F.col("x_line").cast("int"), "xvalue", "yvalue").mapInArrow(check, _ROW)
+    return hits.distinct()
 
 
 def kept_lines(rows: DataFrame, part: int = PART, bucket_rows: int = BUCKETS_OF) -> DataFrame:
     """(doc, tie, line) of the lines with words that stay."""
     context = rows.sparkSession.sparkContext
-    classes = written_table(_classes(rows, context.broadcast(token_sketch(rows))))
+    classes = written_table(_classes(rows, token_sketch(rows)))
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = max(1, total // bucket_rows)
     hot = context.broadcast(common_tokens(classes, part))
@@ -414,12 +473,12 @@ def kept_lines(rows: DataFrame, part: int = PART, bucket_rows: int = BUCKETS_OF)
 
 
 #: What str.split() takes for white space, as a class of Java's regular expressions.
-_SPACE = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()) + "]"
+_WORD = "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()) + "]"
 
 
 def wordless(text: Column) -> Column:
     """Numbers of the lines without words, by the rule of the tokenizer."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(F.regexp_replace(x, _SPACE, "") == "", i)), lambda i: i.isNotNull())
+    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(~x.rlike(_WORD), i)), lambda i: i.isNotNull())
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, narrow: bool) -> DataFrame:
