@@ -5,13 +5,14 @@ number) has the same set, or one with Jaccard similarity of at least 0.8.
 
 1. Token counts over all documents in a sketch of fixed size give the global order, rare
    tokens first (any fixed order is exact; rarity keeps the index groups small).
-2. Equal sets are grouped; the earliest line stands for its class.
+2. Equal sets are grouped by a 128-bit hash of the set (with its size and bitmap); the earliest
+   line stands for its class.
 3. Each class enters an index under its prefix (its first n - ceil(0.8 n) + 1 tokens).  Classes
-   that meet at a token pass length, positional and bitmap filters (each exact).  Tokens
+   that meet at a token pass length, positional and 128-bit bitmap filters (each exact).  Tokens
    with very many classes are dealt by hash into parts, every pair of parts a task.
    For each line at most CANDIDATES earlier partners are emitted at first; lines with more
    that found no match among them get all of theirs in a second round.
-4. Candidates are verified on their whole token sets.
+4. Candidates are verified on the words of their lines themselves.
 
 Defined cases: null text counts as empty; lines without words always stay; case matters;
 null ids come last; rows with equal id and text are one document and get equal results; an empty
@@ -161,6 +162,7 @@ def line_sets(hashes: np.ndarray, buckets: np.ndarray, lines: np.ndarray, classe
         starts = np.flatnonzero(np.r_[True, (low[1:] ^ low[:-1]) >> np.uint64(48) != 0])
         sizes = np.diff(np.r_[starts, len(low)])
     tokens = low & np.uint64(_LOW)
+    kind = np.uint64(1) << (tokens >> np.uint64(34))
     prefix = prefix_length(sizes)
     rank = np.arange(len(low)) - np.repeat(starts, sizes)
     chosen = np.flatnonzero(rank < np.repeat(prefix, sizes))
@@ -169,8 +171,9 @@ def line_sets(hashes: np.ndarray, buckets: np.ndarray, lines: np.ndarray, classe
         "set": np.add.reduceat(_mixed(tokens + np.uint64(1)), starts),
         "other": np.add.reduceat(_mixed(high & np.uint64(_HIGH)), others),
         "n": sizes,
-        # Parity of the tokens of each of 64 kinds: sets whose bitmaps differ in d bits differ in d tokens at least.
-        "bits": np.bitwise_xor.reduceat(np.uint64(1) << (tokens >> np.uint64(34)), starts),
+        # Parity of the tokens of each of 128 kinds: sets whose bitmaps differ in d bits differ in d tokens at least.
+        "bits": np.bitwise_xor.reduceat(kind * (tokens >> np.uint64(33) & np.uint64(1)), starts),
+        "more_bits": np.bitwise_xor.reduceat(kind * (~tokens >> np.uint64(33) & np.uint64(1)), starts),
         # 32 bits of a token tell it apart inside a bucket; rare clashes only add candidates.
         "prefix": (tokens[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32),
         "class": (low[chosen] >> np.uint64(40) & np.uint64(255)).astype(np.int64),
@@ -206,15 +209,15 @@ def _classes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 ends = np.r_[0, np.cumsum(keep)][found["offsets"]].astype(np.int32)
                 hot = pa.ListArray.from_arrays(pa.array(ends), pa.array(found["prefix"][keep]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["set"].view(np.int64)), pa.array(found["other"].view(np.int64)), pa.array(found["bits"].view(np.int64)), pa.array(doc[of[at]]), pa.array(tie[of[at]]), pa.array(number[at].astype(np.int32)), pa.array(found["n"].astype(np.int32)), prefix, hot],
-                    names=["set", "other", "bits", "doc", "tie", "line", "n", "prefix", "hot"],
+                    [pa.array(found["set"].view(np.int64)), pa.array(found["other"].view(np.int64)), pa.array(found["bits"].view(np.int64)), pa.array(found["more_bits"].view(np.int64)), pa.array(doc[of[at]]), pa.array(tie[of[at]]), pa.array(number[at].astype(np.int32)), pa.array(found["n"].astype(np.int32)), prefix, hot],
+                    names=["set", "other", "bits", "more_bits", "doc", "tie", "line", "n", "prefix", "hot"],
                 )
 
-    parts = rows.mapInArrow(run, f"set long, other long, bits long, {_ROW}, n int, prefix array<int>, hot array<int>")
+    parts = rows.mapInArrow(run, f"set long, other long, bits long, more_bits long, {_ROW}, n int, prefix array<int>, hot array<int>")
     return (
-        parts.groupBy("set", "other", "bits", "n")
+        parts.groupBy("set", "other", "bits", "more_bits", "n")
         .agg(F.min(F.struct("doc", "tie", "line", "prefix", "hot")).alias("x"))
-        .select("x.doc", "x.tie", "x.line", "n", "bits", "x.prefix", "x.hot")
+        .select("x.doc", "x.tie", "x.line", "n", "bits", "more_bits", "x.prefix", "x.hot")
     )
 
 
@@ -225,16 +228,17 @@ def _pairs(first_rows: np.ndarray, second_rows: np.ndarray, c: dict) -> np.ndarr
     ok = low * DENOMINATOR >= high * NUMERATOR
     need = -(-(n1 + n2) * NUMERATOR // (NUMERATOR + DENOMINATOR))  # smallest overlap at this similarity
     ok &= np.minimum(k1, k2) + 1 + np.minimum(n1 - k1, n2 - k2) - 1 >= need
-    return ok & (np.bitwise_count(c["bits"][first_rows] ^ c["bits"][second_rows]) <= n1 + n2 - 2 * need)
+    apart = sum(np.bitwise_count(c[k][first_rows] ^ c[k][second_rows]) for k in ("bits", "more_bits"))
+    return ok & (apart <= n1 + n2 - 2 * need)
 
 
-_FIELDS = (("token", np.int32), ("low", np.int32), ("high", np.int32), ("part", np.int32), ("doc", np.int64), ("tie", np.int64), ("line", np.int32), ("n", np.int32), ("k", np.int32), ("bits", np.int64), ("probe", np.int8))
+_FIELDS = (("token", np.int32), ("low", np.int32), ("high", np.int32), ("part", np.int32), ("doc", np.int64), ("tie", np.int64), ("line", np.int32), ("n", np.int32), ("k", np.int32), ("bits", np.int64), ("more_bits", np.int64), ("probe", np.int8))
 
 
-def _index(classes: DataFrame, hot, buckets: int) -> DataFrame:
+def _index(classes: DataFrame, hot, buckets: int, only=None) -> DataFrame:
     """(bucket, block): index entries, packed by bucket within each task.
 
-    ``hot`` maps common tokens to their number of parts; an entry under one of them goes to
+    ``only`` is a bitmap of the tokens that matter, if not all do.  ``hot`` maps common tokens to their number of parts; an entry under one of them goes to
     every pair of parts that its own part belongs to.
     """
 
@@ -268,24 +272,27 @@ def _index(classes: DataFrame, hot, buckets: int) -> DataFrame:
 
         held, size = [], 0
         for batch in slices(batches, 4096):
-            prefix = batch.column(5)
+            prefix = batch.column(6)
             sizes = prefix.value_lengths().to_numpy(zero_copy_only=False)
             if not len(sizes):
                 continue
-            entry = {name: np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i, name in enumerate(("doc", "tie", "line", "n", "bits"))}
+            entry = {name: np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i, name in enumerate(("doc", "tie", "line", "n", "bits", "more_bits"))}
             entry["token"] = prefix.flatten().to_numpy(zero_copy_only=False)
             entry["k"] = np.arange(len(entry["token"])) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            entry["probe"] = np.repeat(batch.column(6).to_numpy(zero_copy_only=False).astype(np.int8), sizes)
+            entry["probe"] = np.repeat(batch.column(7).to_numpy(zero_copy_only=False).astype(np.int8), sizes)
             entry["doc"], entry["line"] = entry["doc"].astype(np.int64), entry["line"].astype(np.int64)
+            if only is not None:
+                use = _in_bitmap(only.value, entry["token"].astype(np.int64) % WANTED_BITS)
+                entry = {k: v[use] for k, v in entry.items()}
             held.append(entry)
             size += len(entry["token"])
             if size > _CHUNK:
                 yield out(held)
                 held, size = [], 0
-        if held:
+        if size:
             yield out(held)
 
-    return classes.select("doc", "tie", "line", "n", "bits", "prefix", "probe").mapInArrow(run, "bucket long, block binary")
+    return classes.select("doc", "tie", "line", "n", "bits", "more_bits", "prefix", "probe").mapInArrow(run, "bucket long, block binary")
 
 
 def _unpacked(blocks) -> dict[str, np.ndarray]:
@@ -309,7 +316,7 @@ def _join(every: bool):
         order = np.lexsort((c["line"], c["tie"], c["doc"], c["high"], c["low"], c["token"]))
         c = {k: v[order] for k, v in c.items()}
         probe = c["probe"].astype(bool)
-        c["bits"] = c["bits"].view(np.uint64)
+        c["bits"], c["more_bits"] = c["bits"].view(np.uint64), c["more_bits"].view(np.uint64)
         change = np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1])]
         starts = np.flatnonzero(change)
         sizes = np.diff(np.r_[starts, len(change)])
@@ -364,10 +371,10 @@ def _join(every: bool):
     return run
 
 
-def _candidates(classes: DataFrame, hot, buckets: int, every: bool) -> DataFrame:
+def _candidates(classes: DataFrame, hot, buckets: int, every: bool, only=None) -> DataFrame:
     """Distinct candidate pairs: a later line x and an earlier line y."""
     schema = ", ".join(f"{s}_doc long, {s}_tie long, {s}_line long" for s in "xy") + ", x_more boolean"
-    found = _index(classes, hot, buckets).groupBy("bucket").applyInArrow(_join(every), schema)
+    found = _index(classes, hot, buckets, only).groupBy("bucket").applyInArrow(_join(every), schema)
     keys = [f"{s}_{k}" for s in "xy" for k in ("doc", "tie", "line")]
     return found.groupBy(*keys).agg(F.max("x_more").alias("x_more"))
 
@@ -388,21 +395,28 @@ def _slots(doc, tie, line) -> np.ndarray:
     return (_mixed(key) % np.uint64(WANTED_BITS)).astype(np.int64)
 
 
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """Bitmap (WANTED_BITS bits, as bytes) of the column ``slot``."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()  # of fixed size
+    out = np.zeros(WANTED_BITS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def _in_bitmap(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _wanted(members: DataFrame) -> np.ndarray:
-    """Bitmap (of fixed size) of the slots of lines (doc, tie, line)."""
+    """Bitmap of the slots of lines (doc, tie, line)."""
 
     def slots(batches):
         for batch in batches:
             used = np.unique(_slots(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))))
-            word = np.r_[0, np.cumsum(np.diff(used >> 6) != 0)] if len(used) else used
-            starts = np.flatnonzero(np.r_[True, np.diff(used >> 6) != 0]) if len(used) else used
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (used & 63).astype(np.uint64), starts) if len(word) else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(used[starts] >> 6), pa.array(bits.view(np.int64))], names=["w", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(used)], names=["slot"])
 
-    words = members.mapInArrow(slots, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
-    wanted = np.zeros(WANTED_BITS // 64, np.int64)
-    wanted[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return wanted.view(np.uint8)
+    return _bitmap(members.mapInArrow(slots, "slot long"))
 
 
 def similar(a: str, b: str) -> bool:
@@ -426,8 +440,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             sizes = lines.value_lengths().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(sizes)), sizes)
             number = (np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            slot = _slots(doc[of], tie[of], number)
-            use = np.flatnonzero(wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            use = np.flatnonzero(_in_bitmap(wanted.value, _slots(doc[of], tie[of], number)))
             yield pa.RecordBatch.from_arrays([pa.array(doc[of[use]]), pa.array(tie[of[use]]), pa.array(number[use]), lines.flatten().take(pa.array(use)).cast(pa.string())], names=["doc", "tie", "line", "value"])
 
     lines = rows.select("doc", "tie", "text").mapInArrow(pick, f"{_ROW}, value string")
@@ -455,20 +468,18 @@ def kept_lines(rows: DataFrame, part: int = PART, bucket_rows: int = BUCKETS_OF)
     buckets = max(1, total // bucket_rows)
     hot = context.broadcast(common_tokens(classes, part))
     pairs = written_table(_candidates(classes.withColumn("probe", F.lit(True)), hot, buckets, False))
-    keys, x, y = ["doc", "tie", "line"], ["x_doc", "x_tie", "x_line"], ["y_doc", "y_tie", "y_line"]
+    keys, x = ["doc", "tie", "line"], ["x_doc", "x_tie", "x_line"]
 
     def lines_of(some: DataFrame) -> DataFrame:
         return some.select(*[F.col(a).cast(t).alias(b) for a, b, t in zip(x, keys, ("long", "long", "int"), strict=True)])
 
-    # One verified partner is enough: the earliest candidate first, the others where it fails.
-    earliest = pairs.groupBy(*x).agg(F.min(F.struct(*y)).alias("y")).select(*x, "y.*")
-    removed = checkpointed(_verified(written_table(earliest), rows))
-    left = pairs.join(removed.select(*[F.col(b).alias(a) for a, b in zip(x, keys, strict=True)]), x, "left_anti").join(earliest, [*x, *y], "left_anti")
-    removed = checkpointed(removed.union(_verified(written_table(left), rows)).distinct())
+    removed = checkpointed(_verified(pairs, rows))
     open_lines = checkpointed(lines_of(pairs.where("x_more")).distinct().join(removed, keys, "left_anti"))
     if not open_lines.isEmpty():
         marked = classes.join(open_lines.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        removed = checkpointed(removed.union(_verified(written_table(_candidates(marked, hot, buckets, True)), rows)).distinct())
+        tokens = marked.where("probe").select(F.explode("prefix").alias("token")).select(F.pmod(F.col("token").cast("long"), F.lit(WANTED_BITS).cast("long")).alias("slot"))
+        rest = written_table(_candidates(marked, hot, buckets, True, context.broadcast(_bitmap(tokens))))
+        removed = checkpointed(removed.union(_verified(rest, rows)).distinct())
     return classes.select(*keys).join(removed, keys, "left_anti")
 
 
