@@ -10,8 +10,8 @@ number) has the same set, or one with Jaccard similarity of at least 0.8.
 3. Each class enters an index under its prefix (its first n - ceil(0.8 n) + 1 tokens).  Classes
    that meet at a token pass length, positional and 128-bit bitmap filters (each exact).  Tokens
    with very many classes are dealt by hash into parts, every pair of parts a task.
-   For each line at most CANDIDATES earlier partners are emitted at first; lines with more
-   that found no match among them get all of theirs in a second round.
+   For each line the earlier partner whose bitmap is closest is emitted at first; lines with
+   more that did not match it get all of theirs in a second round.
 4. Candidates are verified on the words of their lines themselves.
 
 Defined cases: null text counts as empty; lines without words always stay; case matters;
@@ -37,7 +37,6 @@ SKETCH_BITS, SLICES, WANTED_BITS = 19, 64, 1 << 24
 SKETCH = 1 << SKETCH_BITS
 #: Similarity as an exact fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-CANDIDATES = 4
 PART, BUCKETS_OF, LEAF = 2048, 16_384, 48
 HOT_TOKENS, BLOCK = 200_000, 256
 _CHUNK = 500_000
@@ -221,15 +220,15 @@ def _classes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     )
 
 
-def _pairs(first_rows: np.ndarray, second_rows: np.ndarray, c: dict) -> np.ndarray:
-    """Which pairs of rows (index arrays) pass the length, positional and bitmap filters."""
+def _pairs(first_rows: np.ndarray, second_rows: np.ndarray, c: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows (index arrays) pass the length, positional and bitmap filters, and how far apart they look."""
     n1, n2, k1, k2 = c["n"][first_rows], c["n"][second_rows], c["k"][first_rows], c["k"][second_rows]
     low, high = np.minimum(n1, n2), np.maximum(n1, n2)
     ok = low * DENOMINATOR >= high * NUMERATOR
     need = -(-(n1 + n2) * NUMERATOR // (NUMERATOR + DENOMINATOR))  # smallest overlap at this similarity
     ok &= np.minimum(k1, k2) + 1 + np.minimum(n1 - k1, n2 - k2) - 1 >= need
-    apart = sum(np.bitwise_count(c[k][first_rows] ^ c[k][second_rows]) for k in ("bits", "more_bits"))
-    return ok & (apart <= n1 + n2 - 2 * need)
+    apart = sum(np.bitwise_count(c[k][first_rows] ^ c[k][second_rows]).astype(np.int64) for k in ("bits", "more_bits"))
+    return ok & (apart <= n1 + n2 - 2 * need), apart * 1000 // (n1 + n2)
 
 
 _FIELDS = (("token", np.int32), ("low", np.int32), ("high", np.int32), ("part", np.int32), ("doc", np.int64), ("tie", np.int64), ("line", np.int32), ("n", np.int32), ("k", np.int32), ("bits", np.int64), ("more_bits", np.int64), ("probe", np.int8))
@@ -322,25 +321,24 @@ def _join(every: bool):
         sizes = np.diff(np.r_[starts, len(change)])
         into = np.arange(len(change)) - np.repeat(starts, sizes)  # earlier rows of the group
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        more = np.zeros(len(change), bool)
-        taken = np.zeros(len(change), np.int64)
+        best, partner, hits = np.full(len(change), 1 << 30), np.zeros(len(change), np.int64), np.zeros(len(change), np.int64)
+
+        def take(later, earlier, apart):  # at most one pair for each row in ``later`` unless every pair is wanted
+            if every:
+                found.append((later, earlier))
+                return
+            better = apart < best[later]
+            best[later[better]], partner[later[better]] = apart[better], earlier[better]
+
         small = np.flatnonzero(probe & (np.repeat(sizes, sizes) <= LEAF))
-        # The nearest earlier rows first would do as well; the earliest are shared by most lines of a group.
         for back in range(LEAF - 1):
             small = small[into[small] > back]
             if not len(small):
                 break
             later, earlier = small, small - into[small] + back
-            ok = _pairs(earlier, later, c)
-            later, earlier = later[ok], earlier[ok]
-            if not every:
-                full = taken[later] >= CANDIDATES
-                more[later[full]] = True
-                later, earlier = later[~full], earlier[~full]
-                small = small[~more[small]]
-            taken[later] += 1
-            if len(later):
-                found.append((later, earlier))
+            ok, apart = _pairs(earlier, later, c)
+            hits[later[ok]] += 1
+            take(later[ok], earlier[ok], apart[ok])
         for start, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
             rows = np.arange(start, start + size)
             split = c["low"][start] != c["high"][start]
@@ -354,29 +352,35 @@ def _join(every: bool):
                     near &= c["part"][before][None] != c["part"][block][:, None]
                 i, j = np.nonzero(near)
                 later, earlier = block[i], before[j]
-                ok = _pairs(earlier, later, c)
-                later, earlier = later[ok], earlier[ok]
+                ok, apart = _pairs(earlier, later, c)
+                later, earlier, apart = later[ok], earlier[ok], apart[ok]
                 if not every and len(later):
-                    new = np.flatnonzero(np.r_[True, later[1:] != later[:-1]])
-                    rank = np.arange(len(later)) - np.repeat(new, np.diff(np.r_[new, len(later)]))
-                    more[later[rank >= CANDIDATES]] = True
-                    later, earlier = later[rank < CANDIDATES], earlier[rank < CANDIDATES]
-                if len(later):
-                    found.append((later, earlier))
+                    order = np.lexsort((earlier, apart, later))
+                    first = order[np.r_[True, later[order][1:] != later[order][:-1]]]
+                    np.add.at(hits, later, 1)
+                    later, earlier, apart = later[first], earlier[first], apart[first]
+                take(later, earlier, apart)
+        if not every:
+            later = np.flatnonzero(hits)
+            found = [(later, partner[later])]
         later, earlier = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
         out = {f"{name}_{k}": c[k][rows] for name, rows in (("x", later), ("y", earlier)) for k in ("doc", "tie", "line")}
-        out["x_more"] = more[later]
+        out["apart"], out["x_more"] = best[later], hits[later] > 1
         return pa.table(out)
 
     return run
 
 
 def _candidates(classes: DataFrame, hot, buckets: int, every: bool, only=None) -> DataFrame:
-    """Distinct candidate pairs: a later line x and an earlier line y."""
-    schema = ", ".join(f"{s}_doc long, {s}_tie long, {s}_line long" for s in "xy") + ", x_more boolean"
+    """Pairs of a later line x and an earlier line y: all, or for each x the one that looks closest."""
+    schema = ", ".join(f"{s}_doc long, {s}_tie long, {s}_line long" for s in "xy") + ", apart long, x_more boolean"
     found = _index(classes, hot, buckets, only).groupBy("bucket").applyInArrow(_join(every), schema)
-    keys = [f"{s}_{k}" for s in "xy" for k in ("doc", "tie", "line")]
-    return found.groupBy(*keys).agg(F.max("x_more").alias("x_more"))
+    x, y = (F.struct(*[f"{s}_{k}" for k in ("doc", "tie", "line")]) for s in "xy")
+    if every:
+        return found.select(x.alias("x"), y.alias("y")).distinct().select("x.*", "y.*")
+    least, most = F.min(F.struct("apart", y.alias("y"))), F.max(y)
+    closest = found.groupBy(x.alias("x")).agg(least.alias("c"), ((F.min(y) != most) | F.max("x_more")).alias("x_more"))
+    return closest.select("x.*", "c.y.*", "x_more")
 
 
 def common_tokens(classes: DataFrame, part: int) -> dict[int, int]:

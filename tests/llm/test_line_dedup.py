@@ -34,10 +34,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("part", "bucket", "leaf", "most"), [(2048, 16384, 48, 4), (8, 50, 4, 1)])
-def test_matches_brute_force(spark, monkeypatch, part, bucket, leaf, most):
+@pytest.mark.parametrize(("part", "bucket", "leaf"), [(2048, 16384, 48), (8, 50, 4)])
+def test_matches_brute_force(spark, monkeypatch, part, bucket, leaf):
     monkeypatch.setattr(line_dedup, "LEAF", leaf)
-    monkeypatch.setattr(line_dedup, "CANDIDATES", most)
     monkeypatch.setattr(line_dedup.kept_lines, "__defaults__", (part, bucket))
     monkeypatch.setattr(line_dedup, "PART", part)
     rows = [*corpus(part), (2000, None), (2001, ""), (None, "w1 w2 w3\nonly here"), (5, "long " * 40_000 + "\nx y")]
@@ -75,3 +74,25 @@ def test_lines_of_unicode_white_space_stay(spark):
     wanted = brute(rows)
     assert {r.doc_id: r.kept_lines for r in line_dedup.decisions(docs).collect()} == wanted
     assert {r.doc_id: r.text for r in line_dedup.clean(docs).collect()} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k in wanted[i]) for i, t in rows}
+
+
+def test_words_are_those_of_split():
+    import pyarrow as pa
+
+    texts = ["", "a b\n\n c", "\u3000x\u00a0y\x1cz\x85", "\n", "long" * 99 + " \u2003é\u1680 \u205f\u2028q\u202f", "ééé  日本語\n \n"]
+    words = line_dedup.Words(pa.array(texts))
+    data = "\n".join(texts).encode()
+    lines = "\n".join(texts).split("\n")
+    assert words.lines_of.tolist() == [len(t.split("\n")) for t in texts]
+    found = [data[a : a + n].decode() for a, n in zip(words.starts, words.sizes, strict=True)]
+    assert found == [w for x in lines for w in x.split()]
+    assert np.diff(np.r_[0, words.ends_at]).tolist() == [len(x.split()) for x in lines]
+    assert len(set(words.hashes().tolist())) == len(set(found))
+
+
+def test_sets_with_a_clash_of_half_hashes_keep_their_size():
+    hashes = np.array([5, 5 | 1 << 50, 7, 5, 5 | 1 << 50, 9], np.uint64)
+    found = line_dedup.line_sets(hashes, np.zeros(6, np.int64), np.array([0, 0, 0, 1, 1, 1]), np.zeros(8, np.uint64))
+    assert found["n"].tolist() == [3, 3] and found["line"].tolist() == [0, 1]
+    same = line_dedup.line_sets(hashes[[2, 1, 0, 0, 1, 2, 2]], np.zeros(7, np.int64), np.array([0, 0, 0, 3, 3, 3, 3]), np.zeros(8, np.uint64))
+    assert all(len(set(same[k].tolist())) == 1 for k in ("n", "set", "other", "bits", "more_bits"))
