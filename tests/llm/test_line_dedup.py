@@ -91,7 +91,7 @@ def test_words_are_those_of_split():
 
 
 def test_sets_with_a_clash_of_half_hashes_keep_their_size():
-    hashes = np.array([5, 5 | 1 << 50, 7, 5, 5 | 1 << 50, 9], np.uint64)
+    hashes = np.array([5 | 1 << 45, 5 | 1 << 50, 7 | 1 << 55, 5 | 1 << 45, 5 | 1 << 50, 9 | 1 << 56], np.uint64)
     found = line_dedup.line_sets(hashes, np.zeros(6, np.int64), np.array([0, 0, 0, 1, 1, 1]), np.zeros(8, np.uint64))
     assert found["n"].tolist() == [3, 3] and found["line"].tolist() == [0, 1]
     same = line_dedup.line_sets(hashes[[2, 1, 0, 0, 1, 2, 2]], np.zeros(7, np.int64), np.array([0, 0, 0, 3, 3, 3, 3]), np.zeros(8, np.uint64))
