@@ -8,7 +8,7 @@ number) has the same set, or one with Jaccard similarity of at least 0.8.
 2. Equal sets are grouped by a 128-bit hash of the set (with its size and bitmap); the earliest
    line stands for its class.
 3. Each class enters an index under its prefix (its first n - ceil(0.8 n) + 1 tokens).  Classes
-   that meet at a token pass length, positional and 128-bit bitmap filters (each exact).  Tokens
+   that meet at a token pass length, positional and bitmap filters (each exact).  Tokens
    with very many classes are dealt by hash into parts, every pair of parts a task.
    For each line the earlier partner whose bitmap is closest is emitted at first; lines with
    more that did not match it get all of theirs in a second round.
@@ -49,6 +49,8 @@ for _c in filter(str.isspace, map(chr, range(128, sys.maxunicode + 1))):
     _WIDE.setdefault(_c.encode()[:1], []).append(_c.encode()[1:])
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _ROW = "doc long, tie long, line int"
+#: Lanes of the parity bitmap.
+BITS = ("bits0", "bits1", "bits2")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -161,7 +163,7 @@ def line_sets(hashes: np.ndarray, buckets: np.ndarray, lines: np.ndarray, classe
         starts = np.flatnonzero(np.r_[True, (low[1:] ^ low[:-1]) >> np.uint64(48) != 0])
         sizes = np.diff(np.r_[starts, len(low)])
     tokens = low & np.uint64(_LOW)
-    kind = np.uint64(1) << (tokens >> np.uint64(34))
+    kind, lane = np.uint64(1) << (tokens >> np.uint64(34)), (tokens >> np.uint64(24)) % np.uint64(len(BITS))
     prefix = prefix_length(sizes)
     rank = np.arange(len(low)) - np.repeat(starts, sizes)
     chosen = np.flatnonzero(rank < np.repeat(prefix, sizes))
@@ -170,9 +172,8 @@ def line_sets(hashes: np.ndarray, buckets: np.ndarray, lines: np.ndarray, classe
         "set": np.add.reduceat(_mixed(tokens + np.uint64(1)), starts),
         "other": np.add.reduceat(_mixed(high & np.uint64(_HIGH)), others),
         "n": sizes,
-        # Parity of the tokens of each of 128 kinds: sets whose bitmaps differ in d bits differ in d tokens at least.
-        "bits": np.bitwise_xor.reduceat(kind * (tokens >> np.uint64(33) & np.uint64(1)), starts),
-        "more_bits": np.bitwise_xor.reduceat(kind * (~tokens >> np.uint64(33) & np.uint64(1)), starts),
+        # Parity of the tokens of each of 64 kinds a lane: sets whose bitmaps differ in d bits differ in d tokens at least.
+        **{name: np.bitwise_xor.reduceat(np.where(lane == k, kind, np.uint64(0)), starts) for k, name in enumerate(BITS)},
         # 32 bits of a token tell it apart inside a bucket; rare clashes only add candidates.
         "prefix": (tokens[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32),
         "class": (low[chosen] >> np.uint64(40) & np.uint64(255)).astype(np.int64),
@@ -208,15 +209,15 @@ def _classes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 ends = np.r_[0, np.cumsum(keep)][found["offsets"]].astype(np.int32)
                 hot = pa.ListArray.from_arrays(pa.array(ends), pa.array(found["prefix"][keep]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["set"].view(np.int64)), pa.array(found["other"].view(np.int64)), pa.array(found["bits"].view(np.int64)), pa.array(found["more_bits"].view(np.int64)), pa.array(doc[of[at]]), pa.array(tie[of[at]]), pa.array(number[at].astype(np.int32)), pa.array(found["n"].astype(np.int32)), prefix, hot],
-                    names=["set", "other", "bits", "more_bits", "doc", "tie", "line", "n", "prefix", "hot"],
+                    [pa.array(found["set"].view(np.int64)), pa.array(found["other"].view(np.int64)), *[pa.array(found[k].view(np.int64)) for k in BITS], pa.array(doc[of[at]]), pa.array(tie[of[at]]), pa.array(number[at].astype(np.int32)), pa.array(found["n"].astype(np.int32)), prefix, hot],
+                    names=["set", "other", *BITS, "doc", "tie", "line", "n", "prefix", "hot"],
                 )
 
-    parts = rows.mapInArrow(run, f"set long, other long, bits long, more_bits long, {_ROW}, n int, prefix array<int>, hot array<int>")
+    parts = rows.mapInArrow(run, f"set long, other long, {', '.join(f'{k} long' for k in BITS)}, {_ROW}, n int, prefix array<int>, hot array<int>")
     return (
-        parts.groupBy("set", "other", "bits", "more_bits", "n")
+        parts.groupBy("set", "other", *BITS, "n")
         .agg(F.min(F.struct("doc", "tie", "line", "prefix", "hot")).alias("x"))
-        .select("x.doc", "x.tie", "x.line", "n", "bits", "more_bits", "x.prefix", "x.hot")
+        .select("x.doc", "x.tie", "x.line", "n", *BITS, "x.prefix", "x.hot")
     )
 
 
@@ -227,17 +228,18 @@ def _pairs(first_rows: np.ndarray, second_rows: np.ndarray, c: dict) -> tuple[np
     ok = low * DENOMINATOR >= high * NUMERATOR
     need = -(-(n1 + n2) * NUMERATOR // (NUMERATOR + DENOMINATOR))  # smallest overlap at this similarity
     ok &= np.minimum(k1, k2) + 1 + np.minimum(n1 - k1, n2 - k2) - 1 >= need
-    apart = sum(np.bitwise_count(c[k][first_rows] ^ c[k][second_rows]).astype(np.int64) for k in ("bits", "more_bits"))
+    apart = sum(np.bitwise_count(c[k][first_rows] ^ c[k][second_rows]).astype(np.int64) for k in BITS)
     return ok & (apart <= n1 + n2 - 2 * need), apart * 1000 // (n1 + n2)
 
 
-_FIELDS = (("token", np.int32), ("low", np.int32), ("high", np.int32), ("part", np.int32), ("doc", np.int64), ("tie", np.int64), ("line", np.int32), ("n", np.int32), ("k", np.int32), ("bits", np.int64), ("more_bits", np.int64), ("probe", np.int8))
+_FIELDS = (("token", np.int32), ("low", np.int32), ("high", np.int32), ("part", np.int32), ("doc", np.int64), ("tie", np.int64), ("line", np.int32), ("n", np.int32), ("k", np.int32), *((k, np.int64) for k in BITS), ("probe", np.int8))
 
 
 def _index(classes: DataFrame, hot, buckets: int, only=None) -> DataFrame:
     """(bucket, block): index entries, packed by bucket within each task.
 
-    ``only`` is a bitmap of the tokens that matter, if not all do.  ``hot`` maps common tokens to their number of parts; an entry under one of them goes to
+    ``only`` has bitmaps of the lines that look for partners and of the tokens that
+    matter to them, if not all do.  ``hot`` maps common tokens to their number of parts; an entry under one of them goes to
     every pair of parts that its own part belongs to.
     """
 
@@ -271,18 +273,20 @@ def _index(classes: DataFrame, hot, buckets: int, only=None) -> DataFrame:
 
         held, size = [], 0
         for batch in slices(batches, 4096):
-            prefix = batch.column(6)
+            prefix = batch.column(4 + len(BITS))
             sizes = prefix.value_lengths().to_numpy(zero_copy_only=False)
             if not len(sizes):
                 continue
-            entry = {name: np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i, name in enumerate(("doc", "tie", "line", "n", "bits", "more_bits"))}
+            entry = {name: np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i, name in enumerate(("doc", "tie", "line", "n", *BITS))}
             entry["token"] = prefix.flatten().to_numpy(zero_copy_only=False)
             entry["k"] = np.arange(len(entry["token"])) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            entry["probe"] = np.repeat(batch.column(7).to_numpy(zero_copy_only=False).astype(np.int8), sizes)
             entry["doc"], entry["line"] = entry["doc"].astype(np.int64), entry["line"].astype(np.int64)
+            entry["probe"] = np.ones(len(entry["token"]), np.int8)
             if only is not None:
-                use = _in_bitmap(only.value, entry["token"].astype(np.int64) % WANTED_BITS)
+                lines, tokens = only.value
+                use = _in_bitmap(tokens, entry["token"].astype(np.int64) % WANTED_BITS)
                 entry = {k: v[use] for k, v in entry.items()}
+                entry["probe"] = _in_bitmap(lines, _slots(entry["doc"], entry["tie"], entry["line"])).astype(np.int8)
             held.append(entry)
             size += len(entry["token"])
             if size > _CHUNK:
@@ -291,7 +295,7 @@ def _index(classes: DataFrame, hot, buckets: int, only=None) -> DataFrame:
         if size:
             yield out(held)
 
-    return classes.select("doc", "tie", "line", "n", "bits", "more_bits", "prefix", "probe").mapInArrow(run, "bucket long, block binary")
+    return classes.select("doc", "tie", "line", "n", *BITS, "prefix").mapInArrow(run, "bucket long, block binary")
 
 
 def _unpacked(blocks) -> dict[str, np.ndarray]:
@@ -315,7 +319,7 @@ def _join(every: bool):
         order = np.lexsort((c["line"], c["tie"], c["doc"], c["high"], c["low"], c["token"]))
         c = {k: v[order] for k, v in c.items()}
         probe = c["probe"].astype(bool)
-        c["bits"], c["more_bits"] = c["bits"].view(np.uint64), c["more_bits"].view(np.uint64)
+        c |= {k: c[k].view(np.uint64) for k in BITS}
         change = np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1])]
         starts = np.flatnonzero(change)
         sizes = np.diff(np.r_[starts, len(change)])
@@ -423,6 +427,18 @@ def _wanted(members: DataFrame) -> np.ndarray:
     return _bitmap(members.mapInArrow(slots, "slot long"))
 
 
+def _tokens_of(classes: DataFrame, lines) -> DataFrame:
+    """Slots of the prefix tokens of the lines in a bitmap."""
+
+    def run(batches):
+        for batch in slices(batches, 8192):
+            use = _in_bitmap(lines.value, _slots(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))))
+            tokens = batch.column(3).filter(pa.array(use)).flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(tokens.astype(np.int64) % WANTED_BITS))], names=["slot"])
+
+    return classes.select("doc", "tie", "line", "prefix").mapInArrow(run, "slot long")
+
+
 def similar(a: str, b: str) -> bool:
     """Whether the word sets of two lines reach the similarity."""
     x, y = set(a.split()), set(b.split())
@@ -471,7 +487,7 @@ def kept_lines(rows: DataFrame, part: int = PART, bucket_rows: int = BUCKETS_OF)
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = max(1, total // bucket_rows)
     hot = context.broadcast(common_tokens(classes, part))
-    pairs = written_table(_candidates(classes.withColumn("probe", F.lit(True)), hot, buckets, False))
+    pairs = written_table(_candidates(classes, hot, buckets, False))
     keys, x = ["doc", "tie", "line"], ["x_doc", "x_tie", "x_line"]
 
     def lines_of(some: DataFrame) -> DataFrame:
@@ -480,9 +496,10 @@ def kept_lines(rows: DataFrame, part: int = PART, bucket_rows: int = BUCKETS_OF)
     removed = checkpointed(_verified(pairs, rows))
     open_lines = checkpointed(lines_of(pairs.where("x_more")).distinct().join(removed, keys, "left_anti"))
     if not open_lines.isEmpty():
-        marked = classes.join(open_lines.withColumn("probe", F.lit(True)), keys, "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        tokens = marked.where("probe").select(F.explode("prefix").alias("token")).select(F.pmod(F.col("token").cast("long"), F.lit(WANTED_BITS).cast("long")).alias("slot"))
-        rest = written_table(_candidates(marked, hot, buckets, True, context.broadcast(_bitmap(tokens))))
+        # Bitmaps of fixed size choose the lines; what they let through beside the open ones does no harm.
+        lines = _wanted(open_lines)
+        only = context.broadcast((lines, _bitmap(_tokens_of(classes, context.broadcast(lines)))))
+        rest = written_table(_candidates(classes, hot, buckets, True, only))
         removed = checkpointed(removed.union(_verified(rest, rows)).distinct())
     return classes.select(*keys).join(removed, keys, "left_anti")
 
