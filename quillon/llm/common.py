@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -33,6 +34,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session while a job runs; those that were there come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small ``df`` into the shared folder."""
     shared_folder(df.sparkSession)
@@ -43,12 +57,13 @@ def written_table(df: DataFrame) -> DataFrame:
     """``df`` written as (compressed) Parquet to the shared folder and read again.
 
     For results too large for an uncompressed checkpoint.  The files are removed
-    when the driver ends.
+    when the driver ends, shuffles of the job as soon as it is through.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
 
     def remove():
         try:

@@ -23,25 +23,28 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import slices, small_batches, whole_text, written_table
+from quillon.llm.common import settings, slices, small_batches, whole_text, written_table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Most units whose encodings are broadcast; all others are joined.
-FREQUENT_UNITS = 1 << 16
+#: Most units whose encodings are broadcast (about 35 bytes each); all others are joined.
+FREQUENT_UNITS = 1 << 20
+#: Units whose edges a task groups in memory before it sorts.
+UNITS_AT_ONCE = 1 << 16
 #: Longest unit whose boundaries fit the 64-bit state of the fold.
 MASK_CHARS = 60
-_FLUSH = 100_000
+_FLUSH = 1_000_000
 UNKNOWN, CONTROL, USER, BYTE = 2, 3, 4, 6
 
 
@@ -201,66 +204,86 @@ class Model:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
     @cached_property
-    def _bytes(self) -> list[bytes]:
+    def piece_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pieces, and the start and length of each."""
+
         def one(p, k):
             return bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode()
 
-        return [one(p, k) for p, k in zip(self.pieces, self.kinds, strict=True)]
-
+        parts = [one(p, k) for p, k in zip(self.pieces, self.kinds, strict=True)]
+        lengths = np.array(list(map(len, parts)), np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lengths) - lengths, lengths
 
-class _Words:
-    """Units of texts, word by word, with a bounded memory of words met before.
 
-    A single space starts a unit, so the units of a text without runs of spaces are
-    those of its words.
-    """
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all ranges (start, size), one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
-    def __init__(self, model: Model, made=lambda units: units):
-        self.model, self.find, self.made, self.known = model, re.compile(model.unit_pattern).findall, made, {}
-        self.by_word = model.dummy_prefix and all(SPACE not in p.lstrip(SPACE) for p in model.table)
 
-    def split(self, text: str) -> list[str] | None:
-        """The words of a text, or None where it must be cut as a whole."""
-        words = text.split(" ")
-        return words if self.by_word and "" not in words and SPACE not in text else None
+class _Cut:
+    """Units of a batch of texts, in order, with those of equal words found once.
 
-    def of_word(self, word: str):
-        value = self.known.get(word)
-        if value is None:
-            if len(self.known) >= _FLUSH:
-                self.known.clear()
-            value = self.known[word] = self.made(self.find(SPACE + word))
-        return value
+    A single space starts a unit, so the units of a text without runs of spaces are those
+    of its words; other texts are cut as a whole.  ``units`` are the units of the distinct
+    words, ``starts`` and ``sizes`` those of each word, ``of`` the words of the texts in
+    order and ``words`` how many each text has.
+    """
 
-    def whole(self, text: str) -> list[str]:
-        return self.model.units(text, self.find)
+    def __init__(self, model: Model, texts: pa.Array, find):
+        texts = texts.fill_null("")
+        odd = np.ones(len(texts), bool)
+        if model.dummy_prefix and all(SPACE not in p.lstrip(SPACE) for p in model.table):
+            ends = pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))
+            inside = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE))
+            odd = pc.or_(pc.or_(ends, inside), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        coded = plain.flatten().dictionary_encode()
+        units, sizes = [], []
+        for word in coded.dictionary.to_numpy(zero_copy_only=False):
+            found = find(SPACE + word)
+            units += found
+            sizes.append(len(found))
+        own = len(sizes)
+        whole = [model.units(x, find) for x in texts.filter(pa.array(odd)).to_pylist()]
+        for found in whole:
+            units += found
+        rest = sum(map(len, whole))
+        self.units = pa.array(units, pa.string())
+        self.sizes = np.r_[np.array(sizes, np.int64), np.ones(rest, np.int64)]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words = np.zeros(len(texts), np.int64)
+        self.words[~odd], self.words[odd] = plain.value_lengths().to_numpy(zero_copy_only=False), [len(x) for x in whole]
+        first = np.zeros(len(texts), np.int64)  # in ``of`` before the texts are put in order
+        counts = self.words[~odd]
+        first[~odd] = np.cumsum(counts) - counts
+        counts = self.words[odd]
+        first[odd] = np.cumsum(counts) - counts + len(coded)
+        flat = np.r_[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.arange(own, own + rest)]
+        self.of = flat[_ranges(first, self.words)]
 
 
 def unit_counts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(unit, n) over all documents, counted within tasks before the shuffle."""
 
     def count(batches):
-        cut, words, seen = _Words(model), Counter(), Counter()
+        find, seen = re.compile(model.unit_pattern).findall, []
 
         def out():
-            for word, n in words.items():
-                for unit in cut.of_word(word):
-                    seen[unit] += n
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
-            words.clear()
-            seen.clear()
-            return made
-
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                parts = cut.split(text)
-                if parts is None:
-                    seen.update(cut.whole(text))
-                else:
-                    words.update(parts)
-                if len(words) + len(seen) >= _FLUSH:
-                    yield out()
-        yield out()
+            table = pa.Table.from_batches(seen).group_by("unit").aggregate([("n", "sum")])
+            return table.select(["unit", "n_sum"]).rename_columns(["unit", "n"]).combine_chunks().to_batches()
+
+        size = 0
+        for batch in slices(batches, 2048):
+            cut = _Cut(model, batch.column(0), find)
+            uses = np.bincount(cut.of, minlength=len(cut.sizes))
+            seen.append(pa.RecordBatch.from_arrays([cut.units, pa.array(np.repeat(uses, cut.sizes))], names=["unit", "n"]))
+            size += len(cut.units)
+            if size > _FLUSH:
+                yield from out()
+                seen, size = [], 0
+        if seen:
+            yield from out()
 
     parts = docs.select(whole_text(text_col).alias("text")).mapInArrow(count, "unit string, n long")
     return parts.groupBy("unit").agg(F.sum("n").alias("n"))
@@ -324,7 +347,7 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     lattice = (
         spans.join(pieces, F.expr("substring(unit, s + 1, l)") == F.col("piece"))
         .groupBy("unit", "n")
-        .agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+        .agg(F.sort_array(F.collect_list(edge)).alias("edges"))
         .withColumn("edges", F.filter("edges", lambda e: e["id"] >= 0))
     )
     miss = float(min(model.scores) - 10.0)
@@ -372,89 +395,145 @@ def frequent_from(counts: DataFrame, bound: int) -> int:
     return best
 
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int = FREQUENT_UNITS, decoded: bool = False) -> DataFrame:
-    """``docs`` plus ``__ids`` (array of int); other columns stay as they are.
+class _Codes:
+    """Ids of units: a table of units beside their ids, one after the other."""
+
+    def __init__(self, units: pa.Array, sizes: np.ndarray, ids: np.ndarray):
+        self.units, self.sizes, self.ids = units, sizes, ids
+        self.starts = np.cumsum(sizes) - sizes
 
-    ``decoded`` adds the text of the ids (``__decoded``) in the same pass.
+    @classmethod
+    def of(cls, units: pa.Array, lists: pa.Array) -> _Codes:
+        return cls(units, lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+
+    def find(self, units: pa.Array) -> np.ndarray:
+        """Row of each unit, or -1."""
+        return pc.index_in(units, value_set=self.units).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def encode_cut(cut: _Cut, known: _Codes, more: _Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and how many each text has."""
+    at = known.find(cut.units)
+    missing = np.flatnonzero(at < 0)
+    at[missing] = more.find(cut.units.take(pa.array(missing))) + len(known.sizes)
+    if len(missing) and at[missing].min() < len(known.sizes):
+        raise ValueError("a unit has no encoding")
+    sizes, starts = np.r_[known.sizes, more.sizes], np.r_[known.starts, more.starts + len(known.ids)]
+    ids, unit_sizes = np.r_[known.ids, more.ids][_ranges(starts[at], sizes[at])], sizes[at]
+    before = np.r_[0, np.cumsum(unit_sizes)]  # ids before each unit of the distinct words
+    word_starts = before[cut.starts]
+    word_sizes = before[cut.starts + cut.sizes] - word_starts
+    out = ids[_ranges(word_starts[cut.of], word_sizes[cut.of])]
+    total = np.r_[0, np.cumsum(word_sizes[cut.of])]
+    ends = np.cumsum(cut.words)
+    return out, total[ends] - total[ends - cut.words]
+
+
+def decode_ids(model: Model, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """Texts of lists of ids that lie one after the other."""
+    data, starts, lengths = model.piece_bytes
+    used = lengths[ids]
+    text = data[_ranges(starts[ids], used)].tobytes()
+    at = np.r_[0, np.cumsum(used)][np.r_[0, np.cumsum(sizes)]]
+    return [model.decoded([text[a:b]]) for a, b in zip(at, at[1:], strict=False)]
+
+
+def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int = FREQUENT_UNITS, ids_col: str = "ids", decoded_col: str | None = None, equal_col: str | None = None) -> DataFrame:
+    """``docs`` plus ``ids_col`` (array of int); other columns stay as they are.
+
+    ``decoded_col`` adds the text of the ids in the same pass; ``equal_col`` adds whether that is the
+    text itself, and leaves the text out.  A name that the input has already is refused.
     """
+    added = [ids_col] + [c for c in (decoded_col, equal_col) if c]
+    if set(added) & set(docs.columns):
+        raise ValueError(f"{added} must not be columns of the input")
     spark: SparkSession = small_batches(docs)
-    encoded = written_table(encode_units(unit_counts(docs, model, text_col), model))
+    with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)}):
+        encoded = written_table(encode_units(unit_counts(docs, model, text_col), model))
     least = frequent_from(encoded, frequent)
-    top = encoded.where(F.col("n") >= least).select("unit", "ids").toPandas()  # at most ``frequent`` rows
-    known = spark.sparkContext.broadcast({u: np.asarray(i, np.int32).tobytes() for u, i in zip(top["unit"], top["ids"], strict=True)})
-    del top
+    top = encoded.where(F.col("n") >= least).select("unit", "ids").toArrow().combine_chunks()  # at most ``frequent`` rows
+    codes = _Codes.of(pa.concat_arrays(top.column("unit").chunks or [pa.array([], pa.string())]), pa.concat_arrays(top.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))]))
+    known = spark.sparkContext.broadcast(codes)
+    names, kept = docs.columns, [c for c in docs.columns if c != text_col]
+    inner = [f"c{i}" for i in range(len(kept))]
+    flat = docs.select(*[F.col(c).alias(i) for c, i in zip(kept, inner, strict=True)], whole_text(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
 
     def rare(batches):
-        own = known.value
-        cut = _Words(model, lambda units: tuple(u for u in units if u not in own))
-        for batch in slices(batches):
-            keys, units = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = cut.split(text)
-                new = {u for u in cut.whole(text) if u not in own} if parts is None else {u for w in set(parts) for u in cut.of_word(w)}
-                keys += [key] * len(new)
-                units += new
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.string())], names=["key", "unit"])
-
-    keyed = docs.withColumn("__key", F.xxhash64(whole_text(text_col)))
-    wanted = keyed.select("__key", whole_text(text_col)).mapInArrow(rare, "key long, unit string")
+        find, own = re.compile(model.unit_pattern).findall, known.value
+        for batch in slices(batches, 512):
+            cut = _Cut(model, batch.column(1), find)
+            lone = own.find(cut.units) < 0
+            counts = np.r_[0, np.cumsum(lone)]
+            per_word = counts[cut.starts + cut.sizes] - counts[cut.starts]
+            number = np.repeat(np.arange(batch.num_rows), cut.words)
+            with_any = np.flatnonzero(per_word[cut.of])
+            word, text = cut.of[with_any], number[with_any]
+            units = np.flatnonzero(lone)[_ranges(counts[cut.starts[word]], per_word[word])]
+            key = np.repeat(batch.column(0).to_numpy(zero_copy_only=False)[text], per_word[word])
+            pairs = pa.RecordBatch.from_arrays([pa.array(key), cut.units.take(pa.array(units))], names=["key", "unit"])
+            yield from pa.Table.from_batches([pairs]).group_by(["key", "unit"]).aggregate([]).select(["key", "unit"]).combine_chunks().to_batches()
+
     found = (
-        wanted.join(encoded.where(F.col("n") < least).select(F.col("unit").alias("u"), "ids"), F.col("unit") == F.col("u"))
-        .groupBy(F.col("key").alias("__found"))
-        .agg(F.collect_set(F.struct("unit", "ids")).alias("__rare"))
+        flat.select("key", "text")
+        .mapInArrow(rare, "key long, unit string")
+        .join(encoded.where(F.col("n") < least).select(F.col("unit").alias("u"), "ids"), F.col("unit") == F.col("u"))
+        .groupBy(F.col("key").alias("found_key"))
+        .agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
     )
-    joined = keyed.join(found, F.col("__key") == F.col("__found"), "left").drop("__key", "__found")
-    position, rare_at = docs.columns.index(text_col), len(docs.columns)
-    names = [*docs.columns, "__ids"] + ["__decoded"] * decoded
+
+    def pack(batches):  # texts travel compressed
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = [packer.compress(x) for x in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=[*inner, "key", "packed"])
+
+    shape = flat.select(*inner, "key").limit(0)
+    moved = flat.select(*inner, "key", "text").mapInArrow(pack, shape.withColumn("packed", F.lit(b"")).schema)
+    joined = moved.join(found, F.col("key") == F.col("found_key"), "left").select(*inner, "packed", "rare")
+    at = {c: i for i, c in enumerate(kept)}
 
     def merge(batches):
-        own, pieces = known.value, np.array(model._bytes, dtype=object)
-        # The ids of a word as bytes, or its units where some of them are rare.
-        cut = _Words(model, lambda units: b"".join([own[u] for u in units]) if all(u in own for u in units) else tuple(units))
-        for batch in slices(batches):
-            out, rare_lists = [], batch.column(rare_at)
-            units, lists = rare_lists.flatten().flatten()
-            units, ends = units.to_pylist(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())] * 4
-            coded, last = lists.flatten().to_numpy().astype(np.int32).tobytes(), 0
-            for text, count in zip(batch.column(position).to_pylist(), rare_lists.value_lengths().fill_null(0).to_pylist(), strict=True):
-                more = {units[k]: coded[ends[k] : ends[k + 1]] for k in range(last, last + count)}
-                last += count
-                parts = cut.split(text or "")
-                if parts is None:
-                    ids = [own.get(u) or more[u] for u in cut.whole(text or "")]
-                else:
-                    found = map(cut.of_word, parts)
-                    ids = [x if type(x) is bytes else b"".join([own.get(u) or more[u] for u in x]) for x in found]
-                out.append(np.frombuffer(b"".join(ids), np.int32))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            columns = [*batch.columns[:rare_at], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))]
-            if decoded:
-                columns.append(pa.array([model.decoded(pieces[x]) for x in out], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = docs.limit(0).withColumn("__ids", F.array().cast("array<int>"))
-    schema = (schema.withColumn("__decoded", F.lit("")) if decoded else schema).schema
-    return joined.select(*docs.columns, "__rare").mapInArrow(merge, schema)
-
-
-def decode(encoded: DataFrame, model: Model, ids_col: str = "__ids") -> DataFrame:
-    """``encoded`` plus ``__decoded``."""
+        find, own, unpack = re.compile(model.unit_pattern).findall, known.value, zstandard.ZstdDecompressor()
+        for batch in slices(batches, 512):
+            texts = pa.array([unpack.decompress(x) for x in batch.column(len(inner)).to_pylist()], pa.binary()).cast(pa.string())
+            lists = batch.column(len(inner) + 1).flatten()
+            units = lists.field("unit") if len(lists) else pa.array([], pa.string())
+            ids, sizes = encode_cut(_Cut(model, texts, find), own, _Codes.of(units, lists.field("ids") if len(lists) else pa.array([], pa.list_(pa.int32()))))
+            offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            columns = {c: batch.column(at[c]) for c in kept}
+            if not equal_col:
+                columns[text_col] = texts
+            columns[ids_col] = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+            if decoded_col or equal_col:
+                again = pa.array(decode_ids(model, ids, sizes), pa.string())
+                columns |= {decoded_col: again} if decoded_col else {}
+                columns |= {equal_col: pc.equal(again, texts)} if equal_col else {}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in schema.names], names=schema.names)
+
+    shown = docs.limit(0).withColumn(ids_col, F.array().cast("array<int>"))
+    shown = shown.withColumn(decoded_col, F.lit("")) if decoded_col else shown
+    shown = shown.withColumn(equal_col, F.lit(True)).drop(text_col) if equal_col else shown
+    schema = shown.withColumn(text_col, F.lit("").cast("string")).schema if text_col in shown.columns else shown.schema
+    return joined.mapInArrow(merge, schema)
+
+
+def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``encoded`` plus the texts of the ids; null ids decode to an empty text."""
+    if decoded_col in encoded.columns:
+        raise ValueError(f"{decoded_col} must not be a column of the input")
     at, names = encoded.columns.index(ids_col), list(encoded.columns)
 
     def run(batches):
-        pieces = np.array(model._bytes, dtype=object)
         for batch in slices(batches):
-            texts = [model.decoded(pieces[x.values.to_numpy()]) if x.is_valid else "" for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "__decoded"])
+            lists = batch.column(at)
+            texts = decode_ids(model, lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, decoded_col])
 
-    return encoded.mapInArrow(run, encoded.limit(0).withColumn("__decoded", F.lit("")).schema)
+    return encoded.mapInArrow(run, encoded.limit(0).withColumn(decoded_col, F.lit("")).schema)
 
 
 def round_trip(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """doc_id, token_ids, n_tokens, and whether decoding gives the text again."""
     model = Model.load(model_path)
-    coded = encode(docs.select("doc_id", "text"), model, decoded=True)
-    return coded.select(
-        "doc_id", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("token_ids"),
-        (F.col("__decoded") == whole_text("text")).alias("decoded_equal"),
-    )
+    coded = encode(docs.select("doc_id", "text"), model, ids_col="token_ids", equal_col="decoded_equal")
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded_equal")

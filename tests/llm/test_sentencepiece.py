@@ -24,14 +24,14 @@ def test_ids_equal_the_library_and_decode_exactly(spark, model, frequent):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS + TEXTS[:4])] + [(None, "no id here", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, unit string").repartition(3)
     coded = lattice.decode(lattice.encode(docs, model, frequent=frequent), model)
-    again = lattice.encode(docs, model, frequent=frequent, decoded=True)
+    again = lattice.encode(docs, model, frequent=frequent, decoded_col="decoded")
     assert sorted(map(str, again.collect())) == sorted(map(str, coded.collect()))
-    assert coded.columns == ["doc_id", "text", "unit", "__ids", "__decoded"]
+    assert coded.columns == ["doc_id", "text", "unit", "ids", "decoded"]
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     out = coded.collect()
     assert len(out) == len(rows)
     for r in out:
-        assert r["__ids"] == library.encode(r.text or "") and r["__decoded"] == (r.text or "")
+        assert r["ids"] == library.encode(r.text or "") and r["decoded"] == (r.text or "")
 
 
 def test_unit_of_any_length_encodes_alike(model):
@@ -79,3 +79,11 @@ def test_merge_fold_equals_the_heap(spark):
 
 def test_empty_table(spark, model):
     assert lattice.encode(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_clashing_names(spark, model):
+    docs = spark.createDataFrame([(1, "a  b", 7, "k", "r", "p")], "doc_id long, text string, key long, c0 string, rare string, packed string")
+    out = lattice.encode(docs, model, equal_col="same").first()
+    assert out.asDict() == {"doc_id": 1, "key": 7, "c0": "k", "rare": "r", "packed": "p", "ids": out.ids, "same": True}
+    with pytest.raises(ValueError):
+        lattice.encode(docs.withColumn("ids", docs.key), model)
