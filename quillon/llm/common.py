@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +106,32 @@ def labelled_sample(labels: DataFrame, label: str, bound: int, id_col: str = "do
     return rows.orderBy("__h", "__id").limit(bound).select("__id", "__y")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64 finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def byte_heads(octets: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first eight bytes of byte strings, with their lengths; ``octets`` has the eight bytes from each position on."""
+    return (octets[starts] & _MASKS[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def byte_hashes(octets: np.ndarray, starts: np.ndarray, sizes: np.ndarray, heads: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte strings, over all their bytes."""
+    out = mixed(byte_heads(octets, starts, sizes) if heads is None else heads)
+    more, at = np.flatnonzero(sizes > 8), 8
+    while len(more):
+        rest = sizes[more] - at
+        out[more] = mixed(out[more] * np.uint64(3) + (octets[starts[more] + at] & _MASKS[np.minimum(rest, 8)]))
+        more, at = more[rest > 8], at + 8
+    return out
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches cut to few rows, so that what is made from one of them stays small."""
     for batch in batches:

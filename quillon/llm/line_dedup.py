@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, slices, whole_text, written_table
+from quillon.llm.common import byte_hashes, byte_heads, checkpointed, mixed, slices, whole_text, written_table
 
 #: Buckets of the rarity sketch (fixed size, broadcast) and of the filter for verification.
 SKETCH_BITS, SLICES, WANTED_BITS = 19, 64, 1 << 24
@@ -47,19 +47,11 @@ _IS_SPACE = np.array([chr(b).isspace() and b < 128 for b in range(256)])
 _WIDE = {}
 for _c in filter(str.isspace, map(chr, range(128, sys.maxunicode + 1))):
     _WIDE.setdefault(_c.encode()[:1], []).append(_c.encode()[1:])
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _ROW = "doc long, tie long, line int"
 #: Lanes of the parity bitmap.
 BITS = ("bits0", "bits1", "bits2")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """SplitMix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tie, text), distinct; ``tie`` tells documents of one id apart, and is 0 where ids are unique."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), whole_text(text_col).alias("text"))
@@ -96,7 +88,7 @@ class Words:
         closing = np.cumsum([len(x) + 1 for x in parts]) - 1
         self.lines_of = np.diff(np.r_[-1, np.searchsorted(self.breaks, closing)])
         self._octets = np.ndarray(size, "<u8", data, strides=(1,))
-        self.head = (self._octets[self.starts] & _MASKS[np.minimum(self.sizes, 8)]) ^ (self.sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.head = byte_heads(self._octets, self.starts, self.sizes)
 
     def buckets(self) -> np.ndarray:
         """Sketch bucket of each word: by its first eight bytes and its length."""
@@ -104,13 +96,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word, over all its bytes."""
-        out = _mixed(self.head)
-        more, at = np.flatnonzero(self.sizes > 8), 8
-        while len(more):
-            rest = self.sizes[more] - at
-            out[more] = _mixed(out[more] * np.uint64(3) + (self._octets[self.starts[more] + at] & _MASKS[np.minimum(rest, 8)]))
-            more, at = more[rest > 8], at + 8
-        return out
+        return byte_hashes(self._octets, self.starts, self.sizes, self.head)
 
 
 def token_sketch(rows: DataFrame) -> np.ndarray:
@@ -169,8 +155,8 @@ def line_sets(hashes: np.ndarray, buckets: np.ndarray, lines: np.ndarray, classe
     chosen = np.flatnonzero(rank < np.repeat(prefix, sizes))
     return {
         "line": (low[starts] >> np.uint64(48)).astype(np.int64),
-        "set": np.add.reduceat(_mixed(tokens + np.uint64(1)), starts),
-        "other": np.add.reduceat(_mixed(high & np.uint64(_HIGH)), others),
+        "set": np.add.reduceat(mixed(tokens + np.uint64(1)), starts),
+        "other": np.add.reduceat(mixed(high & np.uint64(_HIGH)), others),
         "n": sizes,
         # Parity of the tokens of each of 64 kinds a lane: sets whose bitmaps differ in d bits differ in d tokens at least.
         **{name: np.bitwise_xor.reduceat(np.where(lane == k, kind, np.uint64(0)), starts) for k, name in enumerate(BITS)},
@@ -253,16 +239,16 @@ def _index(classes: DataFrame, hot, buckets: int, only=None) -> DataFrame:
             where = np.minimum(np.searchsorted(common, c["token"]), max(0, len(common) - 1))
             is_hot = common[where] == c["token"] if len(common) else np.zeros(len(c["token"]), bool)
             parts = np.where(is_hot, parts_list[where], 1) if len(common) else np.ones(len(c["token"]), np.int64)
-            own = (_mixed((c["doc"] * 1_000_003 + c["line"]).view(np.uint64) ^ c["tie"].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+            own = (mixed((c["doc"] * 1_000_003 + c["line"]).view(np.uint64) ^ c["tie"].view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
             rows = np.repeat(np.arange(len(parts)), parts)
             other = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
             c = {k: v[rows] for k, v in c.items()}
             c["part"] = own[rows]
             c["low"], c["high"] = np.minimum(c["part"], other), np.maximum(c["part"], other)
-            key = _mixed(c["token"].astype(np.int64).view(np.uint64))
+            key = mixed(c["token"].astype(np.int64).view(np.uint64))
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             split = parts[rows] > 1
-            pair = _mixed(key + (c["low"] * 65_537 + c["high"] + 1).view(np.uint64))
+            pair = mixed(key + (c["low"] * 65_537 + c["high"] + 1).view(np.uint64))
             bucket = np.where(split, buckets + (pair >> np.uint64(2)).astype(np.int64), bucket)
             order = np.argsort(bucket, kind="stable")
             starts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
@@ -400,7 +386,7 @@ def common_tokens(classes: DataFrame, part: int) -> dict[int, int]:
 
 def _slots(doc, tie, line) -> np.ndarray:
     key = (doc.astype(np.int64) * np.int64(1_000_003) + line.astype(np.int64)).view(np.uint64) ^ tie.astype(np.int64).view(np.uint64)
-    return (_mixed(key) % np.uint64(WANTED_BITS)).astype(np.int64)
+    return (mixed(key) % np.uint64(WANTED_BITS)).astype(np.int64)
 
 
 def _bitmap(slots: DataFrame) -> np.ndarray:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import settings, slices, small_batches, whole_text, written_table
+from quillon.llm.common import byte_hashes, settings, slices, small_batches, whole_text, written_table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -411,6 +411,39 @@ class _Codes:
         return pc.index_in(units, value_set=self.units).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+class _Known(_Codes):
+    """Codes in the order of a hash of their units; what is found is compared with the unit itself."""
+
+    def __init__(self, units: pa.Array, sizes: np.ndarray, ids: np.ndarray):
+        hashes, starts = _hashes(units), np.cumsum(sizes) - sizes
+        order = np.argsort(hashes, kind="stable")
+        super().__init__(units.take(pa.array(order)), sizes[order], ids[_ranges(starts[order], sizes[order])])
+        self.hashes = hashes[order]
+        same = np.flatnonzero(self.hashes[1:] == self.hashes[:-1]) + 1
+        self.twins = {self.units[k].as_py(): k for k in same.tolist()}
+
+    def find(self, units: pa.Array) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(units), -1)
+        own = _hashes(units)
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        likely = np.flatnonzero(self.hashes[at] == own)
+        equal = pc.equal(units.take(pa.array(likely)), self.units.take(pa.array(at[likely]))).to_numpy(zero_copy_only=False)
+        out = np.full(len(units), -1)
+        out[likely[equal]] = at[likely[equal]]
+        for k in likely[~equal].tolist():
+            out[k] = self.twins.get(units[k].as_py(), -1)
+        return out
+
+
+def _hashes(strings: pa.Array) -> np.ndarray:
+    strings = pa.concat_arrays([strings])  # from offset 0 on
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64) if len(strings) else np.zeros(1, np.int64)
+    data = np.frombuffer((strings.buffers()[2].to_pybytes() if len(strings) and strings.buffers()[2] else b"") + bytes(8), np.uint8)
+    octets = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    return byte_hashes(octets, offsets[:-1], np.diff(offsets))
+
+
 def encode_cut(cut: _Cut, known: _Codes, more: _Codes) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and how many each text has."""
     at = known.find(cut.units)
@@ -448,11 +481,12 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int
     if set(added) & set(docs.columns):
         raise ValueError(f"{added} must not be columns of the input")
     spark: SparkSession = small_batches(docs)
+    counts = written_table(unit_counts(docs, model, text_col))
     with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)}):
-        encoded = written_table(encode_units(unit_counts(docs, model, text_col), model))
+        encoded = written_table(encode_units(counts.repartition("unit"), model))
     least = frequent_from(encoded, frequent)
     top = encoded.where(F.col("n") >= least).select("unit", "ids").toArrow().combine_chunks()  # at most ``frequent`` rows
-    codes = _Codes.of(pa.concat_arrays(top.column("unit").chunks or [pa.array([], pa.string())]), pa.concat_arrays(top.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))]))
+    codes = _Known.of(pa.concat_arrays(top.column("unit").chunks or [pa.array([], pa.string())]), pa.concat_arrays(top.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))]))
     known = spark.sparkContext.broadcast(codes)
     names, kept = docs.columns, [c for c in docs.columns if c != text_col]
     inner = [f"c{i}" for i in range(len(kept))]

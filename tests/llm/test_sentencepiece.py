@@ -87,3 +87,16 @@ def test_clashing_names(spark, model):
     assert out.asDict() == {"doc_id": 1, "key": 7, "c0": "k", "rare": "r", "packed": "p", "ids": out.ids, "same": True}
     with pytest.raises(ValueError):
         lattice.encode(docs.withColumn("ids", docs.key), model)
+
+
+def test_known_units_are_found_by_themselves(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    for weak in (False, True):
+        if weak:  # all hashes collide
+            monkeypatch.setattr(lattice, "_hashes", lambda units: np.zeros(len(units), np.uint64))
+        known = lattice._Known.of(pa.array(["a", "bb", "c" * 40]), pa.array([[1], [2, 3], [4]], pa.list_(pa.int32())))
+        at = known.find(pa.array(["bb", "x", "c" * 40, "a", ""]))
+        assert [known.ids[known.starts[k] : known.starts[k] + known.sizes[k]].tolist() if k >= 0 else None for k in at] == [[2, 3], None, [4], [1], None]
+    assert lattice._Known.of(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))).find(pa.array(["a"])).tolist() == [-1]
