@@ -40,8 +40,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Most units whose encodings are broadcast (about 35 bytes each); all others are joined.
 FREQUENT_UNITS = 1 << 20
-#: Units whose edges a task groups in memory before it sorts.
-UNITS_AT_ONCE = 1 << 16
+#: Units that a task encodes, and units whose edges it groups in memory before it sorts.
+UNITS_A_TASK, UNITS_AT_ONCE = 32_768, 1 << 16
 #: Longest unit whose boundaries fit the 64-bit state of the fold.
 MASK_CHARS = 60
 _FLUSH = 1_000_000
@@ -483,7 +483,8 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int
     spark: SparkSession = small_batches(docs)
     counts = written_table(unit_counts(docs, model, text_col))
     with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)}):
-        encoded = written_table(encode_units(counts.repartition("unit"), model))
+        parts = max(1, -(-counts.count() // UNITS_A_TASK))
+        encoded = written_table(encode_units(counts.repartition(parts, "unit"), model))
     least = frequent_from(encoded, frequent)
     top = encoded.where(F.col("n") >= least).select("unit", "ids").toArrow().combine_chunks()  # at most ``frequent`` rows
     codes = _Known.of(pa.concat_arrays(top.column("unit").chunks or [pa.array([], pa.string())]), pa.concat_arrays(top.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))]))
