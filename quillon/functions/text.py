@@ -215,7 +215,7 @@ def safe_name(c: Column) -> Column:
 
 
 def ascii_punctuation(c: Column) -> Column:
-    return F.translate(c, "–—‘’“”•", "--''\"\"-")
+    return F.translate(c, "–—‘’“”•", "--''\"\"*")
 
 
 def strip_bullet(c: Column) -> Column:

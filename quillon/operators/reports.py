@@ -14,6 +14,8 @@ CHECKLIST = [
 ]
 NEGATIVE = ["missing", "overdue", "not signed", "invalid", "without", "incomplete", "failed", "no valid", "not current", "last revised", "last performed"]
 DEFICIENT = ["missing", "overdue", "without", "not have", "not signed", "incomplete", "invalid", "failed", "no valid", "not current", "two missing", "last revised", "last performed"]
+#: Ratings by the gravest observation.
+RATINGS = ["Critical — Immediate Action Required", "Major — Action Required", "Minor — Advisory", "Satisfactory"]
 DECISION = ["decision", "decided", "approved", "recommended", "rejected"]
 ACTION = ["action", "to submit", "to provide", "to conduct", "to draft"]
 
@@ -73,7 +75,7 @@ def severity(text: Column) -> Column:
 
 
 def inspection_rating(critical: Column, major: Column, minor: Column) -> Column:
-    rating = F.when(F.size(critical) > 0, "Critical").when(F.size(major) > 0, "Major").when(F.size(minor) > 0, "Minor").otherwise("Satisfactory")
+    rating = F.when(F.size(critical) > 0, RATINGS[0]).when(F.size(major) > 0, RATINGS[1]).when(F.size(minor) > 0, RATINGS[2]).otherwise(RATINGS[3])
     return F.struct(rating.alias("rating"), (F.size(critical) + F.size(major) + F.size(minor)).alias("total"))
 
 

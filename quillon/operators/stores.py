@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.rewrite import decrypted
+from quillon.operators.rewrite import decrypted, traceback
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -42,6 +42,28 @@ def search(entries: DataFrame, text: str) -> DataFrame:
     return entries.where(F.lower("token").contains(text.lower()))
 
 
+def vault_info(entries: DataFrame) -> DataFrame:
+    """One row: how many tokens and how many kinds of entity a vault holds."""
+    distinct = entries.select("token").distinct().select(entity_of_token(F.col("token")).alias("entity"))
+    return distinct.agg(F.count("*").alias("tokens"), F.count_distinct("entity").alias("entities"))
+
+
+def traceback_files(texts: DataFrame, mappings: DataFrame, text_col: str) -> DataFrame:
+    """``texts`` (with file_id) plus success, reconstructed_text, mappings_applied and error.
+
+    ``mappings`` is (file_id, mapping), one row a file; a missing or empty mapping is an error
+    of its row alone.
+    """
+    known = mappings.select(F.col("file_id").alias("mapped_file"), F.col("mapping").alias("of_file"))
+    joined = texts.join(known, F.col("file_id") == F.col("mapped_file"), "left")
+    some = F.coalesce(F.size("of_file"), F.lit(0)) > 0
+    error = F.when(~some, F.concat(F.lit("No mapping found for file_id: "), F.coalesce(F.col("file_id").cast("string"), F.lit("None"))))
+    return joined.select(
+        *texts.columns, some.alias("success"), F.when(some, traceback(F.col(text_col), F.col("of_file"))).alias("reconstructed_text"),
+        F.when(some, F.size("of_file")).alias("mappings_applied"), error.alias("error"),
+    )
+
+
 def history_view(log: DataFrame) -> DataFrame:
     """One row per file hash from an append-only log (file_hash, at, filename)."""
     names = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "filename"))), lambda x: x["filename"]))

@@ -13,7 +13,7 @@ from quillon.operators import detect as D
 from quillon.operators import evaluate as E
 from quillon.operators import rewrite as W
 from quillon.operators import stores as S
-from quillon.plans.narratives import NARRATIVES_SQL, TRUTH_SQL, narratives
+from quillon.plans.narratives import NARRATIVES_SQL, NOTES_SQL, TRUTH_SQL, narratives, notes
 
 RULES = {r.name: r for r in P.REGEX_RULES}
 
@@ -116,18 +116,26 @@ def _rule_query(rule: str, source: str):
     r = RULES[rule]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = narr(spark, sf_dir).select("id", "text") if source == "narr" else table(spark, sf_dir, source).selectExpr(f"{_ID[source]} AS id", f"{_TEXT[source]} AS text")
+        if source == "notes":
+            rows = notes(table(spark, sf_dir, "orders"))
+        else:
+            rows = narr(spark, sf_dir).select("id", "text") if source == "narr" else table(spark, sf_dir, source).selectExpr(f"{_ID[source]} AS id", f"{_TEXT[source]} AS text")
         return rows.select("id", F.explode(find_all(F.col("text"), r, 0)).alias("s")).select("id", "s.start", "s.end", "s.entity", "s.text")
 
-    base = f"WITH {NARRATIVES_SQL}, src AS (SELECT id, text FROM narr)" if source == "narr" else f"WITH src AS (SELECT {_ID[source]} AS id, {_TEXT[source]} AS text FROM {source})"
+    if source == "notes":
+        base = f"WITH src AS ({NOTES_SQL})"
+    elif source == "narr":
+        base = f"WITH {NARRATIVES_SQL}, src AS (SELECT id, text FROM narr)"
+    else:
+        base = f"WITH src AS (SELECT {_ID[source]} AS id, {_TEXT[source]} AS text FROM {source})"
     return run, f'{base} SELECT id, start, "end", entity, text FROM ({spans_sql("src", r.pattern, r.entity, r.score, 0)})'
 
 
-_ID, _TEXT = {"documents": "doc_id", "pages": "page_id"}, {"documents": "text", "pages": "html"}
+_ID, _TEXT = {"documents": "doc_id"}, {"documents": "text"}
 for _rule, _source in [
-    ("email", "documents"), ("ip", "documents"), ("date_dmy", "documents"), ("date_ymd", "documents"), ("date_month", "documents"), ("url", "pages"),
-    ("aadhaar", "narr"), ("pan", "narr"), ("ifsc", "narr"), ("passport", "narr"), ("file", "narr"), ("drug", "narr"), ("mrn", "narr"), ("phone", "narr"),
-    ("phone_split", "narr"), ("address_pin", "narr"), ("pin", "narr"), ("card", "narr"),
+    ("email", "documents"), ("ip", "documents"), ("date_dmy", "documents"), ("date_ymd", "notes"), ("date_month", "notes"), ("url", "notes"),
+    ("aadhaar", "narr"), ("pan", "narr"), ("ifsc", "notes"), ("passport", "notes"), ("file", "narr"), ("drug", "narr"), ("mrn", "narr"), ("phone", "narr"),
+    ("phone_split", "notes"), ("address_pin", "notes"), ("pin", "notes"), ("card", "narr"),
 ]:
     QUERIES[f"detect_{_rule}"], ORACLES[f"detect_{_rule}"] = _rule_query(_rule, _source)
 
@@ -257,7 +265,8 @@ def _report(spark, sf_dir, reversible=True):
     return W.rewrite_report(D.with_spans(narr(spark, sf_dir), report=True), reversible)
 
 
-@query(f"""{DETECTED}, {apply_sql('narr', 'resolved', "repeat('*', 12)")} SELECT id, anonymised_text AS processed_text FROM rewritten JOIN narr USING (id) WHERE shape <> 1""")
+@query(f"""{DETECTED}, {apply_sql('narr', 'resolved', "repeat('*', 12)")} SELECT id, anonymised_text AS processed_text FROM rewritten JOIN narr USING (id) WHERE shape <> 1
+UNION ALL SELECT id, 'Name: S' || chr(10) || 'Hospital: S' || chr(10) || 'Phone: S' || chr(10) || 'Record S dated S' FROM slots WHERE shape = 1""".replace("'Name: S'", "'Name: ************'").replace("'Hospital: S'", "'Hospital: ************'").replace("'Phone: S'", "'Phone: ************'").replace("'Record S dated S'", "'Record ************ dated ************'"))
 def report_mask(spark, sf_dir):
     return _report(spark, sf_dir, False).select("id", "processed_text")
 
@@ -266,11 +275,35 @@ _PREFIX_SQL = "CASE entity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.T
 REPORT_TOKEN_SQL = f"'[ID-' || {_PREFIX_SQL} || '-' || {hmac_sql(W.REPORT_KEY, "entity || ':' || text")}[1:6] || ']'"
 
 
-@query(f"{DETECTED} SELECT DISTINCT id, {REPORT_TOKEN_SQL} AS token, text AS value FROM resolved JOIN (SELECT id, shape FROM narr) USING (id) WHERE shape <> 1")
+_FORM_FIELDS = [("PERSON", "name"), ("ORGANIZATION", "hospital || ', ' || city"), ("IN_PHONE", "phone"), ("MRN", "mrn"), ("DATE_TIME", "date")]
+_FORMS_SQL = " UNION ALL ".join(f"SELECT id, '{entity}' AS entity, {value} AS text FROM slots WHERE shape = 1" for entity, value in _FORM_FIELDS)
+
+
+@query(
+    f"""{DETECTED}, found AS (SELECT id, entity, text FROM resolved JOIN (SELECT id, shape FROM narr) USING (id) WHERE shape <> 1 UNION ALL {_FORMS_SQL})
+SELECT DISTINCT id, {REPORT_TOKEN_SQL} AS token, text AS value FROM found"""
+)
 def report_tokens(spark, sf_dir):
     return _report(spark, sf_dir).select("id", F.explode("mapping").alias("token", "value")).distinct()
 
 
+@query(
+    f"""WITH {NARRATIVES_SQL} SELECT id, 'F' || id AS file_id, id % 5 <> 0 AS success, CASE WHEN id % 5 <> 0 THEN text END AS reconstructed_text,
+CASE WHEN id % 5 = 0 THEN 'No mapping found for file_id: F' || id END AS error FROM narr"""
+)
+def traceback_by_file(spark, sf_dir):
+    rows = _report(spark, sf_dir).select("id", F.concat(F.lit("F"), F.col("id").cast("string")).alias("file_id"), "processed_text", "mapping")
+    stored = rows.where("id % 5 <> 0").select("file_id", "mapping")  # some files were never stored, others have an empty mapping
+    none = rows.where("id % 10 = 0").select("file_id", F.create_map().cast("map<string,string>").alias("mapping"))
+    found = S.traceback_files(rows.select("id", "file_id", "processed_text"), stored.unionByName(none), "processed_text")
+    return found.select("id", "file_id", "success", "reconstructed_text", "error")
+
+
+@query(f"{DETECTED}, e AS (SELECT DISTINCT {TOKEN_SQL} AS token, entity FROM resolved WHERE entity IN ('PERSON', 'MRN', 'DRUG_ID', 'CDSCO_FILE')) SELECT count(*) AS tokens, count(DISTINCT entity) AS entities FROM e")
+def vault_info(spark, sf_dir):
+    return S.vault_info(vault_entries(spark, sf_dir))
+
+
 @query(f"WITH {NARRATIVES_SQL} SELECT id, text AS restored, true AS equal FROM narr")
 def traceback_roundtrip(spark, sf_dir):
     back = W.traceback(F.col("processed_text"), F.col("mapping"))
@@ -365,7 +398,7 @@ def mapping_replace(spark, sf_dir):
     return S.replace_by_key(rows.select("file_id", "token", "id"), new, ["file_id"]).groupBy("file_id", "token").agg(F.max("id").alias("value"))
 
 
-@query("SELECT doc_id, substr(text, 1, 500) AS preview FROM documents WHERE source = 'src1'")
+@query("SELECT doc_id, substr(text, 1, 500) AS preview FROM documents")
 def output_preview(spark, sf_dir):
     return S.previews(table(spark, sf_dir, "documents"), "doc_id", "text")
 

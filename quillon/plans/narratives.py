@@ -79,6 +79,24 @@ def narratives(orders: DataFrame) -> DataFrame:
     return filled.withColumn("text", by_shape(text)).withColumn("truth", by_shape(truth)).select("id", "cust", "day", "shape", "text", "truth")
 
 
+def notes(orders: DataFrame) -> DataFrame:
+    """id, text: short notes with the identifiers that the narratives lack."""
+    k = F.col("o_orderkey")
+    text = F.concat(
+        F.lit("IFSC HDFC0"), F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit(", passport K"), (F.lit(1000000) + k % 9000000).cast("string"),
+        F.lit(", call 98765-"), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit(". See https://example.com/r/"), k.cast("string"),
+        F.lit(" of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" and "), F.date_format("o_orderdate", "MMM d, yyyy"),
+        F.lit(". "), (k % 90 + 1).cast("string"), F.lit(" Hill Road, Pune "), (F.lit(100000) + k % 900000).cast("string"), F.lit("."),
+    )
+    return orders.select(k.alias("id"), text.alias("text"))
+
+
+NOTES_SQL = """SELECT o_orderkey AS id, 'IFSC HDFC0' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') || ', passport K' || (1000000 + o_orderkey % 9000000)
+  || ', call 98765-' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') || '. See https://example.com/r/' || o_orderkey
+  || ' of ' || strftime(o_orderdate, '%Y-%m-%d') || ' and ' || strftime(o_orderdate, '%b %-d, %Y')
+  || '. ' || (o_orderkey % 90 + 1) || ' Hill Road, Pune ' || (100000 + o_orderkey % 900000) || '.' AS text FROM orders"""
+
+
 def _sql_list(names: list[str], at: str) -> str:
     return f"list_extract([{', '.join(repr(n) for n in names)}], ({at} % {len(names)} + 1)::INT)"
 

@@ -9,6 +9,7 @@ from quillon.functions import text as X
 from quillon.operators import contracts as C
 from quillon.operators import reports as R
 from quillon.operators import summarise as S
+from quillon.operators.stores import source_hash
 from quillon.plans.detection import table
 from quillon.sources import ingest as I
 
@@ -61,21 +62,21 @@ def mime_sniff(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, length(trim(text, E' \t\n\r\x0b\f')) AS chars, list_unique(string_split(regexp_replace(text, '\s', '', 'g'), ''))::INT AS distinct_chars,
-  list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS ws FROM documents WHERE lang = 'en')
+  list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS ws FROM documents)
 SELECT doc_id, chars::INT AS chars, round(len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Za-z]{2,}'))) / greatest(len(ws), 1), 6) AS wordlike, chars >= 80 AS digital FROM t""")
 def page_signals(spark, sf_dir):
     signals = table(spark, sf_dir, "documents").select("doc_id", I.page_signals(F.col("text")).alias("s"), I.digital_page(F.col("text")).alias("digital"))
     return signals.select("doc_id", "s.chars", "s.wordlike", "digital")
 
 
-@query("""WITH p AS (SELECT source AS file, length(trim(text)) >= 80 AS d FROM documents WHERE lang = 'en')
+@query("""WITH p AS (SELECT source AS file, length(trim(text)) >= 80 AS d FROM documents)
 SELECT file, count(*) AS pages, count(*) FILTER (d) AS digital_pages, count(*) FILTER (NOT d) AS scanned_pages, count(*) FILTER (NOT d) > 0 AS needs_ocr,
   CASE WHEN count(*) FILTER (NOT d) = 0 THEN 'pdf_digital' WHEN count(*) FILTER (d) = 0 THEN 'pdf_scanned' ELSE 'pdf_mixed' END AS kind FROM p GROUP BY file""")
 def scan_summary(spark, sf_dir):
     return I.scan_summary(table(spark, sf_dir, "documents").withColumnRenamed("source", "file"))
 
 
-@query("""WITH p AS (SELECT source AS file, count(*) AS pages, count(*) FILTER (length(trim(text)) < 80) AS s FROM documents WHERE lang = 'en' GROUP BY 1)
+@query("""WITH p AS (SELECT source AS file, count(*) AS pages, count(*) FILTER (length(trim(text)) < 80) AS s FROM documents GROUP BY 1)
 SELECT count(*) AS files, count(*) FILTER (s > 0) AS scanned_files, count(*) FILTER (s = 0) AS digital_files, sum(pages)::BIGINT AS pages, sum(s)::BIGINT AS scanned_pages FROM p""")
 def scan_totals(spark, sf_dir):
     return I.scan_totals(scan_summary(spark, sf_dir))
@@ -103,7 +104,7 @@ def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace('A|B -- ' || replace(text, chr(12), chr(10)), '-{2,}', '—', 'g'), '^A\|B', 'AIB') AS text FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[A-Z]\|[A-Z]')")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('A|B -- ' || replace(text, chr(12), chr(10)), '-{2,}', '—', 'g'), '([A-Z])\|([A-Z])', '\1I\2', 'g'), '([A-Z])\|([A-Z])', '\1I\2', 'g') AS text FROM documents")
 def ocr_artefacts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.ocr_artefacts(F.concat(F.lit("A|B -- "), F.col("text"))).alias("text"))
 
@@ -119,12 +120,12 @@ def abbreviations(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.expand_abbreviations(F.concat(F.lit("GMP and SOP, QC/QA; CAPA of AE SAE (FDA) not GMPs "), F.col("o_orderkey").cast("string"))).alias("text"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text || E'\n\n\n\n  end \t x', '[ \t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), E'\n{3,}', E'\n\n', 'g'), E' \n') AS text FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text || E'\n\n\n\n  end \t x', '[ \t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), E'\n{3,}', E'\n\n', 'g'), E' \n') AS text FROM documents")
 def collapse_whitespace(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.collapse_whitespace(F.concat(F.col("text"), F.lit("\n\n\n\n  end \t x"))).alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace(replace(text, '. ', '.'), '([.!?])([A-Z])', '\1 \2', 'g') AS text FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, regexp_replace(replace(text, '. ', '.'), '([.!?])([A-Z])', '\1 \2', 'g') AS text FROM documents")
 def sentence_boundaries(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.sentence_boundaries(F.replace("text", F.lit(". "), F.lit("."))).alias("text"))
 
@@ -144,7 +145,7 @@ def extract_sections(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(X.sections(text)).alias("section", "text"))
 
 
-@query(r"SELECT o_orderkey, ['One is here.', 'Two!'] AS sentences, 0.65::DOUBLE AS confidence, 'a_b_' || o_orderkey AS safe, '- ''x'' -' AS plain, 'point' AS bullet FROM orders")
+@query(r"SELECT o_orderkey, ['One is here.', 'Two!'] AS sentences, 0.65::DOUBLE AS confidence, 'a_b_' || o_orderkey AS safe, '- ''x'' *' AS plain, 'point' AS bullet FROM orders")
 def small_text_functions(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", X.first_sentences(F.lit("One is here. Two! Three?"), 2).alias("sentences"), X.confidence(F.lit("w " * 10), F.lit("w " * 9)).alias("confidence"),
@@ -152,7 +153,7 @@ def small_text_functions(spark, sf_dir):
     )
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::INT AS words, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) >= 10 AS enough FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::INT AS words, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) >= 10 AS enough FROM documents")
 def word_counts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("words"), I.text_long_enough(F.col("text")).alias("enough"))
 
@@ -194,7 +195,7 @@ for _method in S.METHODS:
     QUERIES[f"summary_{_method}"] = _summaries(_method)
 
 
-@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents WHERE lang = 'en'),
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents),
 r AS (SELECT doc_id, i - 1 AS position, ss[i] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)),
 t AS (SELECT doc_id, position, unnest(list_filter(string_split_regex(lower(sentence), '[^a-z]+'), lambda w: w <> '')) AS w FROM r),
 c AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY 1, 2), m AS (SELECT doc_id, position, round(avg(c), 6) AS score FROM t JOIN c USING (doc_id, w) GROUP BY 1, 2),
@@ -246,16 +247,25 @@ def decisions_actions(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Risk outweighs benefit pending resolution of critical deficiencies.' WHEN '2-HIGH' THEN 'Benefit acceptable subject to resolution of major deficiencies within 45 days.'
-ELSE 'Benefit-risk profile acceptable based on current inspection findings.' END AS risk, CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'Major' ELSE 'Satisfactory' END AS rating,
+ELSE 'Benefit-risk profile acceptable based on current inspection findings.' END AS risk, CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical — Immediate Action Required' WHEN '2-HIGH' THEN 'Major — Action Required' WHEN '3-MEDIUM' THEN 'Minor — Advisory' ELSE 'Satisfactory' END AS rating,
 chr(34) || o_orderkey || chr(34) || ',' || chr(34) || 'a ' || chr(34) || chr(34) || 'q' || chr(34) || chr(34) || chr(34) AS csv FROM orders""")
 def risk_and_rating(spark, sf_dir):
     p = F.col("o_orderpriority")
     kind = F.when(p == "1-URGENT", "Critical").when(p == "2-HIGH", "MAJOR issue")
     none, one = F.array().cast("array<string>"), F.array(F.lit("x"))
-    rating = R.inspection_rating(F.when(p == "1-URGENT", one).otherwise(none), F.when(p == "2-HIGH", one).otherwise(none), none)
+    rating = R.inspection_rating(F.when(p == "1-URGENT", one).otherwise(none), F.when(p == "2-HIGH", one).otherwise(none), F.when(p == "3-MEDIUM", one).otherwise(none))
     return table(spark, sf_dir, "orders").select("o_orderkey", R.risk_line(kind).alias("risk"), rating["rating"].alias("rating"), R.csv_line(F.col("o_orderkey"), F.lit('a "q"')).alias("csv"))
 
 
+@query("""SELECT o_orderkey, ['DOCUMENT CLASS     : ' || o_orderpriority, 'REPORT ID          : R' || o_orderkey, 'FIRM               : F' || o_custkey, 'CONFIDENCE         : ' || printf('%.2f', (o_orderkey % 100) / 100.0::DOUBLE), 'SOURCE HASH        : ' || sha256(o_orderkey::VARCHAR)[1:16] || '...'] AS rows,
+CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 1000) || 'ms' ELSE (o_orderkey % 50 + 1) || 'm ' || (o_orderkey % 60) || 's' END AS took FROM orders""")
+def report_masthead(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = R.masthead(F.col("o_orderpriority"), F.concat(F.lit("R"), k.cast("string")), F.concat(F.lit("F"), F.col("o_custkey").cast("string")), (k % 100) / F.lit(100.0), source_hash(k.cast("string")))
+    ms = F.when(k % 3 == 0, k % 1000).otherwise(((k % 50 + 1) * 60 + k % 60) * 1000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", rows.alias("rows"), X.duration(ms).alias("took"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'given' ELSE o_orderstatus END AS field, o_orderkey % 2 = 0 AS shown, CASE WHEN o_orderpriority = '1-URGENT' THEN 'critical' WHEN o_orderpriority = '2-HIGH' THEN 'major' ELSE 'minor' END AS severity FROM orders""")
 def overrides(spark, sf_dir):
     given = F.when(F.col("o_orderkey") % 2 == 0, " given ").otherwise("  ")
