@@ -59,6 +59,16 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
+#: Numeric references beyond every code point.
+_TOO_LARGE = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
+_ZEROS = re.compile(r"(&#[xX]?)0{2,}(?=[0-9a-fA-F])")
+
+
+def _unescaped(text: str) -> str:
+    """Character references resolved; numbers too large for any character become U+FFFD, as the standard has it."""
+    return html.unescape(_TOO_LARGE.sub("\ufffd", _ZEROS.sub(r"\g<1>0", text)))
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -104,7 +114,7 @@ def parse(source: str) -> Node:
         if name is None:
             text = token[0]
             if text[0] != "<" or len(text) == 1:
-                stack[-1].children.append(html.unescape(text))
+                stack[-1].children.append(_unescaped(text))
             continue
         name = name.lower()
         if token["end"]:
@@ -118,7 +128,7 @@ def parse(source: str) -> Node:
         attrs = {}
         if token["attrs"].strip():
             for a in _ATTR.finditer(token["attrs"]):
-                attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
+                attrs.setdefault(a[1].lower(), _unescaped(a[2] or a[3] or a[4] or ""))
         node = Node(name, attrs)
         stack[-1].children.append(node)
         if name in VOID:
@@ -126,7 +136,7 @@ def parse(source: str) -> Node:
         if name in RAW or name in ESCAPABLE_RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
             body = source[at : end.start() if end else n]
-            node.children.append(html.unescape(body) if name in ESCAPABLE_RAW else body)
+            node.children.append(_unescaped(body) if name in ESCAPABLE_RAW else body)
             at = n if end is None else (source.find(">", end.end()) + 1 or n)
             continue
         stack.push(node)
@@ -275,7 +285,7 @@ def render(source: str | None) -> str:
             def finish_cell(table=table, saved=saved, own=own, span=item.attrs.get("colspan", "1")):
                 nonlocal out
                 table["rows"][-1].append(own.value())
-                extra = min(int(span), 1000) - 1 if span.isdigit() else 0
+                extra = min(int(span), 1000) - 1 if re.fullmatch("[0-9]{1,4}", span) else 0
                 table["rows"][-1] += [""] * max(0, extra)
                 out = saved
 

@@ -9,7 +9,8 @@ it reads on, since an unmet vector could win the tie.  The lists of results of t
 blocks are merged by a window whose group limit works before the shuffle.
 
 Defined cases: vectors that are null, empty or hold null, non-finite or too large
-components (beyond a long after scaling) take no part; vectors meet queries of their own
+components (beyond a long after scaling) take no part; scores
+beyond a long count as the largest (or smallest) long; vectors meet queries of their own
 length only; rows with the query's own id are not its candidates; ties go to the smaller id;
 rows with a null id are no queries and lose ties; repeated rows count as rows; an
 empty table gives an empty result; other columns are ignored.
@@ -91,7 +92,8 @@ def _dot(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return (rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
     if high < 1 << 63:
         return rows @ query
-    return np.array([sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in rows], np.int64)
+    exact = (sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in rows)
+    return np.array([max(-_LAST, min(_LAST, x)) for x in exact], np.int64)
 
 
 def _search(k: int):

@@ -24,6 +24,9 @@ CASES = [
     ("<a href='x>y' title=\"a>b\">link</a><img alt='pic' src=x> <input type=hidden value=v>", "linkpic"),
     ("<h1>H</h1>text<hr>more<blockquote>q</blockquote>", "H\n\ntext\n\n---\n\nmore\n\nq"),
     ("<select><option>a<option>b</select>k<textarea> raw &lt;</textarea>", "k raw <"),
+    ("a&#" + "9" * 5000 + ";b &#x" + "f" * 5000 + "; &#000065;", "a\ufffdb \ufffd A"),
+    ("&#" + "0" * 5000 + "65;&#x0000000041;", "AA"),
+    ("<table><tr><td colspan='²'>a<td colspan=" + "9" * 5000 + ">b</table>", "a  b"),
     ("&copy; &middot; &#x41;&#66; &nosuch; &am", "© · AB &nosuch; &am"),
 ]
 

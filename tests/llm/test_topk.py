@@ -44,6 +44,13 @@ def test_large_components_are_exact():
     assert topk._dot(rows, np.array([1 << 20, 5])).tolist() == [(1 << 60) - 5 * (1 << 20), (3 << 20) + 5 * (1 << 22)]
 
 
+def test_scores_beyond_a_long_are_bounded(spark):
+    most = (1 << 63) - 1
+    rows = [(0, [1e15, 0.0], "c", 1), (1, [1e15, 1.0], "c", 1), (2, [-1e15, 1.0], "c", 1), (3, [0.0, 1.0], "c", 1)]
+    out = topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 0] == [(1, most), (3, 0), (2, -most)]
+
+
 def test_few_rows_repeated_rows_and_empty_table(spark):
     rows = [(0, [1.0], "c", 1), (0, [1.0], "c", 1), (1, [2.0], "c", 1), (1, [2.0], "c", 1), (None, [2.0], "c", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
