@@ -3,11 +3,13 @@
 Fingerprints: 64 bits by majority over the XXH64 (seed 42) of all 3-word shingles of
 the lower-cased (A-Z) text.  Links: fingerprints that differ in at most 3 bits.
 
-Two fingerprints within 3 bits agree on one of four 16-bit blocks, so every distinct
-fingerprint goes to four blocks and a link is looked for inside equal blocks only.
-Within a block the fingerprints are sorted by Gray rank and cut into a hierarchy:
-each node stores the bits that all its members share (mask and pattern), so whole
-groups are pruned as soon as the accumulated difference of the shared bits exceeds 3.
+Two fingerprints within 3 bits agree on one of four 16-bit blocks.  So there are four
+Gray orders, each of the fingerprints rotated until one of the blocks leads; its value is
+then the prefix of the Gray rank, and the fingerprints of one value are a run of the order
+with a tree of their own, whatever their number.  An upper node stores the bits that all
+its members share (mask and pattern).  A search starts with the roots and goes down in
+pairs of nodes; each pair adds the differences of the bits that its level decides to those
+of the levels above, and a pair of whole groups is pruned as soon as they exceed 3.
 A block with very many fingerprints is dealt by hash into parts of bounded size, and
 each pair of parts is a task of its own.  A task returns a spanning forest of the links
 that it finds, never all pairs; components are joined by star contraction.
@@ -33,8 +35,8 @@ WORDS, RADIUS, BLOCKS = 3, 3, 4
 #: Most fingerprints of one block that one task compares with as many others.
 PART = 2048
 FANOUT = 16
-#: Blocks of at most LEAF fingerprints are compared directly; BUCKET_ROWS: rows of small blocks in one call.
-LEAF, BUCKET_ROWS = 32, 8192
+#: Rows of small blocks that one call indexes together.
+BUCKET_ROWS = 8192
 _PIECE = 1 << 17
 
 
@@ -73,52 +75,62 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return out
 
 
+def turned(fp: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
+    """Rotated to the left."""
+    bits = np.asarray(bits, np.uint64) & np.uint64(63)
+    return (fp << bits) | (fp >> ((np.uint64(64) - bits) & np.uint64(63)))
+
+
 class GrayIndex:
-    """Hierarchy over the Gray order; level 0 holds the fingerprints themselves."""
-
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-        ones, zeros = self.fps.copy(), ~self.fps  # bits that all / no members have
-        self.levels = [(ones, zeros)]
-        while len(ones) > 1:
-            cuts = np.arange(0, len(ones), FANOUT)
-            ones, zeros = np.bitwise_and.reduceat(ones, cuts), np.bitwise_and.reduceat(zeros, cuts)
-            self.levels.append((ones, zeros))
-
-    def links(self, other: GrayIndex, radius: int, chunk: int = 1 << 17):
-        """Yield (i, j) arrays of positions of linked pairs; node pairs are pruned from the top."""
-        same, top = other is self, max(len(self.levels), len(other.levels)) - 1
-        start = (top, np.zeros(1, np.int64), np.zeros(1, np.int64))
-        stack = [start] if len(self.fps) and len(other.fps) else []
+    """Trees over fingerprints in Gray order, one for each group (numbered from 0).
+
+    Level 0 holds the fingerprints; a node of a higher level stands for up to FANOUT
+    neighbours of the level below and holds the bits that all of them share (which, and
+    their values).  At the top level node g is the root of group g.
+    """
+
+    def __init__(self, fps: np.ndarray, group: np.ndarray | None = None, turn: np.ndarray | int = 0):
+        group = np.zeros(len(fps), np.int64) if group is None else group
+        order = np.lexsort((gray_rank(turned(fps, turn)), group))
+        self.fps, group = fps[order], group[order]
+        ones, zeros = self.fps, ~self.fps  # bits that all members have / lack
+        self.levels, self.children = [(ones, ones | zeros)], []
+        while (head := np.r_[True, group[1:] != group[:-1]]).sum() < len(group):
+            starts = np.flatnonzero(head)
+            place = np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
+            first = np.flatnonzero(place % FANOUT == 0)
+            self.children.append((first, np.diff(np.r_[first, len(group)])))
+            ones, zeros, group = np.bitwise_and.reduceat(ones, first), np.bitwise_and.reduceat(zeros, first), group[first]
+            self.levels.append((ones, ones | zeros))
+
+    def links(self, radius: int, a: np.ndarray, b: np.ndarray, chunk: int = 1 << 18):
+        """Yield (i, j) arrays of positions of linked pairs between the groups a[k] <= b[k].
+
+        A pair of nodes carries the bits that both have decided and the differences among
+        them; each level adds the bits that are decided there, and a pair beyond the radius
+        is dropped with all that is below it.
+        """
+        stack = [(len(self.levels) - 1, a, b, np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint8))]
         while stack:
-            level, a, b = stack.pop()
-            (a1, a0), (b1, b0) = self._at(level), other._at(level)
-            # bits shared by one side as 1 and by the other as 0 differ in every pair below
-            near = np.bitwise_count((a1[a] & b0[b]) | (a0[a] & b1[b])) <= radius
-            if same:
-                near &= a <= b
-            a, b = a[near], b[near]
-            if not len(a):
-                continue
+            level, a, b, known, differ = stack.pop()
+            bits, decided = self.levels[level]
+            both = decided[a] & decided[b]
+            differ = differ + np.bitwise_count((bits[a] ^ bits[b]) & both & ~known)
+            near = np.flatnonzero(differ <= radius)
+            a, b, known, differ = a[near], b[near], both[near], differ[near]
             if level == 0:
-                keep = a < b if same else slice(None)
-                yield a[keep], b[keep]
+                yield a, b
                 continue
+            first, count = self.children[level - 1]
             for s in range(0, len(a), max(1, chunk // FANOUT**2)):
-                x, y = self._children(level, a[s : s + chunk // FANOUT**2]), other._children(level, b[s : s + chunk // FANOUT**2])
-                x, y = np.broadcast_arrays(x[:, :, None], y[:, None, :])
-                x, y = x.ravel(), y.ravel()
-                ok = (x >= 0) & (y >= 0)
-                stack.append((level - 1, x[ok], y[ok]))
-
-    def _at(self, level: int):
-        return self.levels[min(level, len(self.levels) - 1)]
-
-    def _children(self, level: int, nodes: np.ndarray) -> np.ndarray:
-        if level >= len(self.levels):  # the other side is higher: stay on the own top node
-            return nodes[:, None]
-        kids = nodes[:, None] * FANOUT + np.arange(FANOUT)
-        return np.where(kids < len(self.levels[level - 1][0]), kids, -1)
+                x, y = a[s : s + chunk // FANOUT**2], b[s : s + chunk // FANOUT**2]
+                pairs = count[x] * count[y]
+                row = np.repeat(np.arange(len(x)), pairs)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+                i, j = first[x][row] + k // count[y][row], first[y][row] + k % count[y][row]
+                once = np.flatnonzero(i < j if level == 1 else i <= j)
+                row = row[once] + s
+                stack.append((level - 1, i[once], j[once], known[row], differ[row]))
 
 
 class _Forest:
@@ -142,32 +154,23 @@ class _Forest:
                 self.root = up
 
 
-def forest_edges(fps: np.ndarray, key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest_edges(fps: np.ndarray, key: np.ndarray, part: np.ndarray, turn: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (edges as two arrays) of the links between rows of equal key.
 
-    Keys of few rows are leaves of the hierarchy and compared directly, all at once; larger
-    ones get an index for each of their (one or two) parts.
+    Each part of a key is a group of the index; a key of two parts is searched between them.
     """
+    if not len(key):
+        return fps, fps
     order = np.lexsort((part, key))
     fps, key, part = fps[order], key[order], part[order]
-    nodes, at = np.unique(fps, return_inverse=True)
-    forest = _Forest(len(nodes))
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(key)])
-    left = np.repeat(starts + sizes, sizes) - np.arange(len(key))  # rows of the key from here on
-    small = np.flatnonzero(np.repeat(sizes <= LEAF, sizes))
-    for shift in range(1, LEAF):
-        small = small[left[small] > shift]
-        if not len(small):
-            break
-        near = small[np.bitwise_count(fps[small] ^ fps[small + shift]) <= RADIUS]
-        forest.add(at[near], at[near + shift])
-    for start, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
-        rows = slice(start, start + size)
-        sides = [GrayIndex(np.unique(fps[rows][part[rows] == p])) for p in np.unique(part[rows])]
-        where = [np.searchsorted(nodes, side.fps) for side in sides]
-        for a, b in sides[0].links(sides[-1], RADIUS):
-            forest.add(where[0][a], where[-1][b])
+    turn = np.broadcast_to(turn, len(order))[order]
+    group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    nodes = np.unique(fps)
+    index, forest = GrayIndex(fps, group, turn), _Forest(len(nodes))
+    at = np.searchsorted(nodes, index.fps)
+    for a, b in index.links(RADIUS, group[starts], group[np.r_[starts[1:], len(key)] - 1]):
+        forest.add(at[a], at[b])
     moved = np.flatnonzero(forest.root != np.arange(len(nodes)))
     return nodes[moved], nodes[forest.root[moved]]
 
@@ -175,7 +178,8 @@ def forest_edges(fps: np.ndarray, key: np.ndarray, part: np.ndarray) -> tuple[np
 def _bucket(table: pa.Table) -> pa.Table:
     column = lambda name: table.column(name).to_numpy()
     key = np.unique(np.stack([column("block"), column("value"), column("low"), column("high")]), axis=1, return_inverse=True)[1]
-    a, b = forest_edges(column("fp").view(np.uint64), key.ravel(), column("part"))
+    turn = 64 - 64 // BLOCKS * (column("block") + 1)  # the block of the key leads
+    a, b = forest_edges(column("fp").view(np.uint64), key.ravel(), column("part"), turn)
     return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 

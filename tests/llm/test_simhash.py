@@ -91,12 +91,26 @@ def test_index_finds_every_pair():
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     flips = np.uint64(1) << rng.integers(0, 64, (40, 8)).astype(np.uint64)
     fps = np.unique(np.concatenate([base, (base[:, None] ^ flips).ravel(), (base[:, None] ^ flips ^ flips[:, ::-1]).ravel()]))
-    index = simhash.GrayIndex(fps)
-    found = {tuple(sorted((int(index.fps[i]), int(index.fps[j])))) for a, b in index.links(index, 3, chunk=512) for i, j in zip(a, b, strict=True)}
+    index, root = simhash.GrayIndex(fps, turn=16), np.zeros(1, np.int64)
+    found = {tuple(sorted((int(index.fps[i]), int(index.fps[j])))) for a, b in index.links(3, root, root, chunk=512) for i, j in zip(a, b, strict=True)}
     wanted = {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin(int(a) ^ int(b)).count("1") <= 3}
     assert found == wanted
 
 
+@pytest.mark.parametrize("sizes", [(1, 2, 16, 17, 300), (3,) * 50])
+def test_groups_of_every_size_go_through_their_trees(sizes):
+    rng = np.random.default_rng(5)
+    base = np.uint64(0x0123456789ABCDEF)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    fps = base ^ (np.uint64(1) << rng.integers(0, 64, (4, len(group))).astype(np.uint64)).sum(0, dtype=np.uint64)
+    index = simhash.GrayIndex(fps, group)
+    assert len(index.levels[-1][0]) == len(sizes)
+    groups = np.arange(len(sizes))
+    found = sorted((int(i), int(j)) for a, b in index.links(3, groups, groups, chunk=600) for i, j in zip(a, b, strict=True))
+    wanted = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if group[i] == group[j] and bin(int(index.fps[i] ^ index.fps[j])).count("1") <= 3]
+    assert found == wanted
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     rows = [(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, "q r s t u v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
