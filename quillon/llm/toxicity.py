@@ -4,14 +4,16 @@ Two dictionaries are trained on the labelled fold: one on windows of ordinary do
 one on the fragments of toxic documents whose words mark them (document frequency far
 above that in ordinary documents).  Every text is cut into overlapping windows; a window
 is compressed with the ordinary dictionary alone and with the toxic one in front of it.
-The saved bytes of all windows are summarised (largest, sums of the largest, counts and
-shares above thresholds) and a logistic calibration on labelled rows that trained no
-dictionary turns them into a score.
+The saved bytes of all windows are summarised (largest, sums of the largest, mean, counts
+and shares above two thresholds).  The thresholds are calibrated on ordinary windows that
+trained no dictionary, and a logistic calibration on labelled rows that trained none
+turns the summary into a score.
 
 Defined cases: null text counts as empty; an empty text is one empty window and is
 scored like any other; very long texts are processed window by window; repeated
 rows get equal scores; null ids are scored; without labels of both classes the score is
-the share of label 1 (0.0 without labels); an empty table gives an empty result.
+the share of label 1 (0.0 without labels); where an id has both labels it counts as
+toxic; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ WINDOW_WORDS, STEP_WORDS = 5, 3
 LEVEL, TOXIC_BYTES, ORDINARY_BYTES = 6, 8192, 8192
 #: A word marks toxic text if it is this many times as frequent there, at this many standard errors.
 MARK_RATIO, MARK_ERRORS = 6.0, 4.5
+#: Shares of ordinary windows that do not save more bytes than a threshold.
+QUIET = (0.99, 0.998)
 _WORD = re.compile(r"\w+")
 _FEATURES = 8
 
@@ -64,6 +68,7 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
 class ToxicModel:
     ordinary: bytes
     toxic: bytes
+    cuts: tuple[int, ...]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -73,25 +78,35 @@ class ToxicModel:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def window_features(text: str, plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> list[float]:
+def saved_bytes(window: bytes, plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> int:
+    return len(plain.compress(window)) - len(toxic.compress(window))
+
+
+def window_features(text: str, plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, cuts: tuple[int, ...]) -> list[float]:
     """Summary of the bytes that the toxic dictionary saves in each window."""
-    saved = Counter(len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(text))
+    saved = Counter(saved_bytes(w, plain, toxic) for w in windows(text))
     n, largest = sum(saved.values()), []
     for value in sorted(saved, reverse=True):
         largest += [value] * min(saved[value], 8 - len(largest))
-    over = [sum(c for v, c in saved.items() if v >= k) for k in (4, 6)]
+    over = [sum(c for v, c in saved.items() if v >= k) for k in cuts]
     total = sum(v * c for v, c in saved.items())
-    return [largest[0], sum(largest[:3]), sum(largest), *over, float(np.log1p(n)), over[0] / n, total / n]
+    return [largest[0], sum(largest[:3]), sum(largest), *over, *[c / n for c in over], total / n]
+
 
+def _thresholds(ordinary: list[bytes], plain: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> tuple[int, ...]:
+    """Fewest saved bytes that all but the loudest of ordinary windows stay below."""
+    saved = [saved_bytes(w, plain, toxic) for w in ordinary] or [0]
+    return tuple(max(1, int(np.quantile(saved, q, method="lower")) + 1) for q in QUIET)
 
-def _features(rows: DataFrame, ordinary: bytes, toxic: bytes, schema: str) -> DataFrame:
+
+def _features(rows: DataFrame, ordinary: bytes, toxic: bytes, cuts: tuple[int, ...], schema: str) -> DataFrame:
     """``rows`` (text last) with an array of features in place of the text."""
     names = rows.columns[:-1]
 
     def run(batches):
         plain, other = _compressor(ordinary), _compressor(toxic + ordinary)
         for batch in batches:
-            values = [window_features(x.as_py() or "", plain, other) for x in batch.column(len(names))]
+            values = [window_features(x.as_py() or "", plain, other, cuts) for x in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.list_(pa.float64()))], names=[*names, "features"])
 
     return rows.mapInArrow(run, schema)
@@ -137,9 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     chosen = labelled_sample(labels, "toxic", sample_rows)
     rows = docs.select(F.col("doc_id").alias("__id"), whole_text("text").alias("text")).join(F.broadcast(chosen), "__id")  # bounded by sample_rows
     half = F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2))
-    train = rows.where(half == 0).select("__y", "text")
-    sizes = {r["__y"]: r["count"] for r in rows.where(half == 0).groupBy("__y").count().collect()}
-    constant = ToxicModel(b"ordinary", b"toxic", np.zeros(_FEATURES), np.ones(_FEATURES), np.r_[np.zeros(_FEATURES), -30.0])
+    train = rows.where(half == 0).select("__y", "text", "__id")
+    words = F.sum(F.size(F.split("text", r"\s+")).cast("long")).alias("words")
+    groups = {r["__y"]: r for r in train.groupBy("__y").agg(F.count(F.lit(1)).alias("n"), words).collect()}
+    sizes = {y: r["n"] for y, r in groups.items()}
+    constant = ToxicModel(b"ordinary", b"toxic", (1,) * len(QUIET), np.zeros(_FEATURES), np.ones(_FEATURES), np.r_[np.zeros(_FEATURES), -30.0])
     if len(sizes) < 2:
         if sizes:
             constant.weights[-1] = 30.0 if 1 in sizes else -30.0
@@ -159,25 +176,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
 
     def cut(batches):
         for batch in batches:
-            for text in batch.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(list(windows(text.as_py() or "")), pa.binary())], names=["w"])
+            for i, text in zip(batch.column(2).to_pylist(), batch.column(1), strict=True):
+                found = list(windows(text.as_py() or ""))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), batch.schema.field(2).type), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())], names=["i", "k", "w"])
 
-    ordinary_windows = train.where("__y = 0").mapInArrow(cut, "w binary").withColumn("h", F.xxhash64(F.lit("window"), "w"))
+    # Windows are drawn by a hash of their place; a threshold set from the number of words keeps what tasks send near the bound.
+    share = min(1.0, 1.5 * ORDINARY_WINDOWS * STEP_WORDS / max(1, groups[0]["words"]))
+    drawn = F.pmod(F.xxhash64(F.lit("window"), "i", "k"), F.lit(1 << 30))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ordinary_windows = train.where("__y = 0").mapInArrow(cut, f"i {kind}, k long, w binary").withColumn("h", drawn).where(F.col("h") <= int(share * (1 << 30)))
     plain = [bytes(r.w) for r in ordinary_windows.orderBy("h", "w").limit(ORDINARY_WINDOWS).collect()]
-    ordinary = train_dictionary(plain, ORDINARY_BYTES)
+    ordinary = train_dictionary(plain[::2], ORDINARY_BYTES)
     toxic = train_dictionary(fragments, TOXIC_BYTES) if fragments else b" " * 8
-    seen = _features(rows.where(half == 1).select("__id", "__y", "text"), ordinary, toxic, "__id long, __y int, features array<double>").toPandas()
+    cuts = _thresholds(plain[1::2], _compressor(ordinary), _compressor(toxic + ordinary))
+    seen = _features(rows.where(half == 1).select("__id", "__y", "text"), ordinary, toxic, cuts, f"__id {kind}, __y int, features array<double>").toPandas()
     if not len(seen) or seen["__y"].nunique() < 2:
         return constant
     seen = seen.sort_values("__id", kind="stable")
-    return ToxicModel(ordinary, toxic, *_logistic(np.array(seen["features"].tolist()), seen["__y"].to_numpy(float)))
+    return ToxicModel(ordinary, toxic, cuts, *_logistic(np.array(seen["features"].tolist()), seen["__y"].to_numpy(float)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     model = fit(docs, labels)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seen = _features(docs.select("doc_id", whole_text("text").alias("text")), model.ordinary, model.toxic, f"doc_id {kind}, features array<double>")
+    seen = _features(docs.select("doc_id", whole_text("text").alias("text")), model.ordinary, model.toxic, model.cuts, f"doc_id {kind}, features array<double>")
     mean, scale, weights = model.mean.tolist(), model.scale.tolist(), model.weights.tolist()
     total = F.lit(weights[-1])
     for k in range(_FEATURES):

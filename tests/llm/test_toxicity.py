@@ -1,5 +1,8 @@
+import math
 import random
 
+import zstandard
+
 from quillon.llm import toxicity
 
 INSULTS = ["numpty", "blockhead", "wretched", "dimwit"]
@@ -28,6 +31,33 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in out) / len(out) > 0.95
 
 
+def slow_score(text, model):
+    """The score from the definition, each window compressed by compressors of its own."""
+
+    def size(window, content):
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=toxicity.LEVEL)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    words = (text or "").lower().split()
+    starts = range(0, max(1, len(words) - 5 + 3), 3)
+    saved = [size(w, model.ordinary) - size(w, model.toxic + model.ordinary) for w in (" ".join(words[i : i + 5]).encode() for i in starts)]
+    saved.sort(reverse=True)
+    counts = [sum(v >= cut for v in saved) for cut in model.cuts]
+    values = [saved[0], sum(saved[:3]), sum(saved[:8]), *counts, *[c / len(saved) for c in counts], sum(saved) / len(saved)]
+    total = model.weights[-1] + sum((v - m) / s * w for v, m, s, w in zip(values, model.mean, model.scale, model.weights, strict=False))
+    return 1 / (1 + math.exp(-max(-30, min(30, total))))
+
+
+def test_scores_match_the_definition(spark):
+    docs, labels = corpus(spark, 240)
+    model = toxicity.fit(docs, labels)
+    assert len(model.cuts) == 2 and 1 <= model.cuts[0] <= model.cuts[1]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    assert all(abs(got[i] - slow_score(texts[i], model)) < 1e-9 for i in list(texts)[:40])
+
+
 def test_windows_cover_every_word():
     for n in range(40):
         words = [f"w{i}" for i in range(n)]
