@@ -1,8 +1,8 @@
 """Toxicity by compression distance with separate zstandard dictionaries.
 
 Two dictionaries are trained on the labelled fold: one on windows of ordinary documents,
-one on the fragments of toxic documents whose words mark them (document frequency far
-above that in ordinary documents).  Every text is cut into overlapping windows; a window
+one on the fragments of toxic documents whose words mark them (found in far more
+different toxic texts than ordinary ones; copies of a passage count once).  Every text is cut into overlapping windows; a window
 is compressed with the ordinary dictionary alone and with the toxic one in front of it.
 The saved bytes of all windows are summarised (largest, sums of the largest, mean, counts
 and shares above two thresholds).  The thresholds are calibrated on ordinary windows that
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,13 @@ SAMPLE_ROWS, ORDINARY_WINDOWS, MARKS = 12_000, 30_000, 2_000
 THRESHOLD = 0.3
 WINDOW_WORDS, STEP_WORDS = 5, 3
 LEVEL, TOXIC_BYTES, ORDINARY_BYTES = 6, 8192, 8192
-#: A word marks toxic text if it is this many times as frequent there, at this many standard errors.
-MARK_RATIO, MARK_ERRORS = 6.0, 4.5
+#: A word marks toxic text if it is this many times as frequent there and the log-likelihood ratio against equal
+#: shares exceeds MARK_EVIDENCE (chance about 1e-6 a word, so that more labels bring no more chance words).
+MARK_RATIO, MARK_EVIDENCE = 6.0, 24.0
 #: Shares of ordinary windows that do not save more bytes than a threshold.
 QUIET = (0.99, 0.998)
 _WORD = re.compile(r"\w+")
+_LARGEST = (1 << 63) - 1
 _FEATURES = 8
 
 
@@ -112,29 +115,36 @@ def _features(rows: DataFrame, ordinary: bytes, toxic: bytes, cuts: tuple[int, .
     return rows.mapInArrow(run, schema)
 
 
-def _word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary, uses): documents of each kind with the word, uses in toxic ones."""
+def first_contexts(text: str) -> dict[str, int]:
+    """Word -> least hash of its uses with both neighbours; the empty word stands for the whole text.
 
-    def run(batches):
-        found = [Counter(), Counter(), Counter()]
+    Copies of a passage have the same contexts, so that counting distinct ones counts a passage once.
+    """
+    words, least = _WORD.findall(text.lower()), {"": _LARGEST}
+    for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+        h = xxhash.xxh64_intdigest(f"{before} {word} {after}".encode("utf-8", "surrogatepass")) >> 1
+        if h < least.get(word, _LARGEST):
+            least[word] = h
+            least[""] = min(least[""], h)
+    return least
 
-        def out():
-            words = list(found[0] | found[1])
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([f[w] for w in words], pa.int64()) for f in found]], names=["word", "toxic", "ordinary", "uses"])
 
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """(word, toxic, ordinary): distinct first contexts of the word in documents of each kind."""
+
+    def run(batches):
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = Counter(_WORD.findall((text.as_py() or "").lower()))
-                found[0 if y else 1].update(words.keys())
-                if y:
-                    found[2].update(words)
-            if len(found[0]) + len(found[1]) > 200_000:
-                yield out()
-                found = [Counter(), Counter(), Counter()]
-        yield out()
+                found = first_contexts(text.as_py() or "")
+                n = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64()), pa.array([int(y == 1)] * n, pa.int64()), pa.array([int(y == 0)] * n, pa.int64())],
+                    names=["word", "context", "toxic", "ordinary"],
+                )
 
-    parts = rows.mapInArrow(run, "word string, toxic long, ordinary long, uses long")
-    return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary", "uses")])
+    parts = rows.mapInArrow(run, "word string, context long, toxic long, ordinary long")
+    distinct = parts.groupBy("word", "context").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
+    return distinct.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3):
@@ -161,18 +171,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
         if sizes:
             constant.weights[-1] = 30.0 if 1 in sizes else -30.0
         return constant
-    n1, n0 = sizes[1], sizes[0]
-    p1, p0 = F.col("toxic") / n1, F.col("ordinary") / n0
-    error = F.sqrt((F.col("toxic") + F.col("ordinary") + 1) / float(n1 + n0) / n1)
+    counts = _word_counts(train).persist()
+    whole = counts.where("word = ''").first()
+    n1, n0 = whole.toxic, whole.ordinary  # different texts
+    toxic, ordinary, share = F.col("toxic"), F.col("ordinary"), n1 / (n1 + n0)
+    uses = toxic + ordinary
+    evidence = 2 * (toxic * F.ln(toxic / (uses * share)) + F.when(ordinary > 0, ordinary * F.ln(ordinary / (uses * (1 - share)))).otherwise(0.0))
     marks = (
-        _word_counts(train)
-        .where((F.col("toxic") >= 3) & (p1 > MARK_RATIO * (F.col("ordinary") + 0.5) / n0) & ((p1 - p0) / error > MARK_ERRORS))
-        .withColumn("z", (p1 - p0) / error)
-        .orderBy(F.desc("z"), "word")
+        counts.where((F.col("word") != "") & (toxic > 0) & (toxic / n1 > MARK_RATIO * (ordinary + 0.5) / n0))
+        .withColumn("evidence", evidence)
+        .where(F.col("evidence") > MARK_EVIDENCE)
+        .orderBy(F.desc("evidence"), "word")
         .limit(MARKS)
         .collect()
     )
-    fragments = [f" {r.word} ".encode() for r in marks for _ in range(min(r.uses, 50))]
+    counts.unpersist()
+    fragments = [f" {r.word} ".encode() for r in marks for _ in range(min(r.toxic, 50))]
 
     def cut(batches):
         for batch in batches:

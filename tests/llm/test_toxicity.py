@@ -58,6 +58,14 @@ def test_scores_match_the_definition(spark):
     assert all(abs(got[i] - slow_score(texts[i], model)) < 1e-9 for i in list(texts)[:40])
 
 
+def test_copies_of_a_passage_count_once(spark):
+    shared = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, f"{shared} own{i} x{i} numpty y{i}") for i in range(20)] + [(0, f"z{i} common w{i}") for i in range(20)] + [(1, ""), (0, "")]
+    got = {r.word: (r.toxic, r.ordinary) for r in toxicity._word_counts(spark.createDataFrame(rows * 3, "y int, text string")).collect()}
+    assert got["p7"] == (1, 0) and got["numpty"] == (20, 0) and got["common"] == (0, 20) and got["own3"] == (1, 0)
+    assert got[""][1] == 21 and 2 <= got[""][0] <= 21
+
+
 def test_windows_cover_every_word():
     for n in range(40):
         words = [f"w{i}" for i in range(n)]
