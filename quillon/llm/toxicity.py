@@ -37,8 +37,8 @@ THRESHOLD = 0.3
 WINDOW_WORDS, STEP_WORDS = 5, 3
 LEVEL, TOXIC_BYTES, ORDINARY_BYTES = 6, 8192, 8192
 #: A word marks toxic text if it is this many times as frequent there and the log-likelihood ratio against equal
-#: shares exceeds MARK_EVIDENCE (chance about 1e-6 a word, so that more labels bring no more chance words).
-MARK_RATIO, MARK_EVIDENCE = 6.0, 24.0
+#: shares exceeds MARK_EVIDENCE (four different toxic texts and no ordinary one, where a tenth of the texts is toxic).
+MARK_RATIO, MARK_EVIDENCE = 6.0, 14.0
 #: Shares of ordinary windows that do not save more bytes than a threshold.
 QUIET = (0.99, 0.998)
 _WORD = re.compile(r"\w+")
