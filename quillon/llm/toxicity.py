@@ -161,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     """Fit on at most ``sample_rows`` labelled documents outside the held-out fold."""
     chosen = labelled_sample(labels, "toxic", sample_rows)
     rows = docs.select(F.col("doc_id").alias("__id"), whole_text("text").alias("text")).join(F.broadcast(chosen), "__id")  # bounded by sample_rows
-    half = F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(2))
-    train = rows.where(half == 0).select("__y", "text", "__id")
+    calibrates = F.pmod(F.xxhash64(F.lit("half"), "__id"), F.lit(4)) == 0
+    train = rows.where(~calibrates).select("__y", "text", "__id")
     words = F.sum(F.size(F.split("text", r"\s+")).cast("long")).alias("words")
     groups = {r["__y"]: r for r in train.groupBy("__y").agg(F.count(F.lit(1)).alias("n"), words).collect()}
     sizes = {y: r["n"] for y, r in groups.items()}
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     ordinary = train_dictionary(plain[::2], ORDINARY_BYTES)
     toxic = train_dictionary(fragments, TOXIC_BYTES) if fragments else b" " * 8
     cuts = _thresholds(plain[1::2], _compressor(ordinary), _compressor(toxic + ordinary))
-    seen = _features(rows.where(half == 1).select("__id", "__y", "text"), ordinary, toxic, cuts, f"__id {kind}, __y int, features array<double>").toPandas()
+    seen = _features(rows.where(calibrates).select("__id", "__y", "text"), ordinary, toxic, cuts, f"__id {kind}, __y int, features array<double>").toPandas()
     if not len(seen) or seen["__y"].nunique() < 2:
         return constant
     seen = seen.sort_values("__id", kind="stable")
