@@ -3,8 +3,10 @@
 A tokenizer feeds a tree builder that knows which end tags are implied (p, li, dt,
 dd, option, table parts); visibility rules remove head, script, style and hidden
 elements; a block formatter writes the visible text with block spacing, list markers and
-table cells padded to aligned columns.  The walk is iterative, so nesting depth is
-bounded by memory only.
+table cells padded to aligned columns (rows that a cell spans keep its column).  Cells of
+more than WIDE characters do not widen their column, so that the padding of a page
+stays in proportion to it.  The walk is iterative, so nesting depth is bounded by memory
+only.
 
 Defined cases: a null or empty page renders as an empty text; text without tags is kept;
 unclosed and stray tags never fail; repeated rows render alike; an empty table gives an
@@ -21,6 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Widest cell that the other cells of its column are padded to.
+WIDE = 120
+#: Most rows and columns that a cell spans, as in the HTML standard.
+MOST_ROWS, MOST_COLUMNS = 65534, 1000
+
 # Element classes of the HTML standard's rendering and syntax sections.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
@@ -160,7 +167,7 @@ def _close(stack: _Stack, name: str) -> None:
 
 def visible(node: Node) -> bool:
     attrs = node.attrs
-    if node.tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+    if node.tag in HIDDEN or "hidden" in attrs:
         return False
     if node.tag == "input" and attrs.get("type", "").lower() == "hidden":
         return False
@@ -281,12 +288,16 @@ def render(source: str | None) -> str:
                 table["rows"].append([])
             own = _Out()
             saved, out = out, own
+            columns, below = _span(item.attrs, "colspan", MOST_COLUMNS) or 1, _span(item.attrs, "rowspan", MOST_ROWS)
 
-            def finish_cell(table=table, saved=saved, own=own, span=item.attrs.get("colspan", "1")):
+            def finish_cell(table=table, saved=saved, own=own, columns=columns, below=below or MOST_ROWS):
                 nonlocal out
-                table["rows"][-1].append(own.value())
-                extra = min(int(span), 1000) - 1 if re.fullmatch("[0-9]{1,4}", span) else 0
-                table["rows"][-1] += [""] * max(0, extra)
+                row, at, held = table["rows"][-1], len(table["rows"]), table["held"]
+                while held.get(len(row), 0) >= at:  # columns that cells of rows above hold
+                    row.append("")
+                if below > 1:
+                    held.update((len(row) + k, at + below - 1) for k in range(columns))
+                row += [own.value(), *[""] * (columns - 1)]
                 out = saved
 
             close = finish_cell
@@ -304,6 +315,9 @@ def render(source: str | None) -> str:
             out.block(1)
             mark = "* "
             if lists and lists[-1][0]:
+                value = item.attrs.get("value", "")
+                if re.fullmatch(r"-?[0-9]{1,9}", value):
+                    lists[-1][1] = int(value)
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
             kept = out.indent
@@ -340,16 +354,22 @@ def render(source: str | None) -> str:
 
 
 def _open_table(tables, out):
-    return out, {"rows": [], "outer": None}
+    return out, {"rows": [], "held": {}, "outer": None}
+
+
+def _span(attrs: dict[str, str], name: str, most: int) -> int:
+    """Rows or columns of a cell; 0 (as written) means all that follow."""
+    value = attrs.get(name, "1")
+    return min(int(value), most) if re.fullmatch("[0-9]{1,5}", value) else 1
 
 
 def _aligned(rows: list[list[str]]) -> str:
-    """Cells padded to the widest line of their column; columns are two spaces apart."""
+    """Cells padded to the widest line (of up to WIDE characters) of their column; columns are two spaces apart."""
     rows = [r for r in rows if any(r)]
     widths: list[int] = []
     for row in rows:
         for k, cell in enumerate(row):
-            width = max((len(x) for x in cell.split("\n")), default=0)
+            width = max((len(x) for x in cell.split("\n") if len(x) <= WIDE), default=0)
             if k == len(widths):
                 widths.append(width)
             else:

@@ -12,10 +12,14 @@ CASES = [
     ("<ul><li>x<li>y<ul><li>z</ul><li>w</ul>", "* x\n* y\n  * z\n* w"),
     ("<ol start=3><li>x</li><li>y</li></ol>after", "3. x\n4. y\n\nafter"),
     ("<title>t</title><script>var x='</p>'</script><style>p{}</style><p hidden>h</p><p>v</p>", "v"),
-    ('<div style="display: NONE">no<div>no</div></div>yes<span aria-hidden=true>no</span>', "yes"),
+    ('<div style="display: NONE">no<div>no</div></div>yes<span aria-hidden=true>, too</span>', "yes, too"),
     ("<!-- c <p>x</p> -->k<!doctype html><template>t</template>", "k"),
     ("<table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td>x<td>22</table>", "Name       N\nlong name  1\nx          22"),
     ("<table><tr><td colspan=2>a<td>b<tr><td>cc<td>dd<td>e</table>", "a       b\ncc  dd  e"),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>", "A  B\n   C\nD  E"),
+    ("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b    c\nd       e\nf       g"),
+    ("<table><tr><td rowspan=x>a<td rowspan=" + "9" * 5000 + ">b<tr><td>c</table>", "a  b\nc"),
+    ("<ol><li>x<li value=5>y<li>z<li value=q>w</ol>", "1. x\n5. y\n6. z\n7. w"),
     ("<table><tr><td>a<p>b</td><td>c</td></tr></table>z", "a  c\n\nb\n\nz"),
     ("<table><tr><td>o<table><tr><td>i1<td>i2</table></table>", "o\n\ni1  i2"),
     ("<pre>a  b\n  c</pre>d", "a  b\n  c\n\nd"),
@@ -55,3 +59,9 @@ def test_frame(spark):
     assert out.columns == [*pages.columns, "__text"]
     assert sorted(map(str, out.select("page_id", "__text").collect())) == sorted(["Row(page_id=1, __text='a')"] * 2 + ["Row(page_id=None, __text='')"])
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_padding_stays_in_proportion():
+    page = "<table>" + "<tr><td>ab<td>cd" * 2000 + "<tr><td>" + "w" * 200_000 + "<td>x</table>"
+    text = render(page)
+    assert len(text) < 2 * len(page) and text.startswith("ab  cd\nab  cd\n") and text.endswith("w  x")
