@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import free_name
+
 #: Widest cell that the other cells of its column are padded to.
 WIDE = 120
 #: Most rows and columns that a cell spans, as in the HTML standard.
@@ -384,8 +386,8 @@ def _aligned(rows: list[list[str]]) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "__text") -> DataFrame:
-    """``pages`` plus the visible text; nothing is shuffled."""
-    names = pages.columns
+    """``pages`` plus the visible text (in ``out_col``, with underscores appended if taken); nothing is shuffled."""
+    names, out_col = pages.columns, free_name(pages, out_col)
     at = names.index(html_col)
 
     def run(batches):

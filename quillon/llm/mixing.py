@@ -9,7 +9,8 @@ the output are unrelated.
 Defined cases: a null source is a source of its own; null text counts as empty; a
 null id draws by its text; repeated rows draw alike; sources without characters keep
 rate 1; a source that is missing from explicit weights gets rate 0; an empty table
-gives an empty result.
+gives an empty result; where a column of the input has the name of one that is added, the
+added one has underscores appended.
 """
 
 from __future__ import annotations
@@ -17,14 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, whole_text
+from quillon.llm.common import checkpointed, free_name, whole_text
 
 #: Most numbers in all sources' distributions together that are broadcast (8 MB).
 BROADCAST_NUMBERS = 1_000_000
 SEED = "quillon-mix-1"
 #: Weight of a source without explicit weights: its characters to this power.
 TEMPERATURE = 0.5
-_NONE = "\x00null"
 
 
 def _hash52(*parts: Column) -> Column:
@@ -37,12 +37,13 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, budge
 
     ``budget``: expected characters of the mixture (default: as many as there are).
     """
-    sizes = docs.groupBy(F.coalesce(F.col(source_col), F.lit(_NONE)).alias("src")).agg(F.sum(F.length(whole_text(text_col))).alias("chars"))
+    sizes = docs.groupBy(F.col(source_col).alias("src")).agg(F.sum(F.length(whole_text(text_col))).alias("chars"))
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.col("chars").cast("double"), F.lit(TEMPERATURE)))
     else:
-        pairs = [x for k, v in weights.items() for x in (F.lit(_NONE if k is None else k), F.lit(float(v)))]
-        sizes = sizes.withColumn("weight", F.coalesce(F.element_at(F.create_map(*pairs), F.col("src")), F.lit(0.0)))
+        named = [x for k, v in weights.items() if k is not None for x in (F.lit(k), F.lit(float(v)))]
+        weight = F.coalesce(F.element_at(F.create_map(*named), F.col("src")), F.lit(0.0)) if named else F.lit(0.0)
+        sizes = sizes.withColumn("weight", F.when(F.col("src").isNull(), F.lit(float(weights.get(None, 0.0)))).otherwise(weight))
     total = sizes.agg(F.sum("weight").alias("all_weight"), F.sum("chars").alias("all_chars"))  # one row
     goal = F.lit(float(budget)) if budget is not None else F.col("all_chars").cast("double")
     rates = sizes.join(F.broadcast(total)).withColumn(
@@ -62,21 +63,22 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, budge
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Repeated rows of ``docs`` plus __copies, __copy (from 0) and __shuffle_key."""
-    rates = checkpointed(source_rates(docs, weights, budget, source_col, text_col).select(F.col("src").alias("__src"), "cdf", "rate"))
+    draw_col, src, cdf, rate, copies_col, copy, order = (free_name(docs, f"__{x}") for x in ("draw", "src", "cdf", "rate", "copies", "copy", "shuffle_key"))
+    rates = checkpointed(source_rates(docs, weights, budget, source_col, text_col).select(F.col("src").alias(src), "cdf", "rate"))
     numbers = rates.agg(F.sum(F.size("cdf") + 8)).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:  # else a shuffled join, which adaptive execution splits at hot sources
         rates = F.broadcast(rates)
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(whole_text(text_col).cast("binary")))
     draw = (_hash52(F.lit(seed), name).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     # The number of values that the draw exceeds in the cumulative distribution; rate 0 never repeats.
-    copies = F.when(F.col("__rate") > 0, F.size(F.filter("__cdf", lambda c: c < F.col("__draw")))).otherwise(F.lit(0))
+    copies = F.when(F.col(rate) > 0, F.size(F.filter(cdf, lambda c: c < F.col(draw_col)))).otherwise(F.lit(0))
     repeated = (
-        docs.withColumn("__draw", draw)
-        .join(rates.withColumnsRenamed({"cdf": "__cdf", "rate": "__rate"}), F.coalesce(F.col(source_col), F.lit(_NONE)) == F.col("__src"))
-        .withColumn("__copies", copies)
-        .where("__copies > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-        .withColumn("__shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("__copy")).cast("binary")))
-        .drop("__draw", "__src", "__cdf", "__rate")
+        docs.withColumn(draw_col, draw)
+        .join(rates.withColumnsRenamed({"cdf": cdf, "rate": rate}), F.col(source_col).eqNullSafe(F.col(src)))
+        .withColumn(copies_col, copies)
+        .where(F.col(copies_col) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies_col) - 1)))
+        .withColumn(order, F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col(copy)).cast("binary")))
+        .drop(draw_col, src, cdf, rate)
     )
-    return repeated.repartition("__shuffle_key").sortWithinPartitions("__shuffle_key", F.col(id_col), "__copy")
+    return repeated.repartition(order).sortWithinPartitions(order, F.col(id_col), copy)

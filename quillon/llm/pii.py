@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import whole_text
+from quillon.llm.common import free_name, whole_text
 
 #: Demonstration key; pass a secret one in production.
 DEMO_KEY = "quillon-demo-key"
@@ -277,8 +277,11 @@ def pseudonym(m: Column, key: str = DEMO_KEY) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text rewritten, plus ``__kinds`` (kinds of the values replaced, in order)."""
-    text = whole_text(text_col)
+    """``docs`` with the text rewritten, plus ``__kinds`` (kinds of the values replaced, in order).
+
+    Where ``docs`` has a column of that name, the new one has underscores appended.
+    """
+    text, found_col, kinds_col = whole_text(text_col), free_name(docs, "__found"), free_name(docs, "__kinds")
     hit = text.rlike(PATTERN)
     none = F.array().cast("array<struct<m:string,kind:string,new:string>>")
 
@@ -287,13 +290,13 @@ def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -
 
     found = F.when(hit, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), one)).otherwise(none)
     parts = F.split(text, PATTERN, -1)
-    pieces = F.zip_with(parts, F.col("__found"), lambda part, f: F.concat(part, F.coalesce(f["new"], f["m"], F.lit(""))))
-    changed = F.exists("__found", lambda f: f["new"].isNotNull())
+    pieces = F.zip_with(parts, F.col(found_col), lambda part, f: F.concat(part, F.coalesce(f["new"], f["m"], F.lit(""))))
+    changed = F.exists(found_col, lambda f: f["new"].isNotNull())
     return (
-        docs.withColumn("__found", found)
+        docs.withColumn(found_col, found)
         .withColumn(text_col, F.when(changed, F.array_join(pieces, "")).otherwise(text))
-        .withColumn("__kinds", F.transform(F.filter("__found", lambda f: f["new"].isNotNull()), lambda f: f["kind"]))
-        .drop("__found")
+        .withColumn(kinds_col, F.transform(F.filter(found_col, lambda f: f["new"].isNotNull()), lambda f: f["kind"]))
+        .drop(found_col)
     )
 
 

@@ -65,3 +65,8 @@ def test_padding_stays_in_proportion():
     page = "<table>" + "<tr><td>ab<td>cd" * 2000 + "<tr><td>" + "w" * 200_000 + "<td>x</table>"
     text = render(page)
     assert len(text) < 2 * len(page) and text.startswith("ab  cd\nab  cd\n") and text.endswith("w  x")
+
+
+def test_clashing_name(spark):
+    pages = spark.createDataFrame([("<p>a", "k")], "html string, __text string")
+    assert extract(pages).first().asDict() == {"html": "<p>a", "__text": "k", "__text_": "a"}

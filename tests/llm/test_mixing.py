@@ -47,3 +47,14 @@ def test_without_broadcast(spark, monkeypatch):
     wanted = sorted(map(tuple, mixing.mix(d).collect()), key=str)
     monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 0)
     assert sorted(map(tuple, mixing.mix(d).collect()), key=str) == wanted
+
+
+def test_clashing_names(spark):
+    d = docs(spark, 200)
+    plain = mixing.mix(d)
+    clash = d.withColumns({c: F.lit(7) for c in ("__draw", "__SRC", "__cdf", "__rate", "__copies", "__copy", "__shuffle_key")})
+    mixed = mixing.mix(clash)
+    assert mixed.columns == [*clash.columns, "__copies_", "__copy_", "__shuffle_key_"]
+    rows = lambda df: sorted(map(tuple, df.select(*d.columns).collect()), key=str)
+    assert rows(mixed) == rows(plain)
+    assert {(r["__draw"], r["__rate"], r["__copies"]) for r in mixed.collect()} == {(7, 7, 7)}

@@ -88,3 +88,10 @@ def test_other_columns_nulls_long_texts_and_empty_tables(spark):
     got = out.collect()
     assert len(got) == 4 and {len(r["__kinds"]) for r in got} == {0, 500} and {r.text for r in got if r.doc_id == 1} == {""}
     assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a@example.org", 5, "k")], "doc_id long, text string, __found int, __KINDS string")
+    row = pii.pseudonymise(df).first().asDict()
+    assert list(row) == [*df.columns, "__kinds_"]
+    assert (row["__found"], row["__KINDS"], row["__kinds_"]) == (5, "k", ["email"]) and "a@example.org" not in row["text"]
