@@ -1,14 +1,16 @@
 """Source divergence audit over mergeable radix tries.
 
-Each task counts the terms of its documents in a radix trie over UTF-8 bytes; a leaf has a counter
-per (lang, source) of its occurrences and of the documents that hold it.  A trie that reaches its
-bound of leaves is sent off and begun anew, as tries merge by adding counters.  Leaves are dealt by
-ranges of the byte order, so that each range holds all counters of its prefixes, and sorted; the
-merge reads them as one traversal in UTF-8 order and holds the counters of one term at a time.
-Kept terms stream on, all sources of a term and language in one row: for the pairs, tasks add up
-differences of all ordered pairs of sources beyond those of two absent counts, which are added once
-by their number; for the terms, candidates of a group are ranked by (value, byte order), with the
-first ranks of each task taken before the exchange.
+Each task counts the terms of its documents in a radix trie over bytes, whose leaves have a counter
+per (lang, source) of occurrences and of the documents that hold the term.  Tries are kept as the
+walk over their leaves in UTF-8 order with the lengths of shared paths, so that building and
+merging are sorts of whole arrays; a trie that reaches its bound of counters is sent off and begun
+anew, as tries merge by adding counters.  They travel as blocks of neighbouring leaves, written once;
+ranges of prefixes are cut so that each has about as many counters, and a block goes to the range
+(or ranges) that it touches.  Each range merges its blocks and streams its kept terms in UTF-8
+order, all sources of a term and language in one row.  For the pairs, tasks add up differences of all
+ordered pairs of sources beyond those of two absent counts, which are added once by their number;
+for the terms, candidates of a group are ranked by (value, byte order), with the first ranks of
+each task taken before the exchange.
 
 A language's sources come with its terms by a join that Spark broadcasts only where its own
 size check allows; a language with S sources has S (S - 1) rows of pairs in any case.
@@ -22,165 +24,234 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import slices, whole_text, written_table
+from quillon.llm.common import settings, whole_text, written_table
+from quillon.llm.substring_dedup import pieces
 
 SCALE, LEAST_DOCS, RANKS = 1_000_000_000, 3, 200
-#: Leaves (with a counter each) after which a task sends its trie off.
-TRIE_LEAVES = 200_000
+#: Counters of a trie that a task sends off, counters of a range (about), leaves of a block.
+TRIE_LEAVES, RANGE_LEAVES, BLOCK = 1_000_000, 500_000, 1024
+#: Block heads (about) that the cuts between ranges are chosen from.
+CUT_SAMPLE = 100_000
 #: Numbers that a task holds of a block of terms and of sums of pairs.
 _CELLS = 1 << 20
 _DIGITS = 32
-_BOUNDS = bytes(b if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)).lower()
+_TERM_BYTES = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
-def terms(text: bytes) -> list[bytes]:
-    """Runs of ASCII letters (A-Z lower-cased) and of characters beyond ASCII."""
-    return text.translate(_BOUNDS).split(b" ")
+def terms(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All terms (runs of ASCII letters, A-Z lower-cased, and of bytes beyond ASCII) and the text of each."""
+    data = np.frombuffer(b" " + b" ".join([*texts, b""]), np.uint8)
+    inside = _TERM_BYTES[data]
+    change = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # the first and the last byte are none
+    starts, ends = change[::2], change[1::2]
+    offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[inside]])])
+    return found, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in ascending order, and the sums of the values of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[heads], *(np.add.reduceat(v[order], heads) if len(heads) else v for v in values)
 
 
 class RadixTrie:
-    """Byte strings as paths; an edge has one or more bytes, a node's edges differ in the first.
+    """A byte trie with merged single-child paths, as the walk over its leaves in byte order.
 
-    A node is [edges, counters]: edges maps a first byte to (label, node), counters maps a
-    group to [occurrences, documents].
+    ``terms`` are the leaves; ``shared`` is the length of the path that a leaf has in common with
+    the one before, where its own edge starts.  Counters belong to leaves: ``leaf`` (ascending),
+    ``group`` (ascending in a leaf), ``n`` occurrences, ``docs`` documents.
     """
 
-    def __init__(self):
-        self.root: list = [{}, None]
-        self.leaves = 0
-
-    def leaf(self, term: bytes) -> dict:
-        """Counters of a term, whose path is made where it lacks."""
-        node, at, end = self.root, 0, len(term)
-        while at < end:
-            edge = node[0].get(term[at])
-            if edge is None:
-                child = [{}, None]
-                node[0][term[at]] = (term[at:], child)
-                node = child
-                break
-            label, child = edge
-            if term.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            same = 1
-            while at + same < end and same < len(label) and label[same] == term[at + same]:
-                same += 1
-            fork = [{label[same]: (label[same:], child)}, None]
-            node[0][term[at]] = (label[:same], fork)
-            node, at = fork, at + same
-        if node[1] is None:
-            node[1] = {}
-        return node[1]
-
-    def add(self, term: bytes, group: int, occurrences: int, documents: int) -> None:
-        counters = self.leaf(term)
-        if group in counters:
-            counters[group][0] += occurrences
-            counters[group][1] += documents
-        else:
-            counters[group] = [occurrences, documents]
-            self.leaves += 1
-
-    def merge(self, other: RadixTrie) -> None:
-        for term, counters in other:
-            for group, (n, d) in counters.items():
-                self.add(term, group, n, d)
-
-    def __iter__(self):
-        """(term, counters) in UTF-8 order."""
-        stack = [(b"", self.root)]
-        while stack:
-            path, (edges, counters) = stack.pop()
-            if counters is not None:
-                yield path, counters
-            stack += [(path + edges[b][0], edges[b][1]) for b in sorted(edges, reverse=True)]
-
-
-_LEAVES = "term binary, lang string, source string, n long, docs long"
-
-
-def _batch(columns: list, kinds: list, names: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names.split())
-
-
-def _counting(trie_leaves: int):
-    """Leaves of the tries of a task."""
+    def __init__(self, terms: pa.Array, leaf: np.ndarray, group: np.ndarray, n: np.ndarray, docs: np.ndarray):
+        self.terms, self.leaf, self.group, self.n, self.docs = terms, leaf, group, n, docs
+
+    @classmethod
+    def of_counts(cls, found: pa.Array, group: np.ndarray, n: np.ndarray, docs: np.ndarray) -> RadixTrie:
+        """From counters of terms in any order; those of one term and group are added up."""
+        coded = found.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        width = int(group.max()) + 1 if len(group) else 1
+        keys, n, docs = _sums(place[coded.indices.to_numpy()] * width + group, n, docs)
+        return cls(coded.dictionary.take(pa.array(order)), keys // width, keys % width, n, docs)
+
+    @classmethod
+    def of_texts(cls, texts: list[bytes], groups: np.ndarray) -> RadixTrie:
+        found, text = terms(texts)
+        coded = found.dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        keys, n = _sums(text * size + coded.indices.to_numpy(), np.ones(len(text), np.int64))
+        return cls.of_counts(coded.dictionary.take(pa.array(keys % size)), groups[keys // size], n, np.ones(len(keys), np.int64))
+
+    @classmethod
+    def merged(cls, tries: list[RadixTrie]) -> RadixTrie:
+        found = pa.concat_arrays([t.terms.take(pa.array(t.leaf)) for t in tries])
+        return cls.of_counts(found, *(np.concatenate([getattr(t, k) for t in tries]) for k in ("group", "n", "docs")))
+
+    def __len__(self) -> int:
+        return len(self.leaf)
+
+    def blocks(self, rows: int):
+        """Subtries of neighbouring leaves: (first, last, shared, sizes, edges, counters per leaf, group, n, docs)."""
+        heads = np.searchsorted(self.leaf, np.arange(len(self.terms) + 1))
+        for a in range(0, len(self.terms), rows):
+            part = self.terms[a : a + rows]
+            offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+            data, sizes = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+            shared = shared_lengths(data, offsets[:-1] - offsets[0], sizes)
+            own = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes) >= np.repeat(shared, sizes)
+            x, y = heads[a], heads[a + len(part)]
+            yield part[0].as_py(), part[-1].as_py(), shared, sizes, data[own].tobytes(), np.diff(heads[a : a + len(part) + 1]), self.group[x:y], self.n[x:y], self.docs[x:y]
+
+
+def shared_lengths(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Length of the common start of each byte string with the one before it (0 for the first), eight bytes at a time."""
+    octets = np.ndarray(len(data), "<u8", np.r_[data, np.zeros(8, np.uint8)], strides=(1,))
+    out, pairs, at = np.zeros(len(starts), np.int64), np.arange(1, len(starts)), 0
+    limit = np.minimum(sizes[1:], sizes[:-1])
+    while len(pairs):
+        differ = octets[starts[pairs] + at] ^ octets[starts[pairs - 1] + at]
+        low = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8  # 8 where equal
+        out[pairs] = np.minimum(at + low, limit[pairs - 1])
+        at += 8
+        pairs = pairs[(low == 8) & (limit[pairs - 1] > at)]
+    return out
+
+
+def whole_terms(shared: list[int], sizes: list[int], edges: bytes) -> list[bytes]:
+    """The walk over a block: paths put together from edges."""
+    out, path, at = [], b"", 0
+    for keep, size in zip(shared, sizes, strict=True):
+        path = path[:keep] + edges[at : at + size - keep]
+        at += size - keep
+        out.append(path)
+    return out
+
+
+_GROUPS = pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string())]))
+_BLOCK = "first binary, last binary, shared array<int>, sizes array<int>, edges binary, counters array<int>, `group` array<int>, n array<long>, docs array<long>, `groups` array<struct<lang:string,source:string>>"
+_BLOCK_KINDS = [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 2, _GROUPS]
+_BLOCK_NAMES = "first last shared sizes edges counters group n docs groups".split()
+
+
+def _counting(trie_leaves: int, block: int):
+    """Blocks of the tries of a task."""
 
     def sent(trie: RadixTrie, groups: list):
-        rows = [(term, *groups[g], n, d) for term, counters in trie for g, (n, d) in counters.items()]
-        for start in range(0, len(rows), 10_000):
-            yield _batch(list(zip(*rows[start : start + 10_000], strict=True)), [pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()], "term lang source n docs")
+        for *fields, group, n, docs in trie.blocks(block):
+            used, group = np.unique(group, return_inverse=True)
+            row = [*fields, group, n, docs, [groups[g] for g in used]]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() if isinstance(x, np.ndarray) else x], t) for x, t in zip(row, _BLOCK_KINDS, strict=True)], names=_BLOCK_NAMES)
 
     def run(batches):
-        trie, numbers = RadixTrie(), {}
-        for batch in slices(batches):
-            occurrences: dict[int, Counter] = {}
-            documents: dict[int, Counter] = {}
-            for text, *group in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
-                g = numbers.setdefault(tuple(group), len(numbers))
-                found = Counter(terms(text))
-                found.pop(b"", None)
-                occurrences.setdefault(g, Counter()).update(found)
-                documents.setdefault(g, Counter()).update(found.keys())
-            for g, found in occurrences.items():
-                for term, n in found.items():
-                    trie.add(term, g, n, documents[g][term])
-            if trie.leaves >= trie_leaves:
-                yield from sent(trie, list(numbers))
-                trie, numbers = RadixTrie(), {}
-        yield from sent(trie, list(numbers))
+        tries, numbers = [], {}
+        for batch in pieces(batches):
+            names = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+            groups = np.array([numbers.setdefault(g, len(numbers)) for g in names], np.int64)
+            tries.append(RadixTrie.of_texts(batch.column("text").to_pylist(), groups))
+            if sum(map(len, tries)) >= 2 * trie_leaves:
+                tries = [RadixTrie.merged(tries)]
+                if len(tries[0]) >= trie_leaves:
+                    yield from sent(tries[0], [{"lang": a, "source": b} for a, b in numbers])
+                    tries, numbers = [], {}
+        if tries:
+            yield from sent(RadixTrie.merged(tries), [{"lang": a, "source": b} for a, b in numbers])
 
     return run
 
 
-def _merging(least_docs: int):
-    """Sorted leaves of a range of terms -> kept (lang, term, total, sources: (source, n))."""
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))]
-
-    def kept(term: bytes, counters: dict):
-        langs: dict[str, list] = {}
-        for (lang, source), (n, docs) in counters.items():
-            mine = langs.setdefault(lang, [0, []])
-            mine[0] += docs
-            mine[1].append({"source": source, "n": n})
-        for lang, (docs, sources) in langs.items():
-            if docs >= least_docs:
-                yield lang, term.decode("utf-8", "replace"), sum(s["n"] for s in sources), sources
-
-    def run(batches):
-        last, counters, rows = None, {}, []
+def _merging(cuts: list[bytes], least_docs: int):
+    """Blocks of one range -> kept (lang, term, total, sources: (source, n)) in UTF-8 order."""
+
+    def read(row: dict, low: bytes | None, high: bytes | None, numbers: dict) -> RadixTrie:
+        found = whole_terms(row["shared"], row["sizes"], row["edges"])
+        a, b = 0 if low is None else bisect_left(found, low), len(found) if high is None else bisect_left(found, high)
+        leaf = np.repeat(np.arange(len(found)), row["counters"])
+        x, y = np.searchsorted(leaf, [a, b])
+        names = np.array([numbers.setdefault((g["lang"], g["source"]), len(numbers)) for g in row["groups"]], np.int64)
+        columns = (np.array(row[k], np.int64)[x:y] for k in ("group", "n", "docs"))
+        group, n, docs = columns
+        return RadixTrie(pa.array(found[a:b], pa.large_binary()), leaf[x:y] - a, names[group], n, docs)
+
+    def kept(trie: RadixTrie, groups: list):
+        """By term and language: groups are numbered so that those of a language are neighbours."""
+        order = sorted(range(len(groups)), key=groups.__getitem__)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        langs = np.unique(np.array([groups[g][0] for g in order], object), return_inverse=True)
+        by = np.lexsort((place[trie.group], trie.leaf))
+        leaf, group, n, docs = trie.leaf[by], place[trie.group][by], trie.n[by], trie.docs[by]
+        lang = langs[1][group]
+        heads = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (lang[1:] != lang[:-1])])
+        sizes = np.diff(np.r_[heads, len(leaf)])
+        stays = np.add.reduceat(docs, heads) >= least_docs
+        rows = np.repeat(stays, sizes)
+        sources = pa.array([groups[g][1] for g in order], pa.string()).take(pa.array(group[rows]))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes[stays])].astype(np.int32)), pa.StructArray.from_arrays([sources, pa.array(n[rows])], names=["source", "n"]))
+        text = pa.array([t.decode("utf-8", "replace") for t in trie.terms.take(pa.array(leaf[heads][stays])).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(langs[0][lang[heads][stays]], pa.string()), text, pa.array(np.add.reduceat(n, heads)[stays]), lists], names=["lang", "term", "total", "sources"]
+        )
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tries, numbers, least = key[0].as_py(), [], {}, 1 << 20
+        low, high = cuts[at - 1] if at else None, cuts[at] if at < len(cuts) else None
         for batch in batches:
-            for term, lang, source, n, docs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if term != last:
-                    rows += kept(last, counters) if counters else ()
-                    last, counters = term, {}
-                mine = counters.setdefault((lang, source), [0, 0])
-                mine[0] += n
-                mine[1] += docs
-            if len(rows) >= 1000:
-                yield _batch(list(zip(*rows, strict=True)), kinds, "lang term total sources")
-                rows = []
-        rows += kept(last, counters) if counters else ()
-        if rows:
-            yield _batch(list(zip(*rows, strict=True)), kinds, "lang term total sources")
+            for row in batch.select(_BLOCK_NAMES[2:]).to_pylist():
+                tries.append(read(row, low, high, numbers))
+                if sum(map(len, tries)) >= least:
+                    tries = [RadixTrie.merged(tries)]
+                    least = 2 * len(tries[0]) + (1 << 20)
+        trie = RadixTrie.merged(tries)
+        if len(trie):
+            yield from kept(trie, list(numbers))
 
     return run
 
 
+def _range_of(cuts: list[bytes]):
+    @F.arrow_udf("array<int>")
+    def ranges(first: pa.Array, last: pa.Array) -> pa.Array:
+        return pa.array([list(range(bisect_right(cuts, a), bisect_right(cuts, b) + 1)) for a, b in zip(first.to_pylist(), last.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    return ranges
+
+
+def kept_terms(named: DataFrame, least_docs: int, trie_leaves: int, range_leaves: int, block: int) -> DataFrame:
+    """(lang, term, total, sources) of the terms in at least so many documents of a language."""
+    blocks = written_table(named.mapInArrow(_counting(trie_leaves, block), _BLOCK))
+    counters, n = blocks.agg(F.sum(F.size("n")), F.count("*")).first()
+    ranges = -(-(counters or 0) // range_leaves)
+    # First leaves of blocks, chosen by a hash of them, give the cuts: all of them, or CUT_SAMPLE about.
+    share = F.pmod(F.xxhash64("first", "last"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, CUT_SAMPLE / max(1, n)))
+    firsts = [bytes(r[0]) for r in blocks.where(share).select("first").orderBy("first").collect()] if ranges > 1 else []
+    cuts = sorted({firsts[len(firsts) * k // ranges] for k in range(1, ranges)}) if firsts else []
+    dealt = blocks.withColumn("at", F.explode(_range_of(cuts)("first", "last"))) if cuts else blocks.withColumn("at", F.lit(0))
+    return dealt.groupBy("at").applyInArrow(_merging(cuts, least_docs), "lang string, term string, total long, sources array<struct<source:string,n:long>>")
+
+
 def _share(count: Column, total: Column, v: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / (total + v)), exact; null where there is nothing to share."""
     whole = lambda c: c.cast("decimal(38,0)")
+    fits = (count < 1_000_000_000) & (total < 1 << 61) & (v < 1 << 61)
+    short = F.call_function("div", (count.cast("long") + F.lit(1)) * F.lit(SCALE).cast("long"), F.nullif(total.cast("long") + v, F.lit(0)))
     top = (whole(count) + F.lit(1)).cast("decimal(26,0)") * F.lit(SCALE).cast("decimal(10,0)")
     under = F.nullif((whole(total) + whole(v)).cast("decimal(20,0)"), F.lit(0))
-    return F.call_function("div", top, under) + F.lit(1)
+    return F.when(fits, short).otherwise(F.call_function("div", top, under)) + F.lit(1)
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -197,7 +268,8 @@ def _pairing(batches):
 
     def rows(lang: str, sums: np.ndarray):
         s, t = np.nonzero(sums.any(0))
-        return _batch([[lang] * len(s), s, t, sums[0, s, t], sums[1, s, t]], [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], "lang s t high low")
+        columns = [pa.array([lang] * len(s), pa.string()), *(pa.array(x.astype(np.int32)) for x in (s, t)), *(pa.array(x[s, t]) for x in sums)]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "s", "t", "high", "low"])
 
     def beyond(p, q, p0, q0):
         return (p - q) ** 2 // q - (p0 - q0) ** 2 // q0
@@ -236,11 +308,11 @@ def _pairing(batches):
         yield rows(lang, sums)
 
 
-def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, ranks: int = RANKS, trie_leaves: int = TRIE_LEAVES) -> DataFrame:
+def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, ranks: int = RANKS, trie_leaves: int = TRIE_LEAVES, range_leaves: int = RANGE_LEAVES, block: int = BLOCK) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     named = docs.select(whole_text(text_col).cast("binary").alias("text"), whole_text(lang_col).alias("lang"), whole_text(source_col).alias("source"))
-    leaves = named.mapInArrow(_counting(trie_leaves), _LEAVES)
-    kept = written_table(leaves.repartitionByRange("term").sortWithinPartitions("term").mapInArrow(_merging(least_docs), "lang string, term string, total long, sources array<struct<source:string,n:long>>"))
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}):
+        kept = written_table(kept_terms(named, least_docs, trie_leaves, range_leaves, block))
 
     flat = kept.select("lang", F.explode("sources").alias("s")).select("lang", "s.source", "s.n")
     counted = flat.groupBy("lang", "source").agg(F.sum("n").alias("n"))

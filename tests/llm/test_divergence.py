@@ -1,6 +1,10 @@
+import os
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from quillon.llm import divergence
 from quillon.llm.divergence import RadixTrie
 
@@ -53,7 +57,7 @@ def test_matches_brute_force(spark, monkeypatch):
     rows += rows[:4]
     check(spark, rows)
     monkeypatch.setattr(divergence, "_CELLS", 8)  # small blocks, sums sent off early
-    check(spark, rows, trie_leaves=10)
+    check(spark, rows, trie_leaves=10, range_leaves=9, block=3)
 
 
 def test_many_terms_ranks_and_no_rows(spark):
@@ -63,14 +67,30 @@ def test_many_terms_ranks_and_no_rows(spark):
     check(spark, [])
 
 
-def test_tries_split_edges_merge_and_traverse_in_byte_order():
+def test_tries_merge_and_walk_in_byte_order():
     rng = random.Random(3)
-    terms = [w.encode() for w in WORDS] + [bytes(rng.choice(b"ab\xc3") for _ in range(rng.randrange(1, 6))) for _ in range(300)]
-    one, two, wanted = RadixTrie(), RadixTrie(), {}
-    for i, t in enumerate(terms):
-        (one if i % 2 else two).add(t, i % 3, i, 1)
-        mine = wanted.setdefault(t, {}).setdefault(i % 3, [0, 0])
+    found = [w.encode() for w in WORDS] + [bytes(rng.choice(b"ab\xc3") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    wanted = {}
+    for i, t in enumerate(found):
+        mine = wanted.setdefault((t, i % 3), [0, 0])
         mine[0], mine[1] = mine[0] + i, mine[1] + 1
-    one.merge(two)
-    assert list(one) == sorted(wanted.items())
-    assert one.leaves == sum(map(len, wanted.values()))
+    parts = []
+    for k in range(2):
+        at = np.arange(k, len(found), 2)
+        parts.append(RadixTrie.of_counts(pa.array([found[i] for i in at], pa.large_binary()), at % 3, at, np.ones(len(at), np.int64)))
+    trie = RadixTrie.merged(parts)
+    leaves = trie.terms.to_pylist()
+    assert leaves == sorted({t for t, _ in wanted})
+    assert {(leaves[i], g): [n, d] for i, g, n, d in zip(trie.leaf, trie.group, trie.n, trie.docs, strict=True)} == wanted
+    walked = []
+    for first, last, shared, sizes, edges, counters, *_ in trie.blocks(7):
+        walked += divergence.whole_terms(shared.tolist(), sizes.tolist(), edges)
+        assert walked[-len(sizes)] == first and walked[-1] == last and len(counters) == len(sizes)
+    assert walked == leaves
+
+
+def test_shared_lengths():
+    words = [b"", b"a", b"abcdefgh", b"abcdefghi", b"abcdefghi\x00", b"abcdefghij" * 3, b"abcdefghij" * 3 + b"z", b"b"]
+    sizes = np.array([len(w) for w in words])
+    got = divergence.shared_lengths(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    assert got.tolist() == [0, *(len(os.path.commonprefix([x, y])) for x, y in zip(words, words[1:], strict=False))]
