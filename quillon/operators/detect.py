@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import patterns as P
+from quillon.functions.scan import scanned
 from quillon.functions.spans import find_rules, let, resolve
 
 
@@ -103,16 +104,17 @@ def inline_spans(text: Column) -> Column:
     return F.filter(find_rules(text, P.INLINE_RULES, 600), lambda s: ~F.regexp_extract(s["text"], r"(?U)^(\S+)", 1).isin(P.INLINE_SKIP))
 
 
-def detect_report(text: Column) -> Column:
-    """``detect``, then label fields and inline names, resolved once more."""
-    general = F.transform(detect(text), lambda s, i: s.withField("ord", i))
+def detect_report(text: Column, general: Column | None = None) -> Column:
+    """``detect`` (or its result), then label fields and inline names, resolved once more."""
+    general = F.transform(detect(text) if general is None else general, lambda s, i: s.withField("ord", i))
     return resolve(F.concat(general, field_spans(text), inline_spans(text)))
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", report: bool = False) -> DataFrame:
     """``docs`` plus ``norm`` (normalised text) and ``spans``."""
     norm = docs.withColumn("norm", normalise(F.coalesce(F.col(text_col), F.lit(""))))
-    return norm.withColumn("spans", (detect_report if report else detect)(F.col("norm")))
+    found = norm.withColumn("spans", scanned(F.col("norm")))
+    return found.withColumn("spans", detect_report(F.col("norm"), F.col("spans"))) if report else found
 
 
 def span_rows(found: DataFrame, id_col: str) -> DataFrame:

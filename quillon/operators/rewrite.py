@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import patterns as P
 from quillon.functions.spans import apply_spans, let
-from quillon.operators.detect import detect, normalise
+from quillon.operators.detect import with_spans
 
 DEMO_KEY, REPORT_KEY = "quillon-demo-hmac-key", "quillon-demo-report-key"
 #: Entities that keep a reversible token under the two-step policy.
@@ -84,7 +84,7 @@ def replacement(span: Column, mode: str, key: str | None = None) -> Column:
 def anonymise(docs: DataFrame, mode: str = "two_step", text_col: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` plus norm, spans, anonymised_text and vault (token -> original)."""
     mode = mode_of(mode)
-    found = docs.withColumn("norm", normalise(F.coalesce(F.col(text_col), F.lit("")))).withColumn("spans", detect(F.col("norm")))
+    found = with_spans(docs, text_col)
     out = found.withColumn("anonymised_text", apply_spans(F.col("norm"), F.col("spans"), lambda s: replacement(s, mode, key)))
     if mode in ("mask", "generalise"):
         return out.withColumn("vault", F.create_map().cast("map<string,string>"))

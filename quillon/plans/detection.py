@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import patterns as P
-from quillon.functions.spans import apply_spans, find_all, resolve
+from quillon.functions.spans import find_all, resolve
+from quillon.functions.sql import register
+from quillon.operators import chunks as C
 from quillon.operators import detect as D
 from quillon.operators import evaluate as E
 from quillon.operators import rewrite as W
@@ -22,8 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders dealt over all tasks: few bytes a row, from which much longer texts are made."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def narr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return narratives(table(spark, sf_dir, "orders"))
+    return narratives(dealt(spark, sf_dir))
 
 
 QUERIES: dict = {}
@@ -117,7 +124,7 @@ def _rule_query(rule: str, source: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if source == "notes":
-            rows = notes(table(spark, sf_dir, "orders"))
+            rows = notes(dealt(spark, sf_dir))
         else:
             rows = narr(spark, sf_dir).select("id", "text") if source == "narr" else table(spark, sf_dir, source).selectExpr(f"{_ID[source]} AS id", f"{_TEXT[source]} AS text")
         return rows.select("id", F.explode(find_all(F.col("text"), r, 0)).alias("s")).select("id", "s.start", "s.end", "s.entity", "s.text")
@@ -145,6 +152,56 @@ def detect_all(spark, sf_dir):
     return D.span_rows(detected(spark, sf_dir), "id")
 
 
+@query(f'{DETECTED} SELECT id, start, "end", entity, text AS value, score FROM resolved')
+def detect_spans_sql(spark, sf_dir):
+    register(spark, W.DEMO_KEY)
+    narr(spark, sf_dir).createOrReplaceTempView("narratives_for_sql")
+    return spark.sql("SELECT n.id, s.start, s.end, s.entity, s.value, s.score FROM narratives_for_sql n, LATERAL detect_spans(n.text) s")
+
+
+@query(f"{DETECTED} SELECT entity, text AS value, {MASK_SQL} AS masked, {GENERALISE_SQL} AS general, {TOKEN_SQL} AS token, {TWO_STEP_SQL} AS two_step, count(*) AS n FROM resolved GROUP BY ALL")
+def rewrite_values_sql(spark, sf_dir):
+    register(spark, W.DEMO_KEY)
+    narr(spark, sf_dir).createOrReplaceTempView("narratives_for_sql")
+    return spark.sql(
+        """SELECT s.entity, s.value, mask_pii(s.entity, s.value) AS masked, generalise_pii(s.entity, s.value) AS general,
+             token_pii(s.entity, s.value) AS token, two_step_pii(s.entity, s.value) AS two_step, count(*) AS n
+           FROM narratives_for_sql n, LATERAL detect_spans(n.text) s GROUP BY ALL"""
+    )
+
+
+_BUNDLE = 60
+_BUNDLED_SQL = f"""WITH {NARRATIVES_SQL.replace("narr AS (", "single AS (", 1)}, narr AS (SELECT id // {_BUNDLE} AS id, string_agg(text, ' (end) ' ORDER BY id) AS text FROM single GROUP BY 1)"""
+
+
+@query(f'{_BUNDLED_SQL}, {RAW_SQL}, {resolved_sql()} SELECT id, start, "end", entity, text, score FROM resolved')
+def detect_chunked(spark, sf_dir):
+    """Texts of up to 60 narratives each, cut to chunks of some 500 characters."""
+    bundle = narr(spark, sf_dir).groupBy(F.floor(F.col("id") / _BUNDLE).alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " (end) ").alias("text"))
+    return C.detect_chunked(bundle, "id", size=500)
+
+
+def _cut_sql(size: int, slack: int) -> str:
+    """Recursion over the chunks of each document; the last separator is found in the reversed window."""
+    def step(at: str) -> str:
+        window, cases = f"substr(text, {at} + {size // 2} + 1, {size - size // 2 + slack})", []
+        for mark in C.SEPARATORS:
+            m = "'" + mark.replace("\n", "' || chr(10) || '") + "'"
+            cases.append(f"WHEN {at} + {size} < length(text) AND contains({window}, {m}) THEN {at} + {size // 2} + length({window}) - strpos(reverse({window}), reverse({m})) + 1")
+        return "CASE " + " ".join(cases) + f" ELSE least({at} + {size}, length(text)) END"
+
+    return f"""WITH RECURSIVE cuts AS (
+  SELECT doc_id, text, 0 AS chunk, 0::BIGINT AS start, ({step("0")})::BIGINT AS stop FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, text, chunk + 1, stop, ({step("stop")})::BIGINT FROM cuts WHERE stop < length(text)
+) SELECT doc_id, chunk, start::INT AS "offset", (stop - start)::INT AS n_chars, md5(substr(text, start + 1, stop - start)) AS content FROM cuts"""
+
+
+@query(_cut_sql(1000, 50))
+def model_chunks(spark, sf_dir):
+    rows = C.model_chunks(table(spark, sf_dir, "documents"), "doc_id", size=1000, slack=50)
+    return rows.select("doc_id", "chunk", "offset", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("content"))
+
+
 @query(f'WITH {NARRATIVES_SQL}, {RAW_SQL} SELECT id, start, "end", entity, text FROM raw WHERE ord BETWEEN 300 AND 399')
 def detect_hospital(spark, sf_dir):
     return narr(spark, sf_dir).select("id", F.explode(D.hospital_spans(F.col("text"))).alias("s")).select("id", "s.start", "s.end", "s.entity", "s.text")
@@ -194,10 +251,9 @@ _FIELD_SQL = " UNION ALL ".join(f"SELECT id, instr(text, '{label}: ') + {len(lab
 
 
 @query(f"""WITH {NARRATIVES_SQL}, joined AS (SELECT s.*, n.text FROM slots s JOIN narr n USING (id) WHERE s.shape = 1), f AS ({_FIELD_SQL})
-SELECT id, start::INT AS start, (start + length(text))::INT AS "end", entity, text FROM f""".replace("SELECT s.*, n.text FROM", "SELECT s.*, n.text FROM"))
+SELECT id, start::INT AS start, (start + length(text))::INT AS "end", entity, text FROM f""")
 def report_fields(spark, sf_dir):
-    rows = narr(spark, sf_dir).where("shape = 1")
-    return rows.select("id", F.explode(D.field_spans(F.col("text"))).alias("s")).select("id", "s.start", "s.end", "s.entity", "s.text")
+    return narr(spark, sf_dir).select("id", F.explode(D.field_spans(F.col("text"))).alias("s")).select("id", "s.start", "s.end", "s.entity", "s.text")
 
 
 @query(f'WITH {NARRATIVES_SQL}, raw AS ({spans_sql("narr", r"(?:Patient |Dr[.] )([A-Z][a-z]{2,} [A-Z][a-z]{2,})", "PERSON", 0.92, 0, 1)}) SELECT id, start, "end", entity, text, score FROM raw')
@@ -210,16 +266,26 @@ def entity_counts(spark, sf_dir):
     return D.entity_counts(detected(spark, sf_dir))
 
 
-_LEAK_RULES = ["email", "ip", "card", "date_dmy"]
+
+
+def _guarded(pattern: str, *rest) -> str:
+    """As spans_sql; guards against neighbouring digits are tested on the characters beside the match."""
+    rows = spans_sql("src", pattern, *rest)
+    if r"(?!\d)" not in pattern:
+        return rows
+    beside = " AND ".join(f"NOT regexp_matches(substr(src.text, {at}, 1), '[0-9]')" for at in ("g.start", 'g."end" + 1'))
+    return f"SELECT g.* FROM ({rows}) g JOIN src ON src.id = g.id WHERE {beside}"
+
+
+_DOC_RAW = f"""WITH src AS (SELECT doc_id AS id, text, lang, source FROM documents), raw AS ({" UNION ALL ".join(_guarded(*r) for r in _NARR_RULES)}), {resolved_sql()}"""
 
 
 @query(
-    f"""WITH src AS (SELECT doc_id AS id, text, lang, source FROM documents), raw AS ({" UNION ALL ".join(spans_sql("src", RULES[n].pattern, RULES[n].entity, RULES[n].score, i) for i, n in enumerate(_LEAK_RULES))}),
-{resolved_sql()} SELECT source, lang, entity, count(*) AS n, count(DISTINCT id) AS docs FROM resolved JOIN src USING (id) GROUP BY source, lang, entity"""
+    f"""{_DOC_RAW} SELECT source, lang, entity, count(*) AS n, count(DISTINCT id) AS docs FROM resolved JOIN src USING (id) GROUP BY source, lang, entity"""
 )
 def documents_with_pii(spark, sf_dir):
-    found = resolve(F.concat(*[find_all(F.col("text"), RULES[n], i) for i, n in enumerate(_LEAK_RULES)]))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.explode(found.getField("entity")).alias("entity"))
+    found = D.with_spans(table(spark, sf_dir, "documents"))
+    rows = found.select("doc_id", "source", "lang", F.explode_outer("spans.entity").alias("entity")).where("entity is not null")
     return rows.groupBy("source", "lang", "entity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -236,14 +302,9 @@ def _mode_query(mode: str, new: str):
 for _mode, _new in (("mask", MASK_SQL), ("generalise", GENERALISE_SQL), ("pseudonymise", TOKEN_SQL), ("two_step", TWO_STEP_SQL)):
     QUERIES[f"rewrite_{_mode}"], ORACLES[f"rewrite_{_mode}"] = _mode_query(_mode, _new)
 
-_DOC_RAW = f"""WITH src AS (SELECT doc_id AS id, text FROM documents), raw AS ({" UNION ALL ".join(spans_sql("src", RULES[n].pattern, RULES[n].entity, RULES[n].score, i) for i, n in enumerate(_LEAK_RULES))}), {resolved_sql()}"""
-
-
 @query(f"{_DOC_RAW}, {apply_sql('src', 'resolved', MASK_SQL)} SELECT id AS doc_id, anonymised_text FROM rewritten")
 def mask_documents(spark, sf_dir):
-    found = resolve(F.concat(*[find_all(F.col("text"), RULES[n], i) for i, n in enumerate(_LEAK_RULES)]))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", found)
-    return docs.select("doc_id", apply_spans(F.col("text"), F.col("spans"), lambda s: W.masked(s["entity"], s["text"])).alias("anonymised_text"))
+    return W.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), "mask").select("doc_id", "anonymised_text")
 
 
 @query(f"{DETECTED} SELECT DISTINCT {TOKEN_SQL} AS token, text AS value FROM resolved WHERE entity IN ('PERSON', 'MRN', 'DRUG_ID', 'CDSCO_FILE')")
