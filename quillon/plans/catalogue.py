@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import detection, privacy, texts
+from quillon.plans import contracts, detection, privacy, texts
 
-_MODULES = (detection, privacy, texts)
+_MODULES = (detection, privacy, texts, contracts)
 
 
 def queries() -> dict:
