@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import contracts, detection, privacy, texts
+from quillon.plans import contracts, detection, privacy, sinks, texts
 
-_MODULES = (detection, privacy, texts, contracts)
+_MODULES = (detection, privacy, texts, contracts, sinks)
 
 
 def queries() -> dict:
