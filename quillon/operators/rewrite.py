@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import patterns as P
-from quillon.functions.spans import apply_spans, let
-from quillon.operators.detect import with_spans
+from quillon.functions.scan import scanned
+from quillon.functions.spans import apply_spans
+from quillon.operators.detect import normalise, with_spans
 
 DEMO_KEY, REPORT_KEY = "quillon-demo-hmac-key", "quillon-demo-report-key"
 #: Entities that keep a reversible token under the two-step policy.
@@ -103,17 +104,15 @@ def rewrite_cells(table: DataFrame, columns: list[str], mode: str = "two_step",
     """Each cell as text, rewritten; blank and null cells stay.  Adds ``n_spans``."""
     mode = mode_of(mode)
 
-    def cell(name: str) -> Column:
-        text = normalise(F.col(name).cast("string"))
-        return let(text, lambda t: let(detect(t), lambda s: F.struct(apply_spans(t, s, lambda x: replacement(x, mode, key)).alias("text"), F.size(s).alias("n"))))
-
     made = table
     for name in columns:
         blank = F.col(name).isNull() | (F.trim(F.col(name).cast("string")) == "")
-        made = made.withColumn(f"__{name}", F.when(~blank, cell(name)))
-    total = sum((F.coalesce(F.col(f"__{c}")["n"], F.lit(0)) for c in columns), F.lit(0))
+        made = made.withColumn(f"__norm_{name}", F.when(~blank, normalise(F.col(name).cast("string"))))
+        made = made.withColumn(f"__spans_{name}", scanned(F.col(f"__norm_{name}")))
+        made = made.withColumn(f"__{name}", apply_spans(F.col(f"__norm_{name}"), F.col(f"__spans_{name}"), lambda x: replacement(x, mode, key)))
+    total = sum((F.size(f"__spans_{c}") for c in columns), F.lit(0))
     others = [c for c in table.columns if c not in columns]
-    return made.select(*others, *[F.coalesce(F.col(f"__{c}")["text"], F.col(c).cast("string")).alias(c) for c in columns], total.alias("n_spans"))
+    return made.select(*others, *[F.coalesce(F.col(f"__{c}"), F.col(c).cast("string")).alias(c) for c in columns], total.alias("n_spans"))
 
 
 def report_token(entity: Column, value: Column, key: str = REPORT_KEY, width: int = 6) -> Column:

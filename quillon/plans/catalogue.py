@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import contracts, detection, privacy, sinks, texts
+from quillon.plans import contracts, detection, privacy, sinks, streams, texts
 
-_MODULES = (detection, privacy, texts, contracts, sinks)
+_MODULES = (detection, privacy, texts, contracts, sinks, streams)
 
 
 def queries() -> dict:

@@ -1,15 +1,14 @@
-"""Streams of documents and events: stateless rewriting, deduplication, windows and upserts."""
+"""Streams of documents and events: stateless rewriting, deduplication, windows and sessions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.operators.rewrite import anonymise
-from quillon.operators.stores import upsert
+from quillon.operators.stores import entity_of_token
+from quillon.streaming import vault
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -37,36 +36,26 @@ def sessions(stream: DataFrame, time_col: str = "ts", gap: str = "30 minutes", d
     return counted.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert_batches(path: str, keys: list[str], at: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the latest row of each key under ``path``.
-
-    Every batch writes a new version and then moves a small pointer, so a batch that is
-    run again after a failure gives the same table.
-    """
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = current_version(spark, path)
-        merged = batch if old is None else upsert(old, batch.select(*old.columns), keys, at)
-        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_pointer_{number % 2}")
+def vault_entries(stream: DataFrame, at: str, text_col: str = "text", key: str | None = None) -> DataFrame:
+    """(token, value, entity, written) of the tokens that rewriting leaves in a stream of texts."""
+    rows = rewritten(stream, "two_step", text_col, key).select(F.explode("vault").alias("token", "value"), F.col(at).cast("long").alias("written"))
+    return rows.select("token", "value", entity_of_token(F.col("token")).alias("entity"), "written")
 
-    return run
 
+def collected(rows: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all that is there and read what it has emitted; ``folder`` keeps its progress and its rows."""
+    spark = rows.sparkSession
+    query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
-def current_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version, or None."""
-    from pyspark.errors import AnalysisException
 
-    newest = -1
-    for slot in (0, 1):
-        try:
-            newest = max(newest, spark.read.schema("version long").parquet(f"{path}/_pointer_{slot}").agg(F.max("version")).first()[0] or 0)
-        except AnalysisException:  # no such slot yet
-            continue
-    return None if newest < 0 else spark.read.parquet(f"{path}/version={newest}")
+def start_vault(stream: DataFrame, path: str, checkpoint: str, at: str, key: str | None = None) -> StreamingQuery:
+    """Tokens of a rewritten stream, kept as a latest-wins vault; changes are appended under ``path``."""
+    return vault.start(vault_entries(stream, at, key=key), path, checkpoint)
 
 
-def start_vault(stream: DataFrame, path: str, checkpoint: str, at: str, key: str | None = None) -> StreamingQuery:
-    """Tokens of a rewritten stream, kept as a latest-wins vault table."""
-    entries = rewritten(stream, "two_step", key=key).select(F.explode("vault").alias("token", "value"), F.col(at).alias("written"))
-    return entries.writeStream.foreachBatch(upsert_batches(path, ["token"], "written")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_version(spark: SparkSession, path: str) -> DataFrame:
+    """The vault from its appended changes; ``vault.current`` reads it from the state instead."""
+    values = F.max(F.struct("written", "value", "entity", "seen")).alias("v")
+    return spark.read.schema(vault.CHANGES).parquet(path).groupBy("token").agg(values).select("token", "v.value", "v.entity", "v.written", "v.seen")
