@@ -155,7 +155,7 @@ def read_files(spark: SparkSession, path: str, forced: str | None = None) -> Dat
     """SCHEMA rows plus ``error``; one row per file, a failing file never fails the others."""
     if forced is not None and forced not in set(HANDLERS.values()):
         raise ValueError(f"unknown type {forced!r}")
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return ingest_bytes(files.select(F.col("path").alias("source"), "content"), forced)
 
 
