@@ -46,8 +46,8 @@ def blobs(n, dim, seed, spread=0.1):
 
 
 def test_defined_cases_match_brute_force(spark):
-    rows = blobs(260, 64, 1)
-    rows += [(1000 + i, rows[3][1]) for i in range(90)]  # copies, and repeated rows
+    rows = blobs(110, 64, 1)
+    rows += [(1000 + i, rows[3][1]) for i in range(50)]  # copies, and repeated rows
     rows += [rows[5]] * 5 + [(None, rows[9][1]), (None, None), (7, [0.5] * 63), (8, []), (9, [0.1] * 63 + [None])]
     rows += [(10_001, [0.1] * 63 + [float("nan")]), (10_002, [0.1] * 63 + [float("inf")])]
     clashing = [(*r, "x", 1.0, 2) for r in rows]
@@ -55,17 +55,17 @@ def test_defined_cases_match_brute_force(spark):
     assert got(spark, clashing, columns, tree_rows=100) == slow(rows)
 
 
-@pytest.mark.parametrize("dim,k", [(2, 5), (3, 12)])
+@pytest.mark.parametrize("dim,k", [(2, 9)])
 def test_ties_and_pruned_nodes_match_brute_force(spark, dim, k):
     """Points of a small grid: many ties and equal centroids; tight groups: whole nodes."""
     rng = random.Random(dim)
     grid = [(i, [rng.randrange(4) / 256 for _ in range(dim)]) for i in range(400)]
     assert got(spark, grid, k=k, dim=dim) == slow(grid, k, 5, dim)
-    tight = blobs(600, dim, 4, 0.001)
+    tight = blobs(400, dim, 4, 0.001)
     assert got(spark, tight, k=k, dim=dim) == slow(tight, k, 5, dim)
 
 
-@pytest.mark.parametrize("scale", [1e3, 3e5, 1e12, 1e305])
+@pytest.mark.parametrize("scale", [3e5, 1e305])
 def test_wide_components_stay_exact(spark, scale):
     rows = [(i, [x * scale if i % 4 == 0 else x for x in v]) for i, v in blobs(60, 4, 5)]
     assert got(spark, rows, k=6, dim=4) == slow(rows, 6, 5, 4)
