@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.rewrite import anonymise
-from quillon.sources.artifacts import save
 from quillon.sources.ingest import digital_page, read_files
 
+#: Columns of a result.
 RESULT = "source string, source_type string, status string, error string, pages int, scanned_pages int, needs_ocr boolean, num_entities int, anonymised_text string"
 
 
@@ -43,9 +43,9 @@ def totals() -> dict[str, Column]:
 
 
 def folder_run(spark: SparkSession, path: str, out: str, mode: str = "two_step", key: str | None = None) -> dict[str, int]:
-    """Process the files under ``path``, save a JSON document for each under ``out``, and return the totals."""
-    rows, seen = processed(read_files(spark, path), mode, key), Observation("folder run")
+    """Process the files under ``path``, append rows of RESULT under ``out`` (Parquet), and return the totals."""
+    # A session of its own: models fitted in one that has observed cannot be shipped to tasks.
+    rows, seen = processed(read_files(spark.newSession(), path), mode, key), Observation("folder run")
     watched = rows.observe(seen, *[c.alias(n) for n, c in totals().items()])
-    body = F.to_json(F.struct(*watched.columns), {"ignoreNullFields": "false"})
-    save(watched.select(F.concat("source", F.lit(".json")).alias("name"), body.alias("body")), out)
+    watched.write.mode("append").parquet(out)
     return dict(seen.get)

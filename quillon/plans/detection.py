@@ -277,7 +277,18 @@ def _guarded(pattern: str, *rest) -> str:
     return f"SELECT g.* FROM ({rows}) g JOIN src ON src.id = g.id WHERE {beside}"
 
 
-_DOC_RAW = f"""WITH src AS (SELECT doc_id AS id, text, lang, source FROM documents), raw AS ({" UNION ALL ".join(_guarded(*r) for r in _NARR_RULES)}), {resolved_sql()}"""
+def _context_names() -> str:
+    """Two or three capitalised words before a verb; SQL's engine cannot look ahead, so the verb is matched, too, and cut off."""
+    verbs = P._VERB_OR_AGE.replace(r"\s+", " ")
+    p = rf"\b([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}}){{1,2}})\s+(?:{verbs})"
+    stop = P._STOP[3:-1]
+    return f"""SELECT id, start, (start + length(v))::INT AS "end", entity, v AS text, score, ord FROM (SELECT *, regexp_extract(text, '{p}', 1) AS v FROM ({spans_sql("src", p, "PERSON", 0.85, 203)}))
+  WHERE NOT regexp_matches(v, '(?:^|\s)(?:{stop})') AND split_part(v, ' ', 1) NOT IN ({", ".join(f"'{w}'" for w in P.NAME_SKIP)})"""
+
+
+#: All rules over ``src`` (id, text).
+SRC_RAW = "raw AS (" + " UNION ALL ".join([*(_guarded(*r) for r in _NARR_RULES), _context_names()]) + ")"
+_DOC_RAW = f"""WITH src AS (SELECT doc_id AS id, text, lang, source FROM documents), {SRC_RAW}, {resolved_sql()}"""
 
 
 @query(

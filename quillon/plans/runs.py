@@ -39,7 +39,7 @@ _HTML = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(htm
 _RUN_SQL = f"""WITH files AS (
   SELECT 'd' || doc_id || '.' || {_KIND} AS id, CASE WHEN doc_id % 10 = 5 THEN text || chr(12) || 'short page' ELSE text END AS text, {_KIND} AS kind FROM documents
   UNION ALL SELECT 'p' || page_id || '.html', {_HTML}, 'html' FROM pages
-), src AS (SELECT id, text, kind FROM files WHERE kind NOT IN ('pdf', 'json')), raw AS ({" UNION ALL ".join(P._guarded(*r) for r in P._NARR_RULES)}), {P.resolved_sql()}, {P.apply_sql('src', 'resolved', P.TWO_STEP_SQL)},
+), src AS (SELECT id, text, kind FROM files WHERE kind NOT IN ('pdf', 'json')), {P.SRC_RAW}, {P.resolved_sql()}, {P.apply_sql('src', 'resolved', P.TWO_STEP_SQL)},
 per AS (SELECT id, count(*)::INT AS n FROM resolved GROUP BY id),
 paged AS (SELECT id, string_split(text, chr(12)) AS ps FROM src),
 run AS (SELECT f.id AS source, CASE WHEN kind IN ('pdf', 'json') THEN 'unknown' WHEN kind = 'html' THEN 'html' ELSE 'text' END AS source_type, CASE WHEN kind IN ('pdf', 'json') THEN 'failed' ELSE 'success' END AS status,
@@ -54,7 +54,7 @@ coalesce(num_entities, 0)::INT AS num_entities, anonymised_text FROM run"""
 )
 def folder_rows(spark, sf_dir):
     R.folder_run(spark, _folder(spark, sf_dir), out := new_folder(spark), key=W.DEMO_KEY)
-    rows = A.load(spark, out).select(F.from_json("body", R.RESULT).alias("d")).select("d.*")
+    rows = spark.read.schema(R.RESULT).parquet(out)
     return rows.na.fill(0, ["pages", "scanned_pages", "num_entities"]).na.fill(False, ["needs_ocr"]).withColumn("error", F.substring_index("error", ":", 1))
 
 

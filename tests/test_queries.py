@@ -20,6 +20,8 @@ CHEAP = [
     "detect_ifsc", "detect_passport", "detect_phone_split", "detect_address_pin", "detect_pin", "detect_url", "detect_date_ymd", "detect_date_month",
     "traceback_by_file", "vault_info", "report_masthead", "risk_and_rating", "small_text_functions", "scan_totals", "ocr_artefacts",
     "summary_frequency", "checklist_matrix", "version_diff", "completeness_flags", "history_view", "combine_files",
+    "detect_spans_sql", "rewrite_values_sql", "detect_chunked", "model_chunks", "ordered_diff", "change_heat_map", "constraint_flags", "completeness_results", "artifact_roundtrip", "artifact_summary",
+    "evaluation_report", "folder_rows", "folder_totals", "stream_event_counts", "stream_sessions", "stream_first_of_each",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the generated tables")
 

@@ -1,7 +1,6 @@
 """A run over a folder: totals equal an aggregate, errors stay with their file, one scan."""
 
 from quillon.operators import runs as R
-from quillon.sources import artifacts as A
 from quillon.sources.ingest import read_files
 
 
@@ -23,7 +22,7 @@ def test_folder_run(spark, tmp_path):
     assert rows["latin.log"].num_entities == 1 and "empty.md" not in rows
     again = R.processed(read_files(spark, str(src)), key="k").agg(*[c.alias(n) for n, c in R.totals().items()]).first().asDict()
     assert seen == again and (seen["total_files"], seen["failed"], seen["pages"]) == (6, 2, 5)
-    assert A.load(spark, out).count() == 6
+    assert spark.read.schema(R.RESULT).parquet(out).count() == 6
     plan = R.processed(read_files(spark, str(src)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
