@@ -283,7 +283,7 @@ def _context_names() -> str:
     p = rf"\b([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}}){{1,2}})\s+(?:{verbs})"
     stop = P._STOP[3:-1]
     return f"""SELECT id, start, (start + length(v))::INT AS "end", entity, v AS text, score, ord FROM (SELECT *, regexp_extract(text, '{p}', 1) AS v FROM ({spans_sql("src", p, "PERSON", 0.85, 203)}))
-  WHERE NOT regexp_matches(v, '(?:^|\s)(?:{stop})') AND split_part(v, ' ', 1) NOT IN ({", ".join(f"'{w}'" for w in P.NAME_SKIP)})"""
+  WHERE NOT regexp_matches(v, '(?:^|\\s)(?:{stop})') AND split_part(v, ' ', 1) NOT IN ({", ".join(f"'{w}'" for w in P.NAME_SKIP)})"""
 
 
 #: All rules over ``src`` (id, text).
