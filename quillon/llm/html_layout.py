@@ -4,8 +4,9 @@ A tokenizer feeds a tree builder that knows which end tags are implied (p, li, d
 dd, option, table parts); visibility rules remove head, script, style and hidden
 elements; a block formatter writes the visible text with block spacing, list markers and
 table cells padded to aligned columns (rows that a cell spans keep its column).  Cells of
-more than WIDE characters do not widen their column, so that the padding of a page
-stays in proportion to it.  The walk is iterative, so nesting depth is bounded by memory
+more than WIDE characters do not widen their column, and the columns that spans add to all rows
+are at most as many as the page has characters, so that what is written stays in proportion to it.  Style
+attributes are read (display, visibility), style sheets are not.  The walk is iterative, so nesting depth is bounded by memory
 only.
 
 Defined cases: a null or empty page renders as an empty text; text without tags is kept;
@@ -60,12 +61,19 @@ _P = frozenset(["p"])
 _SCOPE = frozenset("table td th caption html button object template".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>\x00]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>\x00]*)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.S,
 )
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: One attribute or the end of a tag.  A quote opens a value only right after the equals sign; anywhere else
+#: (in a name, in an unquoted value, after a quoted one) it is a character like others.  A quoted value without an end is
+#: read as an unquoted one, so that the page behind it stays.
+_ATTR = re.compile(
+    r"[\s/]*(?:(?P<close>>|\Z)|(?P<key>=?[^\s/>=]*)(?:\s*=\s*(?:\"(?P<double>[^\"]*)\"|'(?P<single>[^']*)'|(?P<bare>[^\s>]*)))?)",
+)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;]*?(!\s*important)?\s*(?=;|$)", re.I)
+#: Inputs whose value is written on them.
+BUTTONS = frozenset(["submit", "reset", "button"])
 
 
 #: Numeric references beyond every code point.
@@ -126,6 +134,7 @@ def parse(source: str) -> Node:
                 stack[-1].children.append(_unescaped(text))
             continue
         name = name.lower()
+        attrs, at = _attributes(source, at)
         if token["end"]:
             _close(stack, name)
             continue
@@ -134,10 +143,6 @@ def parse(source: str) -> Node:
             stack.end(ends, stops, all_of_them=name in ("tr", "tbody", "thead", "tfoot", "optgroup"))
         if name in CLOSES_P:
             stack.end(_P, _SCOPE)
-        attrs = {}
-        if token["attrs"].strip():
-            for a in _ATTR.finditer(token["attrs"]):
-                attrs.setdefault(a[1].lower(), _unescaped(a[2] or a[3] or a[4] or ""))
         node = Node(name, attrs)
         stack[-1].children.append(node)
         if name in VOID:
@@ -152,6 +157,17 @@ def parse(source: str) -> Node:
     return root
 
 
+def _attributes(source: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of a tag (the first of equal names counts) and where the tag ends."""
+    attrs: dict[str, str] = {}
+    while True:
+        found = _ATTR.match(source, at)
+        at = found.end()
+        if found["close"] is not None:
+            return attrs, at
+        attrs.setdefault(found["key"].lower(), _unescaped(found["double"] or found["single"] or found["bare"] or ""))
+
+
 def _close(stack: _Stack, name: str) -> None:
     if name == "br":  # a stray </br> is a line break
         stack[-1].children.append(Node("br", {}))
@@ -175,7 +191,21 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "dialog" and "open" not in attrs:
         return False
-    return not ("style" in attrs and _UNSEEN.search(attrs["style"]))
+    return _declared(attrs, "display") != "none"
+
+
+def _declared(attrs: dict[str, str], name: str) -> str:
+    """The value that a style attribute gives to a property: the last one, important ones first; empty if there is none."""
+    value, weight = "", ""
+    for key, given, important in _STYLE.findall(attrs.get("style", "")):
+        if key.lower() == name and (important or not weight):
+            value, weight = given.lower(), important
+    return value
+
+
+def _summary(node: Node) -> list[Node]:
+    """What a closed details element shows."""
+    return [x for x in node.children if isinstance(x, Node) and x.tag == "summary"][:1]
 
 
 class _Out:
@@ -233,31 +263,41 @@ def render(source: str | None) -> str:
         return ""
     out, tables = _Out(), []
     lists: list[list] = []
-    # Work items: a node or text to open, or a closing function of an open element.
-    work: list = [(parse(source), False)]
+    spare = len(source)  # columns that spans may still add to rows, so that what is written stays in proportion to the page
+    # Work items: a node or text to open, or a closing function of an open element; whether spaces
+    # are kept; whether text is seen (visibility is inherited and can be set again further in).
+    work: list = [(parse(source), False, True)]
     while work:
-        item, pre = work.pop()
+        item, pre, seen = work.pop()
         if callable(item):
             item()
             continue
         if isinstance(item, str):
-            out.text(item, pre)
+            if seen:
+                out.text(item, pre)
             continue
         tag = item.tag
         if tag != "#root" and not visible(item):
             continue
+        if "style" in item.attrs:
+            seen = {"visible": True, "hidden": False, "collapse": False}.get(_declared(item.attrs, "visibility"), seen)
         if tag == "br":
             out.line()
             continue
         if tag == "hr":
             out.block(2)
-            out.text("---", False)
+            if seen:
+                out.text("---", False)
             out.block(2)
             continue
-        if tag == "img":
-            if item.attrs.get("alt", "").strip():
+        if tag == "img" or tag == "input" and item.attrs.get("type", "").lower() == "image":
+            if seen and item.attrs.get("alt", "").strip():
                 out.text(item.attrs["alt"], False)
             continue
+        if tag == "input":
+            if seen and item.attrs.get("type", "").strip().lower() in BUTTONS and item.attrs.get("value", "").strip():
+                out.text(item.attrs["value"], False)
+            continue
         pre = pre or tag in ("pre", "textarea", "listing", "plaintext")
         close = None
         if tag == "table":
@@ -293,10 +333,13 @@ def render(source: str | None) -> str:
             columns, below = _span(item.attrs, "colspan", MOST_COLUMNS) or 1, _span(item.attrs, "rowspan", MOST_ROWS)
 
             def finish_cell(table=table, saved=saved, own=own, columns=columns, below=below or MOST_ROWS):
-                nonlocal out
+                nonlocal out, spare
                 row, at, held = table["rows"][-1], len(table["rows"]), table["held"]
-                while held.get(len(row), 0) >= at:  # columns that cells of rows above hold
+                while held.get(len(row), 0) >= at and spare:  # columns that cells of rows above hold
                     row.append("")
+                    spare -= 1
+                columns = 1 + min(columns - 1, spare)
+                spare -= columns - 1
                 if below > 1:
                     held.update((len(row) + k, at + below - 1) for k in range(columns))
                 row += [own.value(), *[""] * (columns - 1)]
@@ -324,8 +367,9 @@ def render(source: str | None) -> str:
                 lists[-1][1] += 1
             kept = out.indent
             out.indent = "  " * max(0, len(lists) - 1)
-            out._flush()
-            out.parts.append(mark)
+            if seen:
+                out._flush()
+                out.parts.append(mark)
             out.indent = "  " * max(1, len(lists))
 
             def finish_item(target=out, kept=kept):
@@ -347,11 +391,13 @@ def render(source: str | None) -> str:
             out.block(lines)
             close = lambda lines=lines: out.block(lines)
         elif tag == "q":
-            out.text('"', True)
-            close = lambda: out.text('"', True)
+            if seen:
+                out.text('"', True)
+                close = lambda: out.text('"', True)
         if close:
-            work.append((close, pre))
-        work.extend((child, pre) for child in reversed(item.children))
+            work.append((close, pre, seen))
+        shown = _summary(item) if tag == "details" and "open" not in item.attrs else item.children
+        work.extend((child, pre, seen) for child in reversed(shown))
     return out.value()
 
 

@@ -31,6 +31,16 @@ CASES = [
     ("a&#" + "9" * 5000 + ";b &#x" + "f" * 5000 + "; &#000065;", "a\ufffdb \ufffd A"),
     ("&#" + "0" * 5000 + "65;&#x0000000041;", "AA"),
     ("<table><tr><td colspan='²'>a<td colspan=" + "9" * 5000 + ">b</table>", "a  b"),
+    ("<p title=it's>Hello</p><p>world</p>", "Hello\n\nworld"),
+    ('<p class="a"">Hello</p><p>world</p>', "Hello\n\nworld"),
+    ("<p title='a>b\"c'>x</p><p title = \"d>e'f\" hidden=>y</p>z", "x\n\nz"),
+    ("<img alt='5\" tall' src=x> k<p class='a>b", "5\" tall k\n\nb"),
+    ("<p a'b=c \"d\" = e>x<p ='f'>y</p x='>'>z", "x\n\ny\n\nz"),
+    ("<!-- a --!>b<!-->c<!--->d<!-- e", "bcd"),
+    ("<p style='display:none;display:block'>a<p style='display:none !important; display:block'>b<p style='DISPLAY : None'>c", "a"),
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b><li>c</div>d", "b\nd"),
+    ("<details>x<summary>s</summary>y<summary>t</summary></details>z<details open><summary>s</summary>y</details>", "s\nz\ns\ny"),
+    ("<input type=submit value='Go on'> <input value=typed><input type=checkbox value=v><input type=image alt=im>", "Go on im"),
     ("&copy; &middot; &#x41;&#66; &nosuch; &am", "© · AB &nosuch; &am"),
 ]
 
@@ -67,6 +77,12 @@ def test_padding_stays_in_proportion():
     assert len(text) < 2 * len(page) and text.startswith("ab  cd\nab  cd\n") and text.endswith("w  x")
 
 
+def test_spans_stay_in_proportion():
+    for page in ("<table><tr>" + "<td colspan=1000>" * 2000, "<table>" + "<tr><td colspan=1000><td>x" * 2000, "<table><tr><td rowspan=0 colspan=1000>" + "<tr><td>x" * 2000):
+        assert len(render(page)) < 4 * len(page)
+        assert render(page).count("x") == page.count("x")
+
+
 def test_clashing_name(spark):
     pages = spark.createDataFrame([("<p>a", "k")], "html string, __text string")
     assert extract(pages).first().asDict() == {"html": "<p>a", "__text": "k", "__text_": "a"}
