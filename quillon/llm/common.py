@@ -90,6 +90,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, *columns: str) -> tuple[DataFrame, ...]:
+    """``df`` with its columns called c0, c1, ... and the new names of ``columns``: no helper column can clash with them."""
+    lower = [c.lower() for c in df.columns]
+    return df.toDF(*[f"c{i}" for i in range(len(lower))]), *[f"c{lower.index(c.lower())}" for c in columns]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))

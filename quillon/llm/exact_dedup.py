@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, whole_text
+from quillon.llm.common import checkpointed, numbered, whole_text
 
 MEMTABLE_ROWS = 1 << 17
 SHARD_ROWS = 1 << 19
@@ -189,6 +189,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that repeat an earlier text; all columns stay as they are."""
+    names = docs.columns
+    docs, id_col, text_col = numbered(docs, id_col, text_col)
     kept = dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
     marked = docs.withColumn("__own", F.sha2(normalised(text_col).cast("binary"), 256))
     chosen = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
@@ -196,7 +198,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id")
     )
     if repeated.isEmpty():
-        return chosen.drop("__own")
+        return chosen.drop("__own").toDF(*names)
     once = chosen.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
     more = chosen.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col, "__own"])
-    return once.unionByName(more).drop("__own")
+    return once.unionByName(more).drop("__own").toDF(*names)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import byte_hashes, byte_heads, checkpointed, mixed, slices, whole_text, written_table
+from quillon.llm.common import byte_hashes, byte_heads, checkpointed, mixed, numbered, slices, whole_text, written_table
 
 #: Buckets of the rarity sketch (fixed size, broadcast) and of the filter for verification.
 SKETCH_BITS, SLICES, WANTED_BITS = 19, 64, 1 << 24
@@ -520,6 +520,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that go taken out of their texts."""
+    given = docs.columns
+    docs, id_col, text_col = numbered(docs, id_col, text_col)
     at, kept_at, names = docs.columns.index(text_col), len(docs.columns), docs.columns
 
     def run(batches):
@@ -532,4 +534,4 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _joined(docs, id_col, text_col, False).select(*names, "__kept").mapInArrow(run, docs.schema)
+    return _joined(docs, id_col, text_col, False).select(*names, "__kept").mapInArrow(run, docs.schema).toDF(*given)

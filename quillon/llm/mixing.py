@@ -61,9 +61,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, budge
     return rates.select("src", "chars", "rate", F.when(F.col("rate") > 0, cdf).otherwise(F.array(F.lit(2.0))).alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Repeated rows of ``docs`` plus __copies, __copy (from 0) and __shuffle_key."""
-    draw_col, src, cdf, rate, copies_col, copy, order = (free_name(docs, f"__{x}") for x in ("draw", "src", "cdf", "rate", "copies", "copy", "shuffle_key"))
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", added: tuple[str, str, str] = ("__copies", "__copy", "__shuffle_key")) -> DataFrame:
+    """Repeated rows of ``docs`` plus the columns ``added``: number of copies, which of them (from 0) and shuffle key."""
+    draw_col, src, cdf, rate, copies_col, copy, order = (free_name(docs, x) for x in ("__draw", "__src", "__cdf", "__rate", *added))
     rates = checkpointed(source_rates(docs, weights, budget, source_col, text_col).select(F.col("src").alias(src), "cdf", "rate"))
     numbers = rates.agg(F.sum(F.size("cdf") + 8)).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:  # else a shuffled join, which adaptive execution splits at hot sources

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held_out, labelled_sample, whole_text
+from quillon.llm.common import free_name, held_out, labelled_sample, whole_text
 
 #: Most labelled rows that a fit collects (documented bound of the sample).
 SAMPLE_ROWS = 16_000
@@ -211,34 +211,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, labe
     return fit_rules(rows[list(stats)].to_numpy(float), rows["__y"].to_numpy(float), list(stats))
 
 
-def scored_once(text: Column, model: RuleModel) -> Column:
-    """The score of ``text``; each statistic that a rule uses is computed once a row.
+def measured(docs: DataFrame, text_col: str, model: RuleModel) -> tuple[DataFrame, Column]:
+    """``docs`` plus each statistic that a rule uses, as a column of its own, and the score over these columns.
 
-    The statistics are elements of an array that a lambda takes, so that they stay
-    single expressions even where a filter on the score is pushed down and inlined.
+    Columns that the score reads more than once are not merged into it, so that each is
+    computed once a row, in compiled code.
     """
     used = {name for conditions, _ in model.rules for name, _, _ in conditions}
-    stats = {k: v for k, v in statistics(text).items() if k in used}
-    packed = F.struct(F.lit(0.0).alias("none"), *[v.alias(k) for k, v in stats.items()])
-    return F.get(F.transform(F.array(packed), lambda s: model.score({k: s[k] for k in stats})), F.lit(0))
+    stats = {k: v for k, v in statistics(whole_text(text_col)).items() if k in used}
+    names = {k: free_name(docs, f"__{k}") for k in stats}
+    return docs.select("*", *[v.alias(names[k]) for k, v in stats.items()]), model.score({k: F.col(names[k]) for k in stats})
 
 
 def with_quality(docs: DataFrame, model: RuleModel, score_col: str = "quality_score", text_col: str = "text") -> DataFrame:
     """``docs`` plus the score; a column that is there under that name already is refused."""
     if score_col in docs.columns:
         raise ValueError(f"{score_col} is a column of the input; name another one")
-    return docs.withColumn(score_col, scored_once(whole_text(text_col), model))
+    rows, score = measured(docs, text_col, model)
+    return rows.select(*docs.columns, score.alias(score_col))
 
 
 def keep(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that reach the threshold; no column is added."""
-    return docs.where(scored_once(whole_text(text_col), model) >= F.lit(threshold))
+    rows, score = measured(docs, text_col, model)
+    # A filter is not pushed below a generator, so that the statistics are not computed anew for each rule.
+    passed = free_name(rows, "__passed")
+    return rows.select(*docs.columns, F.explode(F.array(score)).alias(passed)).where(F.col(passed) >= F.lit(threshold)).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    score = scored_once(whole_text("text"), fit(docs, labels))
-    scored = docs.select("doc_id", score.alias("score"))
+    rows, score = measured(docs.select("doc_id", "text"), "text", fit(docs, labels))
+    scored = rows.select("doc_id", score.alias("score"))
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

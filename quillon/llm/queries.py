@@ -10,8 +10,8 @@ from quillon.llm.common import table
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html_layout.extract(table(spark, sf_dir, "pages"))
-    return pages.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+    pages = html_layout.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), out_col="text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.withColumnsRenamed({"__copies": "n_copies", "__copy": "copy_index", "__shuffle_key": "shuffle_key"})
+    return mixing.mix(table(spark, sf_dir, "documents"), added=("n_copies", "copy_index", "shuffle_key"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

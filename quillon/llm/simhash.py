@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, whole_text
+from quillon.llm.common import checkpointed, numbered, whole_text
 from quillon.llm.components import connected_components
 
 WORDS, RADIUS, BLOCKS = 3, 3, 4
@@ -226,10 +226,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document (the smallest id) of each component; all columns stay as they are."""
+    names = docs.columns
+    docs, id_col, text_col = numbered(docs, id_col, text_col)
     kept = near_dedup(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
     chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     repeated = checkpointed(docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"))
     if repeated.isEmpty():
-        return chosen
+        return chosen.toDF(*names)
     once = chosen.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    return once.unionByName(chosen.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col]))
+    more = chosen.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    return once.unionByName(more).toDF(*names)
