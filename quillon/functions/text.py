@@ -147,8 +147,6 @@ def prepared(docs: DataFrame, text_col: str = "text", out_col: str = "prepared",
 
 def sections(c: Column) -> Column:
     """map(section -> text): each line belongs to the last heading seen, headings included."""
-    name = F.lit("general_remarks")
-    start = F.struct(name.alias("now"), F.array().cast("array<struct<name:string,line:string>>").alias("out"))
 
     def heading(line: Column) -> Column:
         found = F.lit(None).cast("string")
@@ -156,17 +154,23 @@ def sections(c: Column) -> Column:
             found = F.when(line.rlike(pattern), key).otherwise(found)
         return found
 
-    def step(s: Column, line: Column) -> Column:
-        return let(F.coalesce(heading(line), s["now"]), lambda now: F.struct(now.alias("now"), F.concat(s["out"], F.array(F.struct(now.alias("name"), line.alias("line")))).alias("out")))
+    def cut(lines: Column) -> Column:
+        """Stretches of lines from one heading to the next; each line is copied once."""
+        marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), heading(x).alias("name"))), lambda m: m["name"].isNotNull())
+        starts = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit("general_remarks").alias("name"))), marks)
 
-    lines = F.split(F.regexp_replace(c, "\r\n?|[\x0b\f]", "\n"), "\n")
-    tagged = F.aggregate(lines, start, step, lambda s: s["out"])
+        def stretch(starts: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(starts, k + 1)["at"], F.size(lines))
+            made = F.transform(starts, lambda m, k: F.struct(m["name"].alias("name"), F.slice(lines, m["at"] + 1, end(k) - m["at"]).alias("lines")))
+            return let(F.filter(made, lambda x: F.size(x["lines"]) > 0), grouped)
 
-    def grouped(tagged: Column) -> Column:
-        names = F.array_distinct(F.transform(tagged, lambda x: x["name"]))
-        return F.map_from_arrays(names, F.transform(names, lambda n: strip(F.array_join(F.transform(F.filter(tagged, lambda x: x["name"] == n), lambda x: x["line"]), "\n"))))
+        return let(starts, stretch)
 
-    return let(tagged, grouped)
+    def grouped(made: Column) -> Column:
+        names = F.array_distinct(F.transform(made, lambda x: x["name"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: strip(F.array_join(F.flatten(F.transform(F.filter(made, lambda x: x["name"] == n), lambda x: x["lines"])), "\n"))))
+
+    return let(F.split(F.regexp_replace(c, "\r\n?|[\x0b\f]", "\n"), "\n"), cut)
 
 
 def first_sentences(c: Column, n: int) -> Column:

@@ -30,6 +30,15 @@ def k_anonymity(df: DataFrame, qi: Sequence[str]) -> DataFrame:
     return class_sizes(df, qi).agg(F.coalesce(F.min("size"), F.lit(0)).alias("k"))
 
 
+def k_anonymity_if_known(df: DataFrame, qi: Sequence[str]) -> DataFrame:
+    """One row (k, missing): k is null where ``df`` lacks a quasi-identifier, as ``missing`` names, or none is given."""
+    missing = [c for c in qi if c not in df.columns]
+    named = F.lit(missing) if missing else F.array().cast("array<string>")
+    if missing or not qi:
+        return df.sparkSession.range(1).select(F.lit(None).cast("long").alias("k"), named.alias("missing"))
+    return k_anonymity(df, qi).select("k", named.alias("missing"))
+
+
 def l_diversity(df: DataFrame, qi: Sequence[str], sensitive: str) -> DataFrame:
     _check(qi)
     per_class = df.groupBy(*qi).agg(F.count_distinct(sensitive).alias("n"))

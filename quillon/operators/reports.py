@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ ACTION = ["action", "to submit", "to provide", "to conduct", "to draft"]
 
 
 def _any(text: Column, phrases: list[str]) -> Column:
-    return F.exists(F.lit(phrases), lambda p: F.lower(text).contains(p))
+    """One pass over the lower-cased text for all phrases."""
+    return F.lower(text).rlike("|".join(map(re.escape, phrases)))
 
 
 def deficiency_points(points: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.operators.rewrite import decrypted, traceback
 
+#: Ranges of ids over which the copies of one text are dealt.
+RANGES = 64
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
     """The latest row of each key over both tables; one aggregate, no sort."""
@@ -66,15 +69,28 @@ def traceback_files(texts: DataFrame, mappings: DataFrame, text_col: str) -> Dat
 
 def history_view(log: DataFrame) -> DataFrame:
     """One row per file hash from an append-only log (file_hash, at, filename)."""
-    names = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "filename"))), lambda x: x["filename"]))
-    return log.groupBy("file_hash").agg(F.min("at").alias("first_seen"), F.count("*").alias("process_count"), names.alias("filenames"))
+    # Counted by name first: a row holds the distinct names of a file, however often it was processed.
+    named = log.groupBy("file_hash", "filename").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("at", "filename"))), lambda x: x["filename"])
+    return named.groupBy("file_hash").agg(F.min("at").alias("first_seen"), F.sum("n").alias("process_count"), names.alias("filenames"))
 
 
 def duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, whether an earlier row has the same content, and the number of the run."""
-    order = Window.partitionBy("__hash").orderBy(id_col)
-    rows = docs.select(id_col, F.sha2(text_col, 256).alias("__hash")).withColumn("run", F.row_number().over(order))
-    return rows.select(id_col, (F.col("run") > 1).alias("duplicate"), "run")
+    """id, whether an earlier row has the same content, and the number of the run; ids are numbers.
+
+    Rows are numbered within (content, range of ids), then moved on by the counts of the ranges
+    before, so that the copies of one text are dealt over up to RANGES tasks.
+    """
+    rows = docs.select(id_col, F.sha2(text_col, 256).alias("__hash"))
+    cuts = docs.agg(F.percentile_approx(id_col, [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("__cuts"))  # one row
+    part = F.size(F.filter("__cuts", lambda c: c < F.col(id_col)))
+    rows = rows.join(F.broadcast(cuts)).withColumn("__part", F.coalesce(part, F.lit(-1))).drop("__cuts")
+    earlier = Window.partitionBy("__h").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col("__hash").alias("__h"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    numbered = rows.withColumn("__k", F.row_number().over(Window.partitionBy("__hash", "__part").orderBy(id_col)))
+    run = numbered.join(before, F.col("__hash").eqNullSafe(F.col("__h")) & (F.col("__part") == F.col("__p"))).withColumn("run", (F.col("__k") + F.col("__before")).cast("int"))
+    return run.select(id_col, (F.col("run") > 1).alias("duplicate"), "run")
 
 
 def file_id(content: Column) -> Column:

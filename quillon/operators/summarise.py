@@ -13,7 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import text as X
+
 STOP = frozenset("a an and are as at be been by for from had has have he her his i in is it its of on or she that the their they this to was were which with you".split())
+# The shortest text that is summarised, and what is said of a shorter one.
+MIN_WORDS, TOO_SHORT = 10, "Text too short — need at least 10 words."
 #: Sentences whose word counts are held as a dense block at once.
 BLOCK = 256
 _SPLIT, _WORD = re.compile(r"(?<=[.!?])\s+"), re.compile(r"[^\W\d_]+")
@@ -159,6 +163,36 @@ def section_summaries(docs: DataFrame, id_col: str, sections_col: str, n: int =
     return out.select(F.col("__key")[id_col].alias(id_col), F.col("__key.section").alias("section"), "summary", "sentence_count")
 
 
+def composed(docs: DataFrame, id_col: str, text_col: str, type_col: str, n: int = 8, section_n: int = 3) -> DataFrame:
+    """Preparation, sections and summaries of both in one narrow stage.
+
+    id, doc_type, algorithm, summary, key_points, word_count, sentence_count, sections (name -> summary)
+    and error: a text of fewer than ten words (null: none) has an error and nothing else.
+    """
+
+    def pick(frames):
+        for f in frames:
+            f["sentences"] = [best_sentences(t, n, m) for t, m in zip(f.pop("text"), f["algorithm"], strict=True)]
+            f["parts"] = [[" ".join(best_sentences(p, section_n, m)) for p in ps] for ps, m in zip(f["parts"], f["algorithm"], strict=True)]
+            yield f
+
+    kind = F.coalesce(F.col(type_col).cast("string"), F.lit(""))
+    enough = X.word_count(F.coalesce(F.col(text_col), F.lit(""))) >= MIN_WORDS
+    rows = X.prepared(docs.select(id_col, kind.alias("doc_type"), enough.alias("__enough"), F.when(enough, F.col(text_col)).otherwise("").alias("__raw")), "__raw", "__text")
+    rows = rows.withColumn("sections", X.sections(F.col("__text"))).select(
+        F.col(id_col).alias("id"), "doc_type", algorithm(F.col("doc_type")).alias("algorithm"), F.col("__enough").alias("enough"),
+        F.map_keys("sections").alias("names"), F.map_values("sections").alias("parts"), F.col("__text").alias("text"),
+    )
+    chosen = rows.mapInPandas(pick, rows.drop("text").withColumn("sentences", F.array().cast("array<string>")).schema)
+    summary = F.array_join("sentences", " ")
+    made = chosen.select(
+        F.col("id").alias(id_col), "doc_type", "algorithm", "enough", summary.alias("summary"), F.transform("sentences", lambda x: X.strip(F.regexp_replace(x, "^[• ]+", ""))).alias("key_points"),
+        X.word_count(summary).alias("word_count"), F.size("sentences").alias("sentence_count"), F.map_filter(F.map_from_arrays("names", "parts"), lambda k, v: v != "").alias("sections"),
+    )
+    known = ["algorithm", "summary", "key_points", "word_count", "sentence_count", "sections"]
+    return made.select(id_col, "doc_type", *[F.when(F.col("enough"), F.col(c)).alias(c) for c in known], F.when(~F.col("enough"), TOO_SHORT).alias("error"))
+
+
 def top_by_frequency(docs: DataFrame, id_col: str, text_col: str, n: int = 8) -> DataFrame:
     """id, position, sentence: sentences by the mean frequency of their words, built-in only."""
     sentence = F.posexplode(F.filter(F.split(F.trim(text_col), r"(?<=[.!?])\s+"), lambda s: s != ""))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import contracts, detection, privacy, runs, sinks, streams, texts
+from quillon.plans import bodies, contracts, detection, privacy, runs, sinks, streams, texts
 
-_MODULES = (detection, privacy, texts, contracts, runs, sinks, streams)
+_MODULES = (detection, privacy, texts, contracts, runs, sinks, streams, bodies)
 
 
 def queries() -> dict:

@@ -40,6 +40,12 @@ def k_anonymity(spark, sf_dir):
     return V.k_anonymity(items(spark, sf_dir), QI)
 
 
+@query(f"{_SIZES} SELECT min(size) AS k, []::VARCHAR[] AS missing FROM s UNION ALL SELECT NULL, ['l_region']")
+def k_anonymity_if_known(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    return V.k_anonymity_if_known(rows, QI).unionByName(V.k_anonymity_if_known(rows, [*QI, "l_region"]))
+
+
 @query(f"{_SIZES} SELECT min(d) AS l FROM s")
 def l_diversity(spark, sf_dir):
     return V.l_diversity(items(spark, sf_dir), QI, SA)

@@ -22,6 +22,7 @@ CHEAP = [
     "summary_frequency", "checklist_matrix", "version_diff", "completeness_flags", "history_view", "combine_files",
     "detect_spans_sql", "rewrite_values_sql", "detect_chunked", "model_chunks", "ordered_diff", "change_heat_map", "constraint_flags", "completeness_results", "artifact_roundtrip", "artifact_summary",
     "evaluation_report", "folder_rows", "folder_totals", "stream_event_counts", "stream_sessions", "stream_first_of_each",
+    "report_bodies", "report_pages", "duplicate_check", "k_anonymity_if_known", "decisions_actions",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the generated tables")
 
