@@ -20,11 +20,11 @@ from quillon.sources.ingest import digital_page, read_files
 RESULT = "source string, source_type string, status string, error string, pages int, scanned_pages int, needs_ocr boolean, num_entities int, anonymised_text string"
 
 
-def processed(files: DataFrame, mode: str = "two_step", key: str | None = None) -> DataFrame:
+def processed(files: DataFrame, mode: str = "two_step", key: str | None = None, join_letters: bool = True) -> DataFrame:
     """Rows of RESULT from ingested files; ``source`` is the name of the file."""
     pages = F.split(F.coalesce("text", F.lit("")), "\f")
     good = F.col("error").isNull()
-    found = anonymise(files.withColumn("pages_of", F.when(good, pages)), mode, key=key)
+    found = anonymise(files.withColumn("pages_of", F.when(good, pages)), mode, key=key, join_letters=join_letters)
     scanned = F.size(F.filter("pages_of", lambda p: ~digital_page(p)))
     return found.select(
         F.regexp_extract("source", r"([^/]*)$", 1).alias("source"), "source_type", F.when(good, "success").otherwise("failed").alias("status"), "error", F.when(good, F.size("pages_of")).alias("pages"),
@@ -42,10 +42,10 @@ def totals() -> dict[str, Column]:
     }
 
 
-def folder_run(spark: SparkSession, path: str, out: str, mode: str = "two_step", key: str | None = None) -> dict[str, int]:
+def folder_run(spark: SparkSession, path: str, out: str, mode: str = "two_step", key: str | None = None, join_letters: bool = True) -> dict[str, int]:
     """Process the files under ``path``, append rows of RESULT under ``out`` (Parquet), and return the totals."""
     # A session of its own: models fitted in one that has observed cannot be shipped to tasks.
-    rows, seen = processed(read_files(spark.newSession(), path), mode, key), Observation("folder run")
+    rows, seen = processed(read_files(spark.newSession(), path), mode, key, join_letters), Observation("folder run")
     watched = rows.observe(seen, *[c.alias(n) for n, c in totals().items()])
     watched.write.mode("append").parquet(out)
     return dict(seen.get)
