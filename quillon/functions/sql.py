@@ -5,7 +5,7 @@
     SELECT d.doc_id, s.* FROM documents d, LATERAL detect_spans(d.text) s
     SELECT mask_pii('PAN', 'ABCDE1234F'), token_pii('PERSON', 'Meera Iyer')
 
-The scalar functions are SQL functions, which Spark inlines into the plan of the query; they run
+The table function is a SQL function, too, over an Arrow function that takes texts in batches.  The scalar functions are SQL functions, which Spark inlines into the plan of the query; they run
 inside generated code, without Python.  Null in, null out; a null or empty text has no spans.
 """
 
@@ -14,19 +14,23 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.scan import joined, spans_of
+from quillon.functions.scan import joined, scan
 from quillon.operators.rewrite import OWN_LABEL, TOKENISED
 
 
-class DetectSpans:
-    """Resolved spans of a text; offsets are those of the normalised text."""
+_ROW = ["start", "end", "entity", "text", "score"]
 
-    def eval(self, text: str) -> Iterator[tuple[int, int, str, str, float]]:
-        for span in spans_of(joined(text)):
-            yield span[:5]
+
+def _listed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Resolved spans of texts; offsets are those of the normalised texts."""
+    for found in scan(pa.array([joined(t) for t in batch.to_pylist()], pa.string()) for batch in texts):
+        spans = found.values
+        rows = pa.StructArray.from_arrays([spans.field(n) for n in _ROW], names=["start", "end", "entity", "value", "score"])
+        yield pa.ListArray.from_arrays(found.offsets, rows)
 
 
 def _words(values: list[str]) -> str:
@@ -56,7 +60,11 @@ def _bodies(key: str) -> dict[str, str]:
 
 def register(spark: SparkSession, key: str) -> None:
     """Add detect_spans, mask_pii, generalise_pii, token_pii and two_step_pii to the session."""
-    spans = F.udtf(DetectSpans, returnType="start int, end int, entity string, value string, score double", useArrow=True)
-    spark.udtf.register("detect_spans", spans)
+    kind = "array<struct<start:int,end:int,entity:string,value:string,score:double>>"
+    spark.udf.register("spans_of_text", F.arrow_udf(_listed, kind))
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY FUNCTION detect_spans(document STRING) RETURNS TABLE (start INT, `end` INT, entity STRING, value STRING, score DOUBLE)
+           RETURN SELECT s.start, s.`end`, s.entity, s.value, s.score FROM (SELECT explode(spans_of_text(document)) AS s)"""
+    )
     for name, body in _bodies(key).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(entity STRING, value STRING) RETURNS STRING RETURN {body}")

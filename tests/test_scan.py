@@ -81,3 +81,16 @@ def test_notes_and_narratives_are_scanned_alike(spark):
     for rows in (narratives(orders).select("text"), notes(orders).select("text")):
         norm = rows.select(D.normalise(F.col("text")).alias("norm"))
         assert norm.where(~D.detect(F.col("norm")).eqNullSafe(scan.scanned(F.col("norm")))).isEmpty()
+
+
+def test_rules_are_tried_only_where_they_can_match():
+    rules = [*scan._RULES, *scan._FIELDS, *scan._INLINE]
+    for text in [*texts(4, 600, 12), *(t.replace("é", "").replace("日本", "") for t in texts(5, 600, 12)), "Hospital: AIIMS\nDR X", "ſmt K 12", "_12/03/2024 1 2 3 4-5 6 7 8 9 0 1 2 3"]:
+        seen = scan._Seen(text)
+        for r in rules:
+            assert [m.span() for m in r.matches(seen)] == [m.span() for m in r.pattern.finditer(text)], (r.name, text)
+
+
+def test_reports_are_scanned_in_the_same_pass():
+    found = scan.report_spans_of("Name: Meera Iyer : 3\nHospital: Sun Care, Pune\nPhone: 12")
+    assert [(s[0], s[2], s[3]) for s in found] == [(6, "PERSON", "Meera Iyer"), (31, "ORGANIZATION", "Sun Care, Pune"), (53, "IN_PHONE", "12")]
