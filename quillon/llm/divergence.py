@@ -5,8 +5,8 @@ per (lang, source) of occurrences and of the documents that hold the term.  Trie
 walk over their leaves in UTF-8 order with the lengths of shared paths, so that building and
 merging are sorts of whole arrays; a trie that reaches its bound of counters is sent off and begun
 anew, as tries merge by adding counters.  They travel as blocks of neighbouring leaves, written once;
-ranges of prefixes are cut so that each has about as many counters, and a block goes to the range
-(or ranges) that it touches.  Each range merges its blocks and streams its kept terms in UTF-8
+ranges of prefixes are cut so that each has about as many counters, and a block that crosses cuts
+is parted at them, so that a range gets its own counters only, however many tries there are.  Each range merges its blocks and streams its kept terms in UTF-8
 order, all sources of a term and language in one row.  For the pairs, tasks add up differences of all
 ordered pairs of sources beyond those of two absent counts, which are added once by their number;
 for the terms, candidates of a group are ranked by (value, byte order), with the first ranks of
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -174,18 +175,43 @@ def _counting(trie_leaves: int, block: int):
     return run
 
 
-def _merging(cuts: list[bytes], least_docs: int):
+def _dealing(cuts: list[bytes]):
+    """Blocks -> blocks of one range (``at``) each; those that cross cuts are parted, so that every counter goes to one range."""
+
+    def parts(batch: pa.RecordBatch, i: int, low: int, high: int):
+        numbers = {k: batch.column(k)[i].values.to_numpy() for k in ("shared", "sizes", "counters", "group", "n", "docs")}
+        shared, sizes, edges = numbers["shared"], numbers["sizes"], batch.column("edges")[i].as_py()
+        found = whole_terms(shared.tolist(), sizes.tolist(), edges)
+        edge, heads = np.r_[0, np.cumsum(sizes - shared)], np.r_[0, np.cumsum(numbers["counters"])]
+        bounds = [0, *(bisect_left(found, cut) for cut in cuts[low:high]), len(found)]
+        for at, (a, b) in enumerate(pairwise(bounds), low):
+            if a < b:
+                x, y = heads[a], heads[b]
+                counters = [numbers[k][x:y] for k in ("group", "n", "docs")]
+                row = [found[a], found[b - 1], np.r_[0, shared[a + 1 : b]], sizes[a:b], found[a] + edges[edge[a + 1] : edge[b]], numbers["counters"][a:b], *counters, batch.column("groups")[i].as_py(), at]
+                yield pa.RecordBatch.from_arrays([pa.array([v.tolist() if isinstance(v, np.ndarray) else v], t) for v, t in zip(row, [*_BLOCK_KINDS, pa.int32()], strict=True)], names=[*_BLOCK_NAMES, "at"])
+
+    def run(batches):
+        for batch in batches:
+            for i, (first, last) in enumerate(zip(batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True)):
+                low, high = bisect_right(cuts, first), bisect_right(cuts, last)
+                if low == high:
+                    whole = batch.slice(i, 1)
+                    yield pa.RecordBatch.from_arrays([*(whole.column(k) for k in _BLOCK_NAMES), pa.array([low], pa.int32())], names=[*_BLOCK_NAMES, "at"])
+                else:
+                    yield from parts(batch, i, low, high)
+
+    return run
+
+
+def _merging(least_docs: int):
     """Blocks of one range -> kept (lang, term, total, sources: (source, n)) in UTF-8 order."""
 
-    def read(row: dict, low: bytes | None, high: bytes | None, numbers: dict) -> RadixTrie:
-        found = whole_terms(row["shared"], row["sizes"], row["edges"])
-        a, b = 0 if low is None else bisect_left(found, low), len(found) if high is None else bisect_left(found, high)
-        leaf = np.repeat(np.arange(len(found)), row["counters"])
-        x, y = np.searchsorted(leaf, [a, b])
-        names = np.array([numbers.setdefault((g["lang"], g["source"]), len(numbers)) for g in row["groups"]], np.int64)
-        columns = (np.array(row[k], np.int64)[x:y] for k in ("group", "n", "docs"))
-        group, n, docs = columns
-        return RadixTrie(pa.array(found[a:b], pa.large_binary()), leaf[x:y] - a, names[group], n, docs)
+    def read(batch: pa.RecordBatch, i: int, numbers: dict) -> RadixTrie:
+        shared, sizes, counters, group, n, docs = (batch.column(k)[i].values.to_numpy().astype(np.int64) for k in ("shared", "sizes", "counters", "group", "n", "docs"))
+        found = whole_terms(shared.tolist(), sizes.tolist(), batch.column("edges")[i].as_py())
+        names = np.array([numbers.setdefault((g["lang"], g["source"]), len(numbers)) for g in batch.column("groups")[i].as_py()], np.int64)
+        return RadixTrie(pa.array(found, pa.large_binary()), np.repeat(np.arange(len(found)), counters), names[group], n, docs)
 
     def kept(trie: RadixTrie, groups: list):
         """By term and language: groups are numbered so that those of a language are neighbours."""
@@ -208,11 +234,10 @@ def _merging(cuts: list[bytes], least_docs: int):
         )
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tries, numbers, least = key[0].as_py(), [], {}, 1 << 20
-        low, high = cuts[at - 1] if at else None, cuts[at] if at < len(cuts) else None
+        tries, numbers, least = [], {}, 1 << 20
         for batch in batches:
-            for row in batch.select(_BLOCK_NAMES[2:]).to_pylist():
-                tries.append(read(row, low, high, numbers))
+            for i in range(batch.num_rows):
+                tries.append(read(batch, i, numbers))
                 if sum(map(len, tries)) >= least:
                     tries = [RadixTrie.merged(tries)]
                     least = 2 * len(tries[0]) + (1 << 20)
@@ -223,14 +248,6 @@ def _merging(cuts: list[bytes], least_docs: int):
     return run
 
 
-def _range_of(cuts: list[bytes]):
-    @F.arrow_udf("array<int>")
-    def ranges(first: pa.Array, last: pa.Array) -> pa.Array:
-        return pa.array([list(range(bisect_right(cuts, a), bisect_right(cuts, b) + 1)) for a, b in zip(first.to_pylist(), last.to_pylist(), strict=True)], pa.list_(pa.int32()))
-
-    return ranges
-
-
 def kept_terms(named: DataFrame, least_docs: int, trie_leaves: int, range_leaves: int, block: int) -> DataFrame:
     """(lang, term, total, sources) of the terms in at least so many documents of a language."""
     blocks = written_table(named.mapInArrow(_counting(trie_leaves, block), _BLOCK))
@@ -240,8 +257,8 @@ def kept_terms(named: DataFrame, least_docs: int, trie_leaves: int, range_leaves
     share = F.pmod(F.xxhash64("first", "last"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, CUT_SAMPLE / max(1, n)))
     firsts = [bytes(r[0]) for r in blocks.where(share).select("first").orderBy("first").collect()] if ranges > 1 else []
     cuts = sorted({firsts[len(firsts) * k // ranges] for k in range(1, ranges)}) if firsts else []
-    dealt = blocks.withColumn("at", F.explode(_range_of(cuts)("first", "last"))) if cuts else blocks.withColumn("at", F.lit(0))
-    return dealt.groupBy("at").applyInArrow(_merging(cuts, least_docs), "lang string, term string, total long, sources array<struct<source:string,n:long>>")
+    dealt = blocks.select(*_BLOCK_NAMES).mapInArrow(_dealing(cuts), f"{_BLOCK}, at int") if cuts else blocks.withColumn("at", F.lit(0))
+    return dealt.groupBy("at").applyInArrow(_merging(least_docs), "lang string, term string, total long, sources array<struct<source:string,n:long>>")
 
 
 def _share(count: Column, total: Column, v: Column) -> Column:

@@ -94,3 +94,19 @@ def test_shared_lengths():
     sizes = np.array([len(w) for w in words])
     got = divergence.shared_lengths(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
     assert got.tolist() == [0, *(len(os.path.commonprefix([x, y])) for x, y in zip(words, words[1:], strict=False))]
+
+
+def test_a_range_gets_its_own_counters_only():
+    import pyarrow as pa
+
+    from quillon.llm import divergence as D
+
+    words = sorted({f"{a}{b}{c}" for a in "abcé" for b in "xyz" for c in ("", "k", "kk")}, key=str.encode)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words).encode(), b"axk axk"]), pa.array(["en", "en"]), pa.array(["s", "t"])], names=["text", "lang", "source"])
+    blocks = list(D._counting(100, 1024)(iter([batch])))
+    cuts = [b"ay", b"bxk", b"c", b"zz"]
+    dealt = list(D._dealing(cuts)(iter(blocks)))
+    assert sum(len(r["n"]) for b in dealt for r in b.to_pylist()) == len(words) + 1
+    found = {r["at"]: D.whole_terms(r["shared"], r["sizes"], r["edges"]) for b in dealt for r in b.to_pylist()}
+    assert [t.decode() for at in sorted(found) for t in found[at]] == words
+    assert all((at == 0 or t >= cuts[at - 1]) and (at == len(cuts) or t < cuts[at]) for at, ts in found.items() for t in ts)
