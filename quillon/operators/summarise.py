@@ -7,6 +7,7 @@ Mihalcea and Tarau 2004); scores of other libraries are not reproduced.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,9 @@ def stems(sentence: str) -> list[str]:
 
 
 def luhn(bags: list[list[str]]) -> np.ndarray:
-    counts = pd.Series([w for b in bags for w in b]).value_counts()
-    significant = set(counts[counts >= max(2, counts.quantile(0.9))].index) if len(counts) else set()
+    counts = Counter(w for b in bags for w in b)
+    least = max(2, np.quantile(list(counts.values()), 0.9)) if counts else 2
+    significant = {w for w, n in counts.items() if n >= least}
 
     def score(bag):
         hits = [i for i, w in enumerate(bag) if w in significant]
