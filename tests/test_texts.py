@@ -107,6 +107,27 @@ def test_near_duplicates_match_brute_force(spark):
         assert got[i].links == len({frozenset(o) for o in sets if o != s and s and len(s & o) / len(s | o) >= 0.8})
 
 
+def test_near_duplicates_send_sets_once(spark):
+    """Many near copies: a set goes to a cell once, not once for each pair, and a pair is met in few places."""
+    base = [f"w{i}" for i in range(500)]
+    texts = [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(0, 500, 2)]
+    texts += [" ".join(f"d{j}x{i}" for i in range(200)) for j in range(40)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        every = store.executorList(True)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = C.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.links for r in rows if r.id < 250} == {249} and {r.links for r in rows if r.id >= 250} == {0}
+    assert written() - before < 8_000_000
+
+
 def test_stream(spark, tmp_path):
     from quillon.streaming import documents as D
 
