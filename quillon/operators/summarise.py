@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ STOP = frozenset("a an and are as at be been by for from had has have he her his
 MIN_WORDS, TOO_SHORT = 10, "Text too short — need at least 10 words."
 #: Sentences whose word counts are held as a dense block at once.
 BLOCK = 256
+#: Sentences of a text whose links are held as a matrix (32 MB).
+LINKED = 2048
 _SPLIT, _WORD = re.compile(r"(?<=[.!?])\s+"), re.compile(r"[^\W\d_]+")
 
 
@@ -32,9 +35,14 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in _SPLIT.split(text.strip()) if s]
 
 
+@lru_cache(1 << 16)
+def _stem(word: str) -> str:
+    return re.sub(r"(?:ing|edly|ed|ly|es|s)$", "", word) if len(word) > 5 else word
+
+
 def stems(sentence: str) -> list[str]:
     """Lower-cased content words with common English endings cut."""
-    return [re.sub(r"(?:ing|edly|ed|ly|es|s)$", "", w) if len(w) > 5 else w for w in _WORD.findall(sentence.lower()) if w not in STOP]
+    return [_stem(w) for w in _WORD.findall(sentence.lower()) if w not in STOP]
 
 
 def luhn(bags: list[list[str]]) -> np.ndarray:
@@ -76,11 +84,19 @@ class _Bags:
 
 
 def lsa(bags: list[list[str]]) -> np.ndarray:
+    """Squared lengths along the strongest topics, from the smaller of the two products of the matrix with itself."""
     b = _Bags(bags)
     m = b.dense(0, b.n, b.value * np.log((1 + b.n) / (1 + b.df) + 1e-9)[b.word])
-    u, s, _ = np.linalg.svd(m, full_matrices=False)
-    k = min(len(s), max(3, len(s) // 3))
-    return np.sqrt((u[:, :k] ** 2) @ (s[:k] ** 2))
+    size = min(m.shape)
+    k = min(size, max(3, size // 3))
+    strength, topics = np.linalg.eigh(m @ m.T if b.n <= b.words else m.T @ m)
+    if k < size and strength[-k] - strength[-k - 1] < 1e-9 * strength[-1]:
+        # Topics of equal strength on both sides of the cut: which of them count is left to the decomposition of the matrix itself.
+        u, s, _ = np.linalg.svd(m, full_matrices=False)
+        return np.sqrt((u[:, :k] ** 2) @ (s[:k] ** 2))
+    squares = (topics[:, -k:] ** 2) @ np.maximum(strength[-k:], 0) if b.n <= b.words else ((m @ topics[:, -k:]) ** 2).sum(axis=1)
+    # What the products' rounding leaves of a sentence without a part in these topics is no score.
+    return np.sqrt(np.where(squares > 1e-13 * squares.max(), squares, 0))
 
 
 def _power(n: int, sums: np.ndarray, times, damping: float = 0.85) -> np.ndarray:
@@ -112,11 +128,19 @@ def lexrank(bags: list[list[str]], threshold: float = 0.1) -> np.ndarray:
 
 
 def textrank(bags: list[list[str]]) -> np.ndarray:
-    """Links are shared words by log lengths; sentences of one length are summed at once and no pair is stored."""
+    """Links are shared words by log lengths; in long texts sentences of one length are summed at once and no pair is stored."""
     b = _Bags(bags)
     lengths, kind = np.unique(np.bincount(b.row, minlength=b.n), return_inverse=True)
     size = np.log(np.maximum(lengths, 1))
     weights = 1 / np.maximum(size[:, None] + size[None], 1e-9)
+    if b.n <= LINKED:
+        links = np.empty((b.n, b.n))
+        for first in b.blocks():
+            part = b.dense(*first, np.ones(len(b.row)))
+            links[slice(*first)] = np.hstack([part @ b.dense(*at, np.ones(len(b.row))).T for at in b.blocks()])
+        links *= weights[kind[:, None], kind[None]]
+        np.fill_diagonal(links, 0)
+        return _power(b.n, links.sum(axis=1), links.__matmul__)
     groups = [kind[b.row] == g for g in range(len(lengths))]
 
     def times(x: np.ndarray) -> np.ndarray:
@@ -133,15 +157,30 @@ def textrank(bags: list[list[str]]) -> np.ndarray:
 METHODS = {"luhn": luhn, "lsa": lsa, "lexrank": lexrank, "textrank": textrank}
 
 
-def best_sentences(text: str | None, n: int = 8, method: str = "lsa") -> list[str]:
-    """The best n sentences in document order, scored over the whole text; of equal scores the earlier one."""
-    found = split_sentences(text or "")
-    if len(found) <= n:
-        return found
+def _ranked(found: list[str], method: str) -> np.ndarray:
+    """Places of sentences, the best first; of equal scores the earlier one."""
     scores = METHODS[method]([stems(s) for s in found])
     # Rounded, so that sums in another order do not part equal scores.
-    ranks = np.round(scores / max(scores.max(), 1e-12), 9)
-    return [found[i] for i in sorted(np.argsort(-ranks, kind="stable")[:n].tolist())]
+    return np.argsort(-np.round(scores / max(scores.max(), 1e-12), 9), kind="stable")
+
+
+def best_sentences(text: str | None, n: int = 8, method: str = "lsa") -> list[str]:
+    """The best n sentences in document order, scored over the whole text."""
+    return best_of_each([text], [n], method)[0]
+
+
+def best_of_each(texts: list[str | None], limits: list[int], method: str) -> list[list[str]]:
+    """best_sentences of several texts with a limit each; texts of the same sentences are scored once."""
+    known, out = {}, []
+    for text, n in zip(texts, limits, strict=True):
+        found = split_sentences(text or "")
+        if len(found) > n:
+            key = tuple(found)
+            if key not in known:
+                known[key] = _ranked(found, method)
+            found = [found[i] for i in sorted(known[key][:n].tolist())]
+        out.append(found)
+    return out
 
 
 def summarise(docs: DataFrame, id_col: str, text_col: str, n: int = 8, method: str | None = None, type_col: str | None = None) -> DataFrame:
@@ -174,8 +213,11 @@ def composed(docs: DataFrame, id_col: str, text_col: str, type_col: str, n: int
 
     def pick(frames):
         for f in frames:
-            f["sentences"] = [best_sentences(t, n, m) for t, m in zip(f.pop("text"), f["algorithm"], strict=True)]
-            f["parts"] = [[" ".join(best_sentences(p, section_n, m)) for p in ps] for ps, m in zip(f["parts"], f["algorithm"], strict=True)]
+            # A text without headings is its only section, too.
+            rows = zip(f.pop("text"), f["parts"], f["algorithm"], strict=True)
+            best = [best_of_each([t, *ps], [n, *[section_n] * len(ps)], m) for t, ps, m in rows]
+            f["sentences"] = [b[0] for b in best]
+            f["parts"] = [[" ".join(p) for p in b[1:]] for b in best]
             yield f
 
     kind = F.coalesce(F.col(type_col).cast("string"), F.lit(""))
