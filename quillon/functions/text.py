@@ -84,8 +84,13 @@ def ocr_artefacts(c: Column) -> Column:
 
 def expand_abbreviations(c: Column) -> Column:
     """One replacement after another: a full form may hold no later abbreviation."""
+
+    def expanded(short: str, full: str):
+        # Patterns are slow to search; most texts lack the letters.
+        return lambda x: F.when(x.contains(short), F.regexp_replace(x, rf"(?U)\b{short}\b", full)).otherwise(x)
+
     for short, full in ABBREVIATIONS.items():
-        c = F.regexp_replace(c, rf"(?U)\b{short}\b", full)
+        c = let(c, expanded(short, full))
     return c
 
 
@@ -109,11 +114,17 @@ def structured_to_sentences(c: Column) -> Column:
 
         commas = share(lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))) >= 2) > 0.4
         pipes = share(lambda x: x.contains("|")) > 0.4
+        bare = (share(lambda x: ~x.rlike("[.!?]$")) > 0.6) & (n > 2)
+        # Once for a text, not once for each line.
+        return let(F.struct(lines.alias("lines"), commas.alias("commas"), pipes.alias("pipes"), bare.alias("bare")), written)
+
+    def written(f: Column) -> Column:
+        lines, n = f["lines"], F.size(f["lines"])
         head = words(F.translate(F.lower(F.get(lines, F.lit(0))), ",|", "  "))
         rows = F.when(F.arrays_overlap(head, F.lit(HEADER_WORDS)), F.slice(lines, 2, F.greatest(n, F.lit(1)))).otherwise(lines)
 
         def sentence(row: Column) -> Column:
-            cells = F.filter(F.transform(F.when(commas, F.split(row, ",")).otherwise(F.split(row, r"\|")), strip), lambda x: x != "")
+            cells = F.filter(F.transform(F.when(f["commas"], F.split(row, ",")).otherwise(F.split(row, r"\|")), strip), lambda x: x != "")
 
             def ended(cells: Column) -> Column:
                 joined, one = F.array_join(cells, ". "), F.get(cells, F.lit(0))
@@ -123,11 +134,10 @@ def structured_to_sentences(c: Column) -> Column:
 
             return let(cells, ended)
 
-        table = F.filter(F.transform(rows, sentence), lambda x: x.isNotNull())
-        bare = (share(lambda x: ~x.rlike("[.!?]$")) > 0.6) & (n > 2)
+        table = F.when(f["commas"] | f["pipes"], F.filter(F.transform(rows, sentence), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
         shout = lambda x: (F.upper(x) == x) & (F.lower(x) != x) & (F.size(words(x)) <= 4)
         phrases = F.transform(F.filter(lines, lambda x: ~shout(x)), lambda x: F.when(x.rlike("[.!?]$"), x).otherwise(F.concat(x, F.lit("."))))
-        return F.when((commas | pipes) & (F.size(table) > 0), F.array_join(table, " ")).when(bare, F.array_join(phrases, " ")).otherwise(c)
+        return let(table, lambda t: F.when(F.size(t) > 0, F.array_join(t, " ")).when(f["bare"], F.array_join(phrases, " ")).otherwise(c))
 
     lines = F.filter(F.transform(F.split(c, "\r\n|[\n\r\x0b\f]"), strip), lambda x: x != "")
     return let(lines, body)

@@ -1,9 +1,12 @@
 """Scores of sentences: products of the matrix against its decomposition, links as a matrix against sums, texts scored once."""
 
 import random
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from quillon.functions import text as X
 from quillon.operators import summarise as S
 
 
@@ -41,3 +44,12 @@ def test_equal_texts_are_scored_once(monkeypatch):
     monkeypatch.setitem(S.METHODS, "lsa", lambda bags, f=S.lsa: calls.append(1) or f(bags))
     both = S.best_of_each([text, text + "\n", None], [8, 3, 3], "lsa")
     assert len(calls) == 1 and [len(x) for x in both] == [8, 3, 0] and both[1] == S.best_sentences(text, 3, "lsa")
+
+
+def test_lines_are_judged_once_for_a_text(spark):
+    """A text of many lines of fields: the shares of lines are not counted anew for each line."""
+    lines = [f"part {i}, late, major" for i in range(8000)]
+    start = time.monotonic()
+    got = spark.createDataFrame([("\n".join(lines),)], "text string").select(X.structured_to_sentences(F.col("text")).alias("t")).first().t
+    assert got == " ".join(f"part {i}. late. major." for i in range(8000))
+    assert time.monotonic() - start < 15
