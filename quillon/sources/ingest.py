@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +32,8 @@ HANDLERS = {
 }
 DELIMITERS = ",;\t|"
 DIGITAL_CHARS = 80
+#: Bytes of files that a task hands on at once.
+BATCH_BYTES = 8 << 20
 
 
 def decode_text(content: Column) -> Column:
@@ -155,8 +161,53 @@ def read_files(spark: SparkSession, path: str, forced: str | None = None) -> Dat
     """SCHEMA rows plus ``error``; one row per file, a failing file never fails the others."""
     if forced is not None and forced not in set(HANDLERS.values()):
         raise ValueError(f"unknown type {forced!r}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return ingest_bytes(files.select(F.col("path").alias("source"), "content"), forced)
+    return ingest_bytes(file_bytes(spark, path), forced)
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def file_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(source, content) of the files below a folder, as Spark's binaryFile reader gives them (no hidden and no empty files).
+
+    Spark's reader brings the list of all files to the driver. Here the driver sees the folder's direct entries only:
+    tasks list one subfolder each, or a share of it by a hash of the names. Patterns, single files and
+    stores that ``pyarrow.fs`` does not know are left to Spark's reader.
+    """
+    try:
+        store, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        plain = not re.search(r"[*?\[{]", path) and store.get_file_info(base).type == fs.FileType.Directory
+    except (OSError, ValueError, NotImplementedError):
+        plain = False
+    if not plain:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return files.select(F.col("path").alias("source"), "content")
+    below = [x.path for x in store.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.Directory and not _hidden(x.base_name)]
+    shares = max(1, -(-2 * spark.sparkContext.defaultParallelism // (len(below) + 1)))
+    units = [(folder, folder != base, i) for folder in [base, *sorted(below)] for i in range(shares)]
+    scheme = path.partition("://")[0] + "://" if "://" in path and not path.startswith("file:") else "file:"
+
+    def read(batches):
+        store, _ = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        for batch in batches:
+            for unit in batch.to_pylist():
+                held, size = [], 0
+                for x in store.get_file_info(fs.FileSelector(unit["folder"], recursive=unit["deep"])):
+                    inner = x.path[len(unit["folder"]) :].strip("/")
+                    if x.type != fs.FileType.File or not x.size or any(map(_hidden, inner.split("/"))) or zlib.crc32(inner.encode()) % shares != unit["share"]:
+                        continue
+                    with store.open_input_stream(x.path) as f:
+                        held.append((scheme + x.path, f.read()))
+                    size += x.size
+                    if size > BATCH_BYTES or len(held) >= 256:
+                        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held], pa.binary())], ["source", "content"])
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held], pa.binary())], ["source", "content"])
+
+    dealt = spark.createDataFrame(spark.sparkContext.parallelize(units, len(units)), "folder string, deep boolean, share int")
+    return dealt.mapInArrow(read, "source string, content binary")
 
 
 def ingest_bytes(files: DataFrame, forced: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """A run over a folder: totals equal an aggregate, errors stay with their file, one scan."""
 
 from quillon.operators import runs as R
-from quillon.sources.ingest import read_files
+from quillon.sources.ingest import file_bytes, read_files
 
 
 def test_folder_run(spark, tmp_path):
@@ -31,3 +31,16 @@ def test_empty_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     seen = R.folder_run(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert set(seen.values()) == {0}
+
+
+def test_tasks_list_the_files(spark, tmp_path):
+    """The rows of Spark's reader, without its list of all files on the driver."""
+    for folder in ("", "a", "a/deep", "_b", "k=1", ".c"):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        for name, text in (("x.txt", f"in {folder}"), ("_no.txt", "hidden"), (".no", "hidden"), ("none.txt", ""), ("y.html", "é")):
+            (tmp_path / folder / name).write_text(text)
+    spark_rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "content")
+    got = file_bytes(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spark_rows.collect())) and got.count() == 8
+    assert "binaryFile" not in read_files(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert file_bytes(spark, str(tmp_path / "a" / "*.txt")).count() == 1
