@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,16 @@ from quillon.operators.rewrite import OWN_LABEL, TOKENISED
 _ROW = ["start", "end", "entity", "text", "score"]
 
 
+def _joined(texts: pa.Array) -> pa.Array:
+    """Runs of single capitals joined, where there can be any."""
+    if not pc.any(pc.match_substring_regex(texts, "[A-Z] [A-Z] [A-Z]")).as_py():
+        return texts.fill_null("")
+    return pa.array([joined(t) for t in texts.to_pylist()], pa.string())
+
+
 def _listed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Resolved spans of texts; offsets are those of the normalised texts."""
-    for found in scan(pa.array([joined(t) for t in batch.to_pylist()], pa.string()) for batch in texts):
+    for found in scan(map(_joined, texts)):
         spans = found.values
         rows = pa.StructArray.from_arrays([spans.field(n) for n in _ROW], names=["start", "end", "entity", "value", "score"])
         yield pa.ListArray.from_arrays(found.offsets, rows)

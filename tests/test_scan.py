@@ -94,3 +94,15 @@ def test_rules_are_tried_only_where_they_can_match():
 def test_reports_are_scanned_in_the_same_pass():
     found = scan.report_spans_of("Name: Meera Iyer : 3\nHospital: Sun Care, Pune\nPhone: 12")
     assert [(s[0], s[2], s[3]) for s in found] == [(6, "PERSON", "Meera Iyer"), (31, "ORGANIZATION", "Sun Care, Pune"), (53, "IN_PHONE", "12")]
+
+
+def test_short_texts_share_a_pass(monkeypatch):
+    many = ["", "Address: ", *texts(6, 800, 4), "Name:", "12345", "678 MRN", "-123456", *texts(7, 200, 4), "x" * (scan._AT_ONCE + 1), "Dr. Amit Gupta"]
+    alone = [(scan.spans_of(t), scan.report_spans_of(t)) for t in many]
+    passes, seen = [], scan._Seen
+    monkeypatch.setattr(scan, "_Seen", lambda *own: passes.append(own) or seen(*own))
+    for found, which in ((scan.scan, 0), (scan.scan_report, 1)):
+        passes.clear()
+        lists = next(found(iter([scan.pa.array(many)]))).to_pylist()
+        assert [[tuple(s.values()) for s in x] for x in lists] == [x[which] for x in alone]
+        assert len(passes) == 3  # two of ASCII texts, one of others
