@@ -2,8 +2,8 @@
 
 * Texts are cut into units that no piece of the vocabulary can cross (checked when the
   model is loaded): runs of letters or of other characters, with the spaces before them.
-* Each distinct unit is encoded once: its substrings up to the longest piece are exploded
-  and equi-joined to the piece table (broadcast: its size is that of the model file); the
+* Each distinct unit is encoded once: its substrings that can be pieces by their first
+  three characters and their length are exploded and equi-joined to the piece table (broadcast: its size is that of the model file); the
   matching edges are grouped by unit and folded with Spark's higher-order aggregate.
   Unigram models fold Viterbi.  BPE models need their own fold (best-ranked applicable
   edge first), because a Viterbi path over merge ranks is not what BPE yields.
@@ -328,6 +328,25 @@ def _viterbi_fold(edges: Column, size: Column, miss: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: F.element_at(s, -1)["mask"])
 
 
+def candidates(units: DataFrame, model: Model) -> DataFrame:
+    """(unit, n, s, l): substrings that can be pieces, and an empty one for each unit.
+
+    Those of one or two characters are all there; longer ones only in the lengths of the
+    pieces with the same first three characters (broadcast: at most a row for each piece).
+    """
+    short = [1, 2]
+    lengths: dict[str, set[int]] = {}
+    for p in model.table:
+        if len(p) > 2:
+            lengths.setdefault(p[:3], set(short)).add(len(p))
+    heads = F.broadcast(units.sparkSession.createDataFrame([(h, sorted(own)) for h, own in lengths.items()], "head string, lengths array<int>"))
+    size, own = F.length("unit"), F.coalesce(F.col("lengths"), F.lit(short))
+    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    spans = starts.join(heads, F.expr("substring(unit, s + 1, 3)") == F.col("head"), "left")
+    spans = spans.select("unit", "n", "s", F.explode(F.when(F.col("s") == 0, F.concat(F.lit([0]), own)).otherwise(own)).alias("l"))
+    return spans.where(F.col("s") + F.col("l") <= size)
+
+
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
     """(unit, n, ids) for distinct units (unit, n): the lattice."""
     spark = units.sparkSession
@@ -335,12 +354,7 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     table = pd.DataFrame([(p, i, -s) for p, (i, s) in model.table.items()] + [("", -1, 0.0)], columns=["piece", "id", "cost"])
     pieces = F.broadcast(spark.createDataFrame(table, "piece string, id int, cost double"))  # as many rows as the model has
     size = F.length("unit")
-    short = units.where(size <= MASK_CHARS)
-    spans = short.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    spans = spans.select(
-        "unit", "n", "s",
-        F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(F.lit(model.longest), size - F.col("s")))).alias("l"),
-    )
+    spans = candidates(units.where(size <= MASK_CHARS), model)
     ends = F.when(F.col("l") == 0, F.lit(0).cast("long")).otherwise(_bit(F.col("s")).bitwiseOR(_bit(F.col("s") + F.col("l"))))
     inner = F.when(F.col("l") <= 1, F.lit(0).cast("long")).otherwise(_bit(F.col("s") + F.col("l")) - _bit(F.col("s") + 1))
     edge = F.struct("cost", "s", (F.col("s") + F.col("l")).alias("e"), "id", ends.alias("ends"), inner.alias("inner"))

@@ -77,6 +77,16 @@ def test_merge_fold_equals_the_heap(spark):
         assert r.ids == model.encode_unit(r.unit)
 
 
+def test_candidates_are_those_that_can_be_pieces(spark, model):
+    units = ["▁transformations", "▁qzxqzxqzxq", "▁", "é", "日本語", "aa", "▁the"]
+    rows = lattice.candidates(spark.createDataFrame([(u, 1) for u in units], "unit string, n long"), model).collect()
+    got = {(r.unit, r.s, r.l) for r in rows}
+    every = {(u, s, n) for u in units for s in range(len(u)) for n in range(1, len(u) - s + 1) if n <= model.longest}
+    assert len(got) == len(rows) and got - {(u, 0, 0) for u in units} <= every and {(u, 0, 0) for u in units} <= got
+    assert {(u, s, n) for u, s, n in every if u[s : s + n] in model.table} <= got
+    assert len(rows) < 0.6 * len(every)
+
+
 def test_empty_table(spark, model):
     assert lattice.encode(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
