@@ -7,6 +7,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,11 @@ def written_table(df: DataFrame) -> DataFrame:
     For results too large for an uncompressed checkpoint.  The files are removed
     when the driver ends, shuffles of the job as soon as it is through.
     """
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The ``written_table`` of ``df``, and what removes its files before the driver ends."""
     spark = df.sparkSession
     context = spark.sparkContext
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
@@ -74,7 +80,7 @@ def written_table(df: DataFrame) -> DataFrame:
             return
 
     atexit.register(remove)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), remove
 
 
 def whole_text(column: str | Column) -> Column:

@@ -4,13 +4,14 @@
   model is loaded): runs of letters or of other characters, with the spaces before them.
 * Each distinct unit is encoded once: its substrings that can be pieces by their first
   three characters and their length are exploded and equi-joined to the piece table (broadcast: its size is that of the model file); the
-  matching edges are grouped by unit and folded with Spark's higher-order aggregate.
+  matching edges are grouped by unit and folded over Arrow batches, all units of a batch at once.
   Unigram models fold Viterbi.  BPE models need their own fold (best-ranked applicable
   edge first), because a Viterbi path over merge ranks is not what BPE yields.
-  The state of the BPE fold is a bit mask of boundaries, which holds units up to 60
-  characters; longer ones go through the same merges with a heap.
+  The BPE fold takes as many rounds as a unit has merges, so that the lattice holds units up to
+  60 characters; longer ones go through the same merges with a heap.
 * The encodings return to the documents in two exact ways: those of the most frequent
-  units (a bounded number) are broadcast, all others are joined per document.
+  units (a bounded number) are broadcast; all others meet the keys of their documents in the
+  exchange before the lattice, so that each is encoded once, and are joined per document.
 
 Defined cases: null text counts as empty; an empty text has no ids; characters outside
 the vocabulary become byte pieces (or the unknown id without byte fallback); repeated
@@ -31,19 +32,21 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import byte_hashes, settings, slices, small_batches, whole_text, written_table
+from quillon.llm.common import byte_hashes, settings, slices, small_batches, whole_text, written, written_table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Most units whose encodings are broadcast (about 35 bytes each); all others are joined.
 FREQUENT_UNITS = 1 << 20
+#: Marks that may follow a word of letters.
+MARKS = ".,;:!?"
 #: Units that a task encodes, and units whose edges it groups in memory before it sorts.
 UNITS_A_TASK, UNITS_AT_ONCE = 32_768, 1 << 16
-#: Longest unit whose boundaries fit the 64-bit state of the fold.
-MASK_CHARS = 60
+#: Longest unit of the lattice: the fold takes as many rounds as a unit has merges.
+LATTICE_CHARS = 60
 _FLUSH = 1_000_000
 UNKNOWN, CONTROL, USER, BYTE = 2, 3, 4, 6
 
@@ -221,6 +224,36 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _units_of(words: pa.Array, find) -> tuple[pa.Array, np.ndarray]:
+    """The units of words, one after the other, and how many each has.
+
+    A word of letters is a unit as it is.  Where the pattern cuts letters from other
+    characters, words of letters and a mark behind them are cut without it too; where it
+    cuts before spaces, all other words are cut in one go.
+    """
+    stems = pc.utf8_rtrim(words, MARKS) if len(find(f"{SPACE}a,")) == 2 else words
+    extra = pc.subtract(pc.binary_length(words), pc.binary_length(stems)).to_numpy(zero_copy_only=False)
+    plain = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False) & (extra <= 1)
+    ends = plain & (extra == 1)
+    easy = pc.binary_join_element_wise(SPACE, stems.filter(pa.array(plain)), "")
+    tails = pc.utf8_slice_codeunits(words.filter(pa.array(ends)), -1)
+    hard = words.filter(pa.array(~plain)).to_pylist()
+    if len(find(f"{SPACE}a{SPACE}a")) == 2:
+        rest = pa.array(find("".join([SPACE + w for w in hard])), pa.string())
+        first = np.flatnonzero(pc.starts_with(rest, SPACE).to_numpy(zero_copy_only=False))
+        counts = np.diff(np.r_[first, len(rest)])
+    else:
+        found = [find(SPACE + w) for w in hard]
+        rest, counts = pa.array([u for x in found for u in x], pa.string()), np.array([len(x) for x in found], np.int64)
+    sizes = 1 + ends.astype(np.int64)
+    sizes[~plain] = counts
+    starts = np.cumsum(sizes) - sizes
+    at = np.r_[starts[plain], starts[ends] + 1, _ranges(starts[~plain], sizes[~plain])]
+    order = np.empty(len(at), np.int64)
+    order[at] = np.arange(len(at))
+    return pa.concat_arrays([easy, tails, rest]).take(pa.array(order)), sizes
+
+
 class _Cut:
     """Units of a batch of texts, in order, with those of equal words found once.
 
@@ -239,18 +272,12 @@ class _Cut:
             odd = pc.or_(pc.or_(ends, inside), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         coded = plain.flatten().dictionary_encode()
-        units, sizes = [], []
-        for word in coded.dictionary.to_numpy(zero_copy_only=False):
-            found = find(SPACE + word)
-            units += found
-            sizes.append(len(found))
+        found, sizes = _units_of(coded.dictionary, find)
         own = len(sizes)
         whole = [model.units(x, find) for x in texts.filter(pa.array(odd)).to_pylist()]
-        for found in whole:
-            units += found
         rest = sum(map(len, whole))
-        self.units = pa.array(units, pa.string())
-        self.sizes = np.r_[np.array(sizes, np.int64), np.ones(rest, np.int64)]
+        self.units = pa.concat_arrays([found, pa.array([u for x in whole for u in x], pa.string())])
+        self.sizes = np.r_[sizes, np.ones(rest, np.int64)]
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.words = np.zeros(len(texts), np.int64)
         self.words[~odd], self.words[odd] = plain.value_lengths().to_numpy(zero_copy_only=False), [len(x) for x in whole]
@@ -289,50 +316,85 @@ def unit_counts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     return parts.groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), position.cast("int"))
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once a row, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _merge_fold(edges: Column, size: Column) -> Column:
-    """Boundaries (bit mask) after merging the best applicable edge until none is left."""
-
-    def merged(inner: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            fits = F.filter(inner, lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["inner"])) == 1))
-            return state.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("long"))))
-
-        steps = F.slice(F.sequence(F.lit(1), size), F.lit(1), F.least(size - 1, F.size(inner)))
-        return F.aggregate(steps, _bit(size + 1) - 1, step)
+def _merge_fold(size: int, own: np.ndarray, start: np.ndarray, end: np.ndarray, cost: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The edge of each piece by its start (or -1), after merging each unit's best applicable edge until none is left.
 
-    return _let(F.filter(edges, lambda e: e["inner"] != 0), merged)
-
-
-def _viterbi_fold(edges: Column, size: Column, miss: float) -> Column:
-    """Boundaries (bit mask) of the best-scored path; of equal scores the longest last piece."""
-
-    def step(state: Column, end: Column) -> Column:
-        arriving = F.transform(
-            F.filter(edges, lambda e: e["e"] == end),
-            lambda e: F.struct((F.get(state, e["s"])["score"] - e["cost"]).alias("score"), (-e["s"]).alias("s"), F.get(state, e["s"])["mask"].bitwiseOR(_bit(end)).alias("mask")),
-        )
-        alone = F.get(state, end - 1)
-        other = F.struct((alone["score"] + F.lit(miss)).alias("score"), (1 - end).alias("s"), alone["mask"].bitwiseOR(_bit(end)).alias("mask"))
-        return F.concat(state, F.array(F.array_max(F.concat(arriving, F.array(other)))))
-
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(1).cast("long").alias("mask")))
-    return F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: F.element_at(s, -1)["mask"])
+    ``after`` has the next boundary of every position of the units, which lie one after the
+    other; it is changed to that of the pieces.  Positions ``size`` (no boundary any more)
+    and ``size + 1`` (past the end of a unit) follow themselves.
+    """
+    made = np.full(size + 2, -1)
+    edge = np.lexsort((start, cost, own))
+    edge = edge[end[edge] - start[edge] > 1]
+    while len(edge):
+        first, last, unit = start[edge], end[edge], own[edge]
+        fits = np.flatnonzero(after[after[first]] == last)
+        best = fits[np.flatnonzero(np.diff(unit[fits], prepend=-1))]
+        after[after[first[best]]] = size
+        after[first[best]], made[first[best]] = last[best], edge[best]
+        left = after[first]  # an edge stays while its ends are boundaries, it is no piece yet, and its unit still merges
+        edge = edge[(left != size) & (left != last) & (after[last] != size) & np.isin(unit, unit[best])]
+    return made
+
+
+def _viterbi_fold(size: int, own: np.ndarray, start: np.ndarray, end: np.ndarray, cost: np.ndarray, after: np.ndarray, miss: float) -> np.ndarray:
+    """As ``_merge_fold``, by the best-scored path; of equal scores the longest last piece."""
+    ends = after[:size] == size + 1
+    single = np.flatnonzero(~ends)
+    length = np.arange(size) - np.maximum.accumulate(np.where(np.r_[True, ends[:-1]], np.arange(size), 0))  # from the unit's start
+    first, last = np.r_[start, single], np.r_[end, single + 1]
+    costs, edges = np.r_[cost, np.full(len(single), -miss)], np.r_[np.arange(len(start)), np.full(len(single), -1)]
+    total, back = np.zeros(size), np.full(size, -1)
+    turn = np.argsort(length[last], kind="stable")
+    for part in np.split(turn, np.flatnonzero(np.diff(length[last][turn])) + 1):
+        sums = total[first[part]] + costs[part]
+        order = np.lexsort((first[part], sums, last[part]))
+        best = order[np.flatnonzero(np.diff(last[part][order], prepend=-1))]
+        total[last[part[best]]], back[last[part[best]]] = sums[best], part[best]
+    made = np.full(size + 2, -1)
+    after[:size][~ends] = size
+    at = np.flatnonzero(ends & (length > 0))
+    while len(at):
+        used = back[at]
+        after[first[used]], made[first[used]] = at, edges[used]
+        at = first[used][length[first[used]] > 0]
+    return made
+
+
+def folded(model: Model, units: pa.Array, own: np.ndarray, s: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    """Ids of ``units``, from their edges: unit, start, length and id of a piece; edges of one unit are neighbours."""
+    chars = pc.utf8_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+    base = np.cumsum(chars + 1) - chars - 1
+    size = int(base[-1] + chars[-1] + 1)
+    after = np.r_[np.arange(1, size + 1), size, size + 1]
+    after[base + chars] = size + 1
+    start = base[own] + s
+    end, cost = start + sizes, -np.array(model.scores)[ids]
+    single = np.full(size + 2, -1)
+    single[start[sizes == 1]] = ids[sizes == 1]
+    made = _viterbi_fold(size, own, start, end, cost, after, min(model.scores) - 10.0) if model.unigram else _merge_fold(size, own, start, end, cost, after)
+    begins = np.flatnonzero(after[:size] < size)
+    out = np.where(made[begins] >= 0, ids[made[begins]] if len(ids) else -1, single[begins])
+    unit = np.repeat(np.arange(len(units)), chars + 1)[begins]
+    counts, odd = np.ones(len(begins), np.int64), np.flatnonzero(out < 0)
+    octets = []
+    for k in odd.tolist():  # characters outside the vocabulary
+        char = units[unit[k]].as_py()[begins[k] - base[unit[k]]]
+        octets.append([model.byte_ids[b] for b in char.encode()] if model.has_bytes else [model.unknown])
+        counts[k] = len(octets[-1])
+    flat, at = np.repeat(out, counts), np.cumsum(counts) - counts
+    for k, more in zip(odd.tolist(), octets, strict=True):
+        flat[at[k] : at[k] + len(more)] = more
+    offsets = np.r_[0, np.cumsum(np.bincount(unit, counts, len(units)).astype(np.int64))]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def candidates(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, s, l): substrings that can be pieces, and an empty one for each unit.
+    """``units`` with s and l: substrings that can be pieces, and an empty one for each unit.
 
     Those of one or two characters are all there; longer ones only in the lengths of the
     pieces with the same first three characters (broadcast: at most a row for each piece).
+    Units beyond the lattice have the empty one only.
     """
     short = [1, 2]
     lengths: dict[str, set[int]] = {}
@@ -341,59 +403,40 @@ def candidates(units: DataFrame, model: Model) -> DataFrame:
             lengths.setdefault(p[:3], set(short)).add(len(p))
     heads = F.broadcast(units.sparkSession.createDataFrame([(h, sorted(own)) for h, own in lengths.items()], "head string, lengths array<int>"))
     size, own = F.length("unit"), F.coalesce(F.col("lengths"), F.lit(short))
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    starts = units.select("*", F.explode(F.sequence(F.lit(0), F.when(size <= LATTICE_CHARS, size - 1).otherwise(0))).alias("s"))
     spans = starts.join(heads, F.expr("substring(unit, s + 1, 3)") == F.col("head"), "left")
-    spans = spans.select("unit", "n", "s", F.explode(F.when(F.col("s") == 0, F.concat(F.lit([0]), own)).otherwise(own)).alias("l"))
+    spans = spans.select(*units.columns, "s", F.explode(F.when(size > LATTICE_CHARS, F.lit([0])).when(F.col("s") == 0, F.concat(F.lit([0]), own)).otherwise(own)).alias("l"))
     return spans.where(F.col("s") + F.col("l") <= size)
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, ids) for distinct units (unit, n): the lattice."""
+    """``units`` (distinct in their column ``unit``) plus ids: the lattice.  Other columns stay as they are."""
     spark = units.sparkSession
     # The empty piece is an edge that every unit has, so that none is lost in the join.
-    table = pd.DataFrame([(p, i, -s) for p, (i, s) in model.table.items()] + [("", -1, 0.0)], columns=["piece", "id", "cost"])
-    pieces = F.broadcast(spark.createDataFrame(table, "piece string, id int, cost double"))  # as many rows as the model has
-    size = F.length("unit")
-    spans = candidates(units.where(size <= MASK_CHARS), model)
-    ends = F.when(F.col("l") == 0, F.lit(0).cast("long")).otherwise(_bit(F.col("s")).bitwiseOR(_bit(F.col("s") + F.col("l"))))
-    inner = F.when(F.col("l") <= 1, F.lit(0).cast("long")).otherwise(_bit(F.col("s") + F.col("l")) - _bit(F.col("s") + 1))
-    edge = F.struct("cost", "s", (F.col("s") + F.col("l")).alias("e"), "id", ends.alias("ends"), inner.alias("inner"))
-    lattice = (
-        spans.join(pieces, F.expr("substring(unit, s + 1, l)") == F.col("piece"))
-        .groupBy("unit", "n")
-        .agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-        .withColumn("edges", F.filter("edges", lambda e: e["id"] >= 0))
-    )
-    miss = float(min(model.scores) - 10.0)
-
-    def ids_of(edges: Column, mask: Column) -> Column:
-        used = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inner"]) == 0))
-
-        def ids_at(used: Column, s: Column) -> Column:
-            own = F.get(F.filter(used, lambda e: e["s"] == s), F.lit(0))["id"]
-            char = F.hex(F.encode(F.substring("unit", s + 1, F.lit(1)), "UTF-8"))
-            octets = F.transform(
-                F.sequence(F.lit(0), (F.length(char) / 2).cast("int") - 1),
-                lambda k: F.get(F.lit(model.byte_ids), F.conv(F.substring(char, k * 2 + 1, F.lit(2)), 16, 10).cast("int")),
-            )
-            return F.coalesce(F.when(own.isNotNull(), F.array(own)), octets if model.has_bytes else F.array(F.lit(model.unknown)))
-
-        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: mask.bitwiseAND(_bit(i)) != 0)
-        return _let(used, lambda used: F.flatten(F.transform(starts, lambda s: ids_at(used, s))))
-
-    def fold(edges: Column) -> Column:
-        mask = _viterbi_fold(edges, size, miss) if model.unigram else _merge_fold(edges, size)
-        return _let(mask, lambda mask: ids_of(edges, mask))
-
-    encoded = lattice.select("unit", "n", _let(F.col("edges"), fold).alias("ids"))
-
-    def long_units(batches):
-        for batch in slices(batches):
-            ids = [model.encode_unit(u.as_py()) for u in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
-
-    rest = units.where(size > MASK_CHARS).select("unit", "n").mapInArrow(long_units, "unit string, n long, ids array<int>")
-    return encoded.unionByName(rest)
+    table = pd.DataFrame([(p, i) for p, (i, _) in model.table.items()] + [("", -1)], columns=["piece", "id"])
+    pieces = F.broadcast(spark.createDataFrame(table, "piece string, id int"))  # as many rows as the model has
+    edge = (F.col("id").cast("long") * 64 + F.col("s")) * 64 + F.col("l")  # start and length are below 64: one number
+    joined = candidates(units, model).join(pieces, F.expr("substring(unit, s + 1, l)") == F.col("piece"))
+    lattice = joined.groupBy(*units.columns).agg(F.collect_list(edge).alias("edges"))
+    at, columns = units.columns.index("unit"), units.columns
+
+    def fold(batches):
+        for batch in slices(batches, 2048):
+            if batch.num_rows:
+                names, lists = batch.column(at), batch.column(batch.num_columns - 1)
+                edges, own = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                real = edges >= 0
+                edges, own = edges[real], own[real]
+                ids = folded(model, names, own, edges >> 6 & 63, edges & 63, edges >> 12)
+                far = np.flatnonzero(pc.utf8_length(names).to_numpy(zero_copy_only=False) > LATTICE_CHARS).tolist()
+                if far:
+                    ids = ids.to_pylist()
+                    for k in far:
+                        ids[k] = model.encode_unit(names[k].as_py())
+                    ids = pa.array(ids, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*columns, "ids"])
+
+    return lattice.mapInArrow(fold, units.limit(0).withColumn("ids", F.array().cast("array<int>")).schema)
 
 
 def frequent_from(counts: DataFrame, bound: int) -> int:
@@ -409,12 +452,16 @@ def frequent_from(counts: DataFrame, bound: int) -> int:
     return best
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the smallest type that holds them."""
+    return numbers.astype(np.min_scalar_type(numbers.max(initial=0)))
+
+
 class _Codes:
     """Ids of units: a table of units beside their ids, one after the other."""
 
     def __init__(self, units: pa.Array, sizes: np.ndarray, ids: np.ndarray):
-        self.units, self.sizes, self.ids = units, sizes, ids
-        self.starts = np.cumsum(sizes) - sizes
+        self.units, self.sizes, self.starts, self.ids = units, _narrow(sizes), _narrow(np.cumsum(sizes) - sizes), _narrow(ids)
 
     @classmethod
     def of(cls, units: pa.Array, lists: pa.Array) -> _Codes:
@@ -462,12 +509,16 @@ def encode_cut(cut: _Cut, known: _Codes, more: _Codes) -> tuple[np.ndarray, np.n
     """Ids of all texts, one after the other, and how many each text has."""
     at = known.find(cut.units)
     missing = np.flatnonzero(at < 0)
-    at[missing] = more.find(cut.units.take(pa.array(missing))) + len(known.sizes)
-    if len(missing) and at[missing].min() < len(known.sizes):
+    own = np.flatnonzero(at >= 0)
+    other = more.find(cut.units.take(pa.array(missing)))
+    if len(missing) and other.min() < 0:
         raise ValueError("a unit has no encoding")
-    sizes, starts = np.r_[known.sizes, more.sizes], np.r_[known.starts, more.starts + len(known.ids)]
-    ids, unit_sizes = np.r_[known.ids, more.ids][_ranges(starts[at], sizes[at])], sizes[at]
+    unit_sizes = np.empty(len(at), np.int64)
+    unit_sizes[own], unit_sizes[missing] = known.sizes[at[own]], more.sizes[other]
     before = np.r_[0, np.cumsum(unit_sizes)]  # ids before each unit of the distinct words
+    ids = np.empty(before[-1], np.int32)
+    for units, codes, rows in ((own, known, at[own]), (missing, more, other)):
+        ids[_ranges(before[units], unit_sizes[units])] = codes.ids[_ranges(codes.starts[rows].astype(np.int64), unit_sizes[units])]
     word_starts = before[cut.starts]
     word_sizes = before[cut.starts + cut.sizes] - word_starts
     out = ids[_ranges(word_starts[cut.of], word_sizes[cut.of])]
@@ -495,12 +546,13 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int
     if set(added) & set(docs.columns):
         raise ValueError(f"{added} must not be columns of the input")
     spark: SparkSession = small_batches(docs)
-    counts = written_table(unit_counts(docs, model, text_col))
-    with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)}):
-        parts = max(1, -(-counts.count() // UNITS_A_TASK))
-        encoded = written_table(encode_units(counts.repartition(parts, "unit"), model))
-    least = frequent_from(encoded, frequent)
-    top = encoded.where(F.col("n") >= least).select("unit", "ids").toArrow().combine_chunks()  # at most ``frequent`` rows
+    counts, remove = written(unit_counts(docs, model, text_col))
+    total, least = counts.count(), frequent_from(counts, frequent)
+    together = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)}
+    with settings(spark, together):
+        often = counts.where(F.col("n") >= least).select("unit").repartition(max(1, -(-min(total, frequent) // UNITS_A_TASK)), "unit")
+        top = encode_units(often, model).toArrow().combine_chunks()  # at most ``frequent`` rows
+    remove()
     codes = _Known.of(pa.concat_arrays(top.column("unit").chunks or [pa.array([], pa.string())]), pa.concat_arrays(top.column("ids").chunks or [pa.array([], pa.list_(pa.int32()))]))
     known = spark.sparkContext.broadcast(codes)
     names, kept = docs.columns, [c for c in docs.columns if c != text_col]
@@ -522,13 +574,11 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", frequent: int
             pairs = pa.RecordBatch.from_arrays([pa.array(key), cut.units.take(pa.array(units))], names=["key", "unit"])
             yield from pa.Table.from_batches([pairs]).group_by(["key", "unit"]).aggregate([]).select(["key", "unit"]).combine_chunks().to_batches()
 
-    found = (
-        flat.select("key", "text")
-        .mapInArrow(rare, "key long, unit string")
-        .join(encoded.where(F.col("n") < least).select(F.col("unit").alias("u"), "ids"), F.col("unit") == F.col("u"))
-        .groupBy(F.col("key").alias("found_key"))
-        .agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
-    )
+    lone = flat.select("key", "text").mapInArrow(rare, "key long, unit string").repartition(max(1, -(-total // UNITS_A_TASK)), "unit")
+    with settings(spark, together):
+        coded = encode_units(lone.groupBy("unit").agg(F.collect_set("key").alias("keys")), model)
+        coded = written_table(coded.select(F.explode("keys").alias("found_key"), "unit", "ids"))
+    found = coded.groupBy("found_key").agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
 
     def pack(batches):  # texts travel compressed
         packer = zstandard.ZstdCompressor(level=1)

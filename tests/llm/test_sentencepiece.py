@@ -110,3 +110,47 @@ def test_known_units_are_found_by_themselves(monkeypatch):
         at = known.find(pa.array(["bb", "x", "c" * 40, "a", ""]))
         assert [known.ids[known.starts[k] : known.starts[k] + known.sizes[k]].tolist() if k >= 0 else None for k in at] == [[2, 3], None, [4], [1], None]
     assert lattice._Known.of(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))).find(pa.array(["a"])).tolist() == [-1]
+
+
+def test_words_are_cut_as_by_the_pattern(model):
+    import re
+
+    import pyarrow as pa
+
+    words = ["the", "end.", "end..", ".", "x1,", "naïve?", "²x", "a.\nB", "日本語", "😀!", "don't", "a_b", "é", "\n", "12"]
+    for pattern in (model.unit_pattern, rf"{lattice.SPACE}*[^{lattice.SPACE}]+|{lattice.SPACE}+", r"(?s:.+)"):
+        find = re.compile(pattern).findall
+        units, sizes = lattice._units_of(pa.array(words), find)
+        assert units.to_pylist() == [u for w in words for u in find(lattice.SPACE + w)] and sizes.tolist() == [len(find(lattice.SPACE + w)) for w in words]
+    units, sizes = lattice._units_of(pa.array([], pa.string()), re.compile(model.unit_pattern).findall)
+    assert len(units) == len(sizes) == 0
+
+
+def test_units_of_one_batch_keep_other_columns(spark, model):
+    rows = [(u, [i, i + 1]) for i, u in enumerate(["▁the", "é", "😀", "▁" + "ab" * 40, "▁qzx", "a" * 60, "a" * 61])]
+    got = lattice.encode_units(spark.createDataFrame(rows, "unit string, keys array<long>"), model).collect()
+    assert sorted((r.unit, r["keys"], r.ids) for r in got) == sorted((u, k, model.encode_unit(u)) for u, k in rows)
+
+
+def test_folds_take_all_units_of_a_batch_at_once():
+    import numpy as np
+    import pyarrow as pa
+
+    for unigram in (False, True):
+        model = toy(unigram)
+        units = ["▁" + "".join(u) for n in (1, 2, 4) for u in itertools.product("abcx", repeat=n)]
+        edges = [(k, s, n, model.table[u[s : s + n]][0]) for k, u in enumerate(units) for s in range(len(u)) for n in range(1, len(u) - s + 1) if u[s : s + n] in model.table]
+        got = lattice.folded(model, pa.array(units), *np.array(edges).T).to_pylist()
+        if not unigram:
+            assert got == [model.encode_unit(u) for u in units]
+        miss = min(model.scores) - 10
+        for u, ids in zip(units, got, strict=True):
+            assert not unigram or abs(sum(model.scores[i] if i else miss for i in ids) - best_score(model, u)) < 1e-9
+
+
+def test_each_rare_unit_is_encoded_once_and_no_table_of_all_encodings_is_kept(spark, model, monkeypatch):
+    shapes, own = [], lattice.encode_units
+    monkeypatch.setattr(lattice, "encode_units", lambda units, model: shapes.append(units.columns) or own(units, model))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two", "two three", "two"])], "doc_id long, text string")
+    assert len(lattice.encode(docs, model, frequent=1).collect()) == 3
+    assert shapes == [["unit"], ["unit", "keys"]]
