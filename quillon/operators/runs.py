@@ -4,7 +4,8 @@ Pages of a text are what form feeds divide.  A file that cannot be read is a fai
 and never fails the others.  The totals of the run are metrics that Spark observes while the results
 are written (``DataFrame.observe``), so that they cost neither a second pass nor an exchange.
 
-Defined cases: an empty folder gives no rows and totals of zero; Spark's reader passes over empty files;
+Defined cases: an empty folder gives no rows and totals of zero; empty files are passed over as by Spark's reader, or with
+``empty`` are texts of one short page;
 files of equal name in different folders are rows of their own.
 """
 
@@ -42,10 +43,10 @@ def totals() -> dict[str, Column]:
     }
 
 
-def folder_run(spark: SparkSession, path: str, out: str, mode: str = "two_step", key: str | None = None, join_letters: bool = True) -> dict[str, int]:
+def folder_run(spark: SparkSession, path: str, out: str, mode: str = "two_step", key: str | None = None, join_letters: bool = True, empty: bool = False) -> dict[str, int]:
     """Process the files under ``path``, append rows of RESULT under ``out`` (Parquet), and return the totals."""
     # A session of its own: models fitted in one that has observed cannot be shipped to tasks.
-    rows, seen = processed(read_files(spark.newSession(), path), mode, key, join_letters), Observation("folder run")
+    rows, seen = processed(read_files(spark.newSession(), path, empty=empty), mode, key, join_letters), Observation("folder run")
     watched = rows.observe(seen, *[c.alias(n) for n, c in totals().items()])
     watched.write.mode("append").parquet(out)
     return dict(seen.get)

@@ -157,20 +157,22 @@ def _xlsx(data: bytes) -> tuple[str, list[dict[str, str]]]:
     return "\n".join(lines), rows
 
 
-def read_files(spark: SparkSession, path: str, forced: str | None = None) -> DataFrame:
-    """SCHEMA rows plus ``error``; one row per file, a failing file never fails the others."""
+def read_files(spark: SparkSession, path: str, forced: str | None = None, empty: bool = False) -> DataFrame:
+    """SCHEMA rows plus ``error``; one row per file (of no bytes only with ``empty``), a failing file never fails the others."""
     if forced is not None and forced not in set(HANDLERS.values()):
         raise ValueError(f"unknown type {forced!r}")
-    return ingest_bytes(file_bytes(spark, path), forced)
+    return ingest_bytes(file_bytes(spark, path, empty), forced)
 
 
 def _hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
-def file_bytes(spark: SparkSession, path: str) -> DataFrame:
+def file_bytes(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
     """(source, content) of the files below a folder, as Spark's binaryFile reader gives them (no hidden and no empty files).
 
+    With ``empty``, files without bytes are rows, too, where tasks list the folder.
+
     Spark's reader brings the list of all files to the driver. Here the driver sees the folder's direct entries only:
     tasks list one subfolder each, or a share of it by a hash of the names. Patterns, single files and
     stores that ``pyarrow.fs`` does not know are left to Spark's reader.
@@ -185,17 +187,17 @@ def file_bytes(spark: SparkSession, path: str) -> DataFrame:
         return files.select(F.col("path").alias("source"), "content")
     below = [x.path for x in store.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.Directory and not _hidden(x.base_name)]
     shares = max(1, -(-2 * spark.sparkContext.defaultParallelism // (len(below) + 1)))
-    units = [(folder, folder != base, i) for folder in [base, *sorted(below)] for i in range(shares)]
+    units = [(folder, i) for folder in [base, *sorted(below)] for i in range(shares)]
     scheme = path.partition("://")[0] + "://" if "://" in path and not path.startswith("file:") else "file:"
 
     def read(batches):
         store, _ = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
         for batch in batches:
-            for unit in batch.to_pylist():
+            for folder, share in (units[i] for i in batch.column("id").to_pylist()):
                 held, size = [], 0
-                for x in store.get_file_info(fs.FileSelector(unit["folder"], recursive=unit["deep"])):
-                    inner = x.path[len(unit["folder"]) :].strip("/")
-                    if x.type != fs.FileType.File or not x.size or any(map(_hidden, inner.split("/"))) or zlib.crc32(inner.encode()) % shares != unit["share"]:
+                for x in store.get_file_info(fs.FileSelector(folder, recursive=folder != base)):
+                    inner = x.path[len(folder) :].strip("/")
+                    if x.type != fs.FileType.File or not (x.size or empty) or any(map(_hidden, inner.split("/"))) or zlib.crc32(inner.encode()) % shares != share:
                         continue
                     with store.open_input_stream(x.path) as f:
                         held.append((scheme + x.path, f.read()))
@@ -206,8 +208,8 @@ def file_bytes(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held], pa.binary())], ["source", "content"])
 
-    dealt = spark.createDataFrame(spark.sparkContext.parallelize(units, len(units)), "folder string, deep boolean, share int")
-    return dealt.mapInArrow(read, "source string, content binary")
+    # Not createDataFrame: that makes a session the thread's active one, in which later calls look for data sources.
+    return spark.range(0, len(units), 1, len(units)).mapInArrow(read, "source string, content binary")
 
 
 def ingest_bytes(files: DataFrame, forced: str | None = None) -> DataFrame:

@@ -156,3 +156,15 @@ def test_letters_that_stand_apart_stay_so(spark, tmp_path, name):
     want, df = con.sql(__spark_entry__.oracle_sql()[name]), __spark_entry__.queries()[name](spark, str(tmp_path))
     at = [want.columns.index(c) for c in df.columns]
     assert Counter(tuple(rounded(v) for v in r) for r in df.collect()) == Counter(tuple(rounded(r[i]) for i in at) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["folder_rows", "folder_totals"])
+def test_empty_documents_are_files_of_the_run(spark, tmp_path, name):
+    spark.createDataFrame([(i, "" if i in (1, 5, 6, 8, 9, 12) else f"Text {i} of 10.0.0.{i}") for i in range(16)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "<p>one</p>"), (2, "")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want, df = con.sql(__spark_entry__.oracle_sql()[name]), __spark_entry__.queries()[name](spark, str(tmp_path))
+    at = [want.columns.index(c) for c in df.columns]
+    assert Counter(tuple(r) for r in df.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
